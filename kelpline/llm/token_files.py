@@ -39,6 +39,28 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
+def pack_bits(rows: np.ndarray, w: int) -> np.ndarray:
+    """The low w bits of each value of (n, size) rows, as (n, size * w / 8) bytes: eight values make w bytes."""
+    eights = rows.reshape(-1, 8).astype(np.uint64) & np.uint64((1 << w) - 1)
+    words = np.zeros((len(eights), max(1, -(-w // 8))), np.uint64)
+    for k in range(8):
+        word, shift = divmod(k * w, 64)
+        words[:, word] |= eights[:, k] << np.uint64(shift)
+        if shift + w > 64:
+            words[:, word + 1] |= eights[:, k] >> np.uint64(64 - shift)
+    return words.astype("<u8").view(np.uint8)[:, :w].reshape(len(rows), -1)
+
+
+def unpack_bits(packed: np.ndarray, w: int, size: int) -> np.ndarray:
+    """The (n, size) values of rows packed by pack_bits."""
+    at = np.arange(size) * w
+    padded = np.concatenate([packed, np.zeros((len(packed), 5), np.uint8)], axis=1)
+    out = np.zeros((len(packed), size), np.uint64)
+    for k in range((w + 14) // 8):
+        out |= padded[:, at // 8 + k].astype(np.uint64) << np.uint64(8 * k)
+    return ((out >> (at % 8).astype(np.uint64)) & np.uint64((1 << w) - 1)).astype(np.uint32)
+
+
 def pack_blocks(ids: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, bytes]:
     """The index of block starts and the blocks of ids; the last block is filled up with its own last id."""
     if not len(ids):
@@ -57,30 +79,36 @@ def pack_blocks(ids: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, bytes]:
     packed: list[bytes] = [b""] * n
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        low = (rows[at, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-        bits = np.packbits(low.astype(np.uint8).reshape(len(at), -1), axis=1, bitorder="little")
-        for k, b in zip(at, bits, strict=True):
+        for k, b in zip(at.tolist(), pack_bits(rows[at], int(w)), strict=True):
             packed[k] = b.tobytes()
     large = rows >> width[:, None].astype(np.uint32) > 0
     entries = np.zeros(n, ENTRY)
     entries["least"], entries["width"], entries["exceptions"] = least, width, large.sum(axis=1)
-    blocks = []
-    for k in range(n):
-        place = np.flatnonzero(large[k]) if entries["exceptions"][k] else np.zeros(0, np.int64)
-        blocks.append(entries[k].tobytes() + packed[k] + place.astype("<u2").tobytes() + rows[k, place].astype("<u4").tobytes())
+    row, place = np.nonzero(large)
+    ends = np.cumsum(entries["exceptions"].astype(np.int64))
+    heads, places, values = entries.tobytes(), place.astype("<u2").tobytes(), rows[row, place].astype("<u4").tobytes()
+    blocks, i = [], 0
+    for k, j in enumerate(ends.tolist()):
+        blocks.append(heads[k * ENTRY.itemsize : (k + 1) * ENTRY.itemsize] + packed[k] + places[2 * i : 2 * j] + values[4 * i : 4 * j])
+        i = j
     return np.cumsum([0, *map(len, blocks)]).astype("<u4"), b"".join(blocks)
 
 
-def unpack_block(block: bytes, size: int = BLOCK) -> np.ndarray:
-    """The ids of one block, found through the index."""
-    entry = np.frombuffer(block, ENTRY, 1)[0]
-    w, k = int(entry["width"]), int(entry["exceptions"])
-    start = ENTRY.itemsize + w * size // 8
-    bits = np.unpackbits(np.frombuffer(block, np.uint8, w * size // 8, ENTRY.itemsize), bitorder="little")
-    out = bits.reshape(size, w) @ (1 << np.arange(w, dtype=np.uint32)) if w else np.zeros(size, np.uint32)
-    out = out.astype(np.uint32)
-    out[np.frombuffer(block, "<u2", k, start)] = np.frombuffer(block, "<u4", k, start + 2 * k)
-    return out + entry["least"]
+def unpack_blocks(data: bytes, starts: np.ndarray, size: int = BLOCK) -> np.ndarray:
+    """The ids of the blocks that begin at `starts` in data, blocks of one width at a time."""
+    out = np.zeros((len(starts), size), np.uint32)
+    raw = np.frombuffer(data, np.uint8)
+    heads = raw[starts[:, None] + np.arange(ENTRY.itemsize)].copy().view(ENTRY)[:, 0]
+    for w in np.unique(heads["width"]).tolist():
+        at = np.flatnonzero(heads["width"] == w)
+        if not w:
+            continue
+        packed = raw[(starts[at] + ENTRY.itemsize)[:, None] + np.arange(w * size // 8)]
+        out[at] = unpack_bits(packed, w, size)
+    for k in np.flatnonzero(heads["exceptions"]).tolist():
+        i, n = int(starts[k]) + ENTRY.itemsize + int(heads["width"][k]) * size // 8, int(heads["exceptions"][k])
+        out[k, np.frombuffer(data, "<u2", n, i)] = np.frombuffer(data, "<u4", n, i + 2 * n)
+    return out + heads["least"][:, None]
 
 
 def frame(part: int, number: int, doc_ids: list, lengths: list[int], ids: np.ndarray, size: int = BLOCK) -> bytes:
@@ -101,8 +129,7 @@ def frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.n
         doc_ids = np.frombuffer(data, "<i8", docs, p)
         lengths = np.frombuffer(data, "<u4", docs, p + 8 * docs)
         index = np.frombuffer(data, "<u4", blocks + 1, p + 12 * docs).astype(np.int64) + p + 12 * docs + 4 * (blocks + 1)
-        ids = [unpack_block(data[i:j], size) for i, j in zip(index, index[1:], strict=False)]
-        yield part, number, doc_ids, lengths, np.concatenate([*ids, np.zeros(0, np.uint32)])[:n]
+        yield part, number, doc_ids, lengths, unpack_blocks(data, index[:-1], size).reshape(-1)[:n]
         at += length + 1  # Spark's writer ends each row with a line end
 
 
