@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import decontamination, near_dedup, packing, token_files
+from kelpline.llm import decontamination, language_id, near_dedup, packing, token_files
 from kelpline.llm.common import table
 
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -24,12 +24,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language_id.languages(documents.select("doc_id", "text"), language_id.train(documents))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op5_packing, op7_token_files, op9_decontamination)}
+    return {f.__name__: f for f in (op2_near_dedup, op5_packing, op7_token_files, op8_language_id, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
