@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -246,5 +247,5 @@ def languages(documents: DataFrame, model: Model) -> DataFrame:
                     [*some.columns, pa.array(names), pa.array(shares, pa.float64())], [*some.schema.names, "lang_pred", "score"]
                 )
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return kept.mapInArrow(run, schema)
