@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, token_files
+from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, token_files, topk
 from kelpline.llm.common import table
 
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -21,6 +21,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), 2048).select(*PIECES)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.inner_product_top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(conversations.unionByName(more)))
 
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -60,8 +76,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op5_packing, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
+    return {f.__name__: f for f in (op2_near_dedup, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL, "op9_decontamination": decontamination.SQL.format(documents="documents")}
+    return {"op6_top_k": OP6_SQL, "op10_chat": OP10_SQL, "op9_decontamination": decontamination.SQL.format(documents="documents")}
