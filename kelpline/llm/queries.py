@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, token_files, topk
+from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, token_files, topk, toxicity
 from kelpline.llm.common import table
 
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), toxicity.categories())
+    return toxicity.classify(documents, model).drop("text")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,7 +82,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
