@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, substring_dedup, token_files, topk, toxicity
+from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, pii, substring_dedup, token_files, topk, toxicity
 from kelpline.llm.common import table
 
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -27,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), 2048).select(*PIECES)
 
@@ -86,7 +90,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
