@@ -20,9 +20,9 @@ A pair of similarity s misses all buckets with probability (1 - s**4)**40: under
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,20 +193,26 @@ def _block_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, refute
     for_main = F.transform(some("rests"), lambda j: block(0, F.col("mine"), j))
     spread = full.withColumn("block", F.explode(F.when(F.col("rest"), for_rest).otherwise(for_main)))
 
-    def pick(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("node", ignore_index=True)
-        regs = np.frombuffer(b"".join(block.registers), np.uint16).reshape(-1, REGISTERS)
-        names, sizes = block.node.tolist(), block.n_shingles.to_numpy()
-        codes = pd.factorize(block.label)[0]
-        tried = {(x, y) for x, ys in zip(names, block.refuted, strict=True) if ys is not None for y in ys}
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def pick(rows: list[tuple]) -> list[tuple]:
+        names, labels, regs, sizes, tried_with = zip(*sorted(r[4:] for r in rows), strict=True)
+        if len(set(labels)) == 1:
+            return []
+        table = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
+        code = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+        codes, sizes = np.array([code[x] for x in labels]), np.array(sizes)
+        tried = {(x, y) for x, ys in zip(names, tried_with, strict=True) for y in ys or ()}
         found: list[tuple] = []
         for k in range(len(names) - 1):
-            equal = (regs[k + 1 :] == regs[k]).sum(axis=1)
+            equal = (table[k + 1 :] == table[k]).sum(axis=1)
             at = np.flatnonzero((equal > 0.4 * REGISTERS) & (codes[k + 1 :] != codes[k])) + k + 1
             if len(at):
-                s = _estimated(np.broadcast_to(regs[k], (len(at), REGISTERS)), regs[at], np.full(len(at), sizes[k]), sizes[at])
+                s = _estimated(np.broadcast_to(table[k], (len(at), REGISTERS)), table[at], np.full(len(at), sizes[k]), sizes[at])
                 found += [(-x, k, j) for x, j in zip(s.tolist(), at.tolist(), strict=True) if x >= PLAUSIBLE]
-        roots = list(range(int(codes.max()) + 1)) if len(codes) else []
+        roots = list(range(len(code)))
 
         def root(c: int) -> int:
             while roots[c] != c:
@@ -223,11 +229,24 @@ def _block_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, refute
             if p != q or (used[k] < most and used[j] < most):
                 roots[p] = q
                 used[[k, j]] += 1
-                out.append((block.bucket[0], names[k], names[j]))
-        return pd.DataFrame(out, columns=["bucket", "a", "b"])
+                out.append((rows[0][0], names[k], names[j]))
+        return out
 
-    chosen = spread.select("bucket", "block", "node", "label", "registers", "n_shingles", "refuted")
-    return stored(chosen.groupBy("bucket", "block").applyInPandas(pick, "bucket long, a binary, b binary"), "near-pairs")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        types = (pa.int64(), pa.binary(), pa.binary())
+        for _, block in groupby(rows_of(batches), key=lambda r: r[:4]):
+            out += pick(list(block))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "a", "b"])
+
+    chosen = spread.select("bucket", "block.kind", "block.i", "block.j", "node", "label", "registers", "n_shingles", "refuted")
+    place = ("bucket", "kind", "i", "j")
+    dealt = chosen.repartition(*place).sortWithinPartitions(*place)
+    return stored(dealt.mapInArrow(run, "bucket long, a binary, b binary"), "near-pairs")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -248,7 +267,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -
         lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * F.lit(2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
     members = nodes.select("node", F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # Buckets of the same nodes in several bands are one.
+    h = F.xxhash64("node")
+    sets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(20,0)")).alias("s"))
+    shared = sets.where("n > 1").groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = stored(members.join(shared, "bucket").select("bucket", "node"), "near-members")
 
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
