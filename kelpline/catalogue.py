@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import evaluation
+from kelpline.plans import curation, evaluation
 
-MODULES = (evaluation,)
+MODULES = (evaluation, curation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
