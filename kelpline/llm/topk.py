@@ -99,7 +99,8 @@ def search_tree(pages: dict[int, tuple], query_id: int, query: np.ndarray, norm:
                 elif (score, -vec_id) > best[0]:
                     heapq.heapreplace(best, (int(score), -vec_id))
             continue
-        far = np.sqrt(np.maximum(0.0, own + (vectors[near] ** 2).sum(axis=1) + lifts[near] ** 2 - 2 * scores))
+        squares = (vectors[near].astype(np.float64) ** 2).sum(axis=1) + lifts[near] ** 2
+        far = np.sqrt(np.maximum(0.0, own + squares - 2 * scores.astype(np.float64)))
         closest = np.maximum(0.0, far - radii[near])
         bounds = (own + norm - closest * closest) / 2 + slack
         for b, child, d in zip(bounds.tolist(), ids[near].tolist(), far.tolist(), strict=True):
