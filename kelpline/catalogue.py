@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import curation, evaluation
+from kelpline.plans import curation, evaluation, learning
 
-MODULES = (evaluation, curation)
+MODULES = (evaluation, curation, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
