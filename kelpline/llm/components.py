@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import stored
 
 
+BROADCAST_ROWS = 200_000
+
+
 def connected_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, label) after joining the components that links (a, b) connect; the least label stands for each.
 
@@ -20,12 +23,15 @@ def connected_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = stored(edges, "component-edges")
     if edges.isEmpty():
         return labels
-    at = stored(edges.groupBy("p").agg(F.min("q").alias("q")).select(F.col("p").alias("v"), F.least("p", "q").alias("r")), "component-roots")
+    at = edges.groupBy("p").agg(F.min("q").alias("q")).select(F.col("p").alias("v"), F.least("p", "q").alias("r"))
+    at = stored(at, "component-roots")
+    # The labels of a step are counted: a few are broadcast, more are joined by shuffle.
+    small = (lambda df: F.broadcast(df)) if at.count() <= BROADCAST_ROWS else (lambda df: df)
     while True:
-        near = edges.join(at.select(F.col("v").alias("q"), F.col("r").alias("s")), "q").groupBy("p").agg(F.min("s").alias("s"))
-        fell = at.join(near, at["v"] == near["p"]).select("v", F.least("r", "s").alias("t"), F.col("r").alias("old"))
-        fell = stored(fell, "component-step")
-        jump = fell.select(F.col("v").alias("t"), F.col("t").alias("far"))
+        near = edges.join(small(at.select(F.col("v").alias("q"), F.col("r").alias("s"))), "q").select(F.col("p").alias("v"), "s", F.lit(None).cast("binary").alias("old"))
+        own = at.select("v", F.col("r").alias("s"), F.col("r").alias("old"))
+        fell = near.union(own).groupBy("v").agg(F.min("s").alias("t"), F.max("old").alias("old"))
+        jump = small(at.select(F.col("v").alias("t"), F.col("r").alias("far")))
         new = stored(fell.join(jump, "t", "left").select("v", F.least("t", F.coalesce("far", "t")).alias("r"), "old"), "component-roots")
         at = new.select("v", "r")
         if new.where("r <> old").isEmpty():

@@ -11,7 +11,7 @@ about as often as they share shingles (locality-sensitive).
 4. Pairs are confirmed on the full shingle sets; confirmed pairs join components.
 5. In buckets that still hold several components, nodes outside of the main component are compared with all others by
    their registers, in blocks of bounded size.  A block gives back the pairs that could join components, the likeliest
-   first, twice as many for each node in every round; pairs once refuted are not tried again.  Rounds end when no pair is
+   first, four times as many for each node in every round; pairs once refuted are not tried again.  Rounds end when no pair is
    left, so no pair that a bucket holds is dropped, however large the bucket, and no bucket is expanded into all pairs.
 
 A pair of similarity s misses all buckets with probability (1 - s**4)**40: under 3e-7 at 0.75.
@@ -34,8 +34,10 @@ from kelpline.llm.shingles import digest, normalized, shingle_hashes, word_hashe
 ROWS, BANDS = 4, 40
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-#: Pairs estimated below this are not confirmed: 5.9 standard deviations under the threshold 0.75.
-PLAUSIBLE = 0.55
+#: Pairs estimated below this are not confirmed: 4.4 standard deviations under the threshold 0.75.
+PLAUSIBLE = 0.6
+#: Pairs for each node of a block in the first round; FURTHER times as many in each round after.
+FIRST, FURTHER = 8, 4
 #: Most nodes of either side of a block.
 BLOCK = 256
 BROADCAST_ROWS = 200_000
@@ -277,7 +279,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -
     labels = stored(labels, "near-labels")
     checked = _confirmed(documents, nodes, _star_pairs(members, nodes), shingle, percent)
     refuted = None
-    most = 1
+    most = FIRST
     open_members = members
     while True:
         links = checked.where("linked").select("a", "b")
@@ -289,7 +291,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -
             break
         open_members = members.join(pairs.select("bucket").distinct(), "bucket", "left_semi")
         checked = _confirmed(documents, nodes, pairs.select("a", "b").distinct(), shingle, percent)
-        most *= 2
+        most *= FURTHER
 
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "near-named")
