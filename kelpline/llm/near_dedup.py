@@ -62,23 +62,18 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-_GRID = np.linspace(0.005, 1.0, 200)
-
-
 def estimate(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Likeliest Jaccard similarities for counts of registers in which the first set (of size n) is greater, less, equal."""
-    out = np.zeros(len(n))
-    for i in range(0, len(n), 4096):
-        part = slice(i, i + 4096)
-        u = (n[part] / (n[part] + m[part]))[:, None]
-        v = 1 - u
-        j = np.minimum(_GRID, np.minimum(u / v, v / u))
-        p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
-        up, down = p(u - v * j), p(v - u * j)
-        score = greater[part, None] * np.log(np.maximum(up, 1e-12)) + less[part, None] * np.log(np.maximum(down, 1e-12))
-        score = score + equal[part, None] * np.log(np.maximum(1 - up - down, 1e-12))
-        out[part] = np.take_along_axis(j, score.argmax(axis=1)[:, None], axis=1)[:, 0]
-    return out
+    """Likeliest Jaccard similarities for counts of registers in which the first set (of size n) is greater, less, equal.
+
+    With u and v the sets' shares of n + m, registers are greater, less or equal with probabilities in proportion to
+    u - vJ, v - uJ and J as the base goes to 1.  The likelihood's derivative is a square equation in J.
+    """
+    u = n / (n + m)
+    v = 1 - u
+    count = greater + less + equal
+    linear = (equal + greater) * v**2 + (equal + less) * u**2
+    root = np.sqrt(np.maximum(0.0, linear**2 - 4 * count * equal * (u * v) ** 2))
+    return (linear - root) / (2 * count * u * v)
 
 
 def _estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
