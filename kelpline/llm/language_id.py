@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -218,10 +219,21 @@ def train(documents: DataFrame, sample: int = 800) -> Model:
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).select("lang").collect()]
     each = max(1, sample // max(1, len(langs)))
     keyed = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
-    picked = []
-    for lang in langs:
-        picked += keyed.where(F.col("lang") == lang).orderBy("key", "text").limit(each).select("text", "lang").collect()
-    return fit([r["text"] for r in picked], [r["lang"] for r in picked])
+    if not langs:
+        return fit([], [])
+    parts = [keyed.where(F.col("lang") == lang).orderBy("key", "text").limit(each).select("text", "lang") for lang in langs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit([t for t, _ in rows], [x for _, x in rows])
+        columns = [pa.array([model.labels]), pa.array([model.weights.astype("<f4").tobytes()]), pa.array([model.trans.astype("<f8").tobytes()])]
+        yield pa.RecordBatch.from_arrays(columns, ["labels", "weights", "trans"])
+
+    # The sample is bounded, so one task fits it; the driver gets weights of a fixed size.
+    made = reduce(DataFrame.union, parts).coalesce(1).mapInArrow(run, "labels array<string>, weights binary, trans binary").first()
+    n = len(made["labels"])
+    weights = np.frombuffer(bytes(made["weights"]), "<f4").reshape(SLOTS, n)
+    return Model(list(made["labels"]), weights, np.frombuffer(bytes(made["trans"]), "<f8").reshape(n, n))
 
 
 def languages(documents: DataFrame, model: Model) -> DataFrame:
