@@ -115,6 +115,29 @@ def test_repeated_passages_with_an_edit(spark, odd_documents, no_documents):
     assert substring_dedup.repeated_passages(no_documents).count() == 0
 
 
+def test_recall_of_edited_passages(spark):
+    """Planted passages of 50 to 60 words and similarity 0.75 to 0.9, held against their true similarity."""
+    rng = np.random.default_rng(7)
+    rows, planted = [], []
+    for k in range(120):
+        n = int(rng.integers(50, 61))
+        passage = [f"p{k}_{i}" for i in range(n)]
+        edited = list(passage)
+        at = int(rng.integers(0, n - 1))
+        for i in range(at, at + 1 + k % 2):
+            edited[i] = f"e{k}_{i}"
+        a, b = shingles(" ".join(passage)), shingles(" ".join(edited))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.9:
+            planted += [(2 * k, 2 * k + 1)]
+        own = [[f"o{k}_{j}_{i}" for i in range(40)] for j in range(4)]
+        rows += [(2 * k, " ".join(own[0] + passage + own[1])), (2 * k + 1, " ".join(own[2] + edited + own[3]))]
+    assert len(planted) >= 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.other_doc_id for r in substring_dedup.repeated_passages(df).collect()}
+    missed = [(i, j) for i, j in planted if found.get(i) != j or found.get(j) != i]
+    assert not missed
+
+
 @pytest.mark.parametrize("need", [1, 5])
 def test_supported(need):
     h = np.array([0, 1, 2, 3, 4, 0])
