@@ -138,6 +138,22 @@ def test_recall_of_edited_passages(spark):
     assert not missed
 
 
+def test_runs_of_repeated_shingles():
+    """Both texts hold a passage twice, one version edited; a repeated line before a passage with another diagonal."""
+    row = lambda k, n: np.arange(1000 * k, 1000 * k + n, dtype=np.uint64)
+    passage, line = row(1, 48), row(2, 6)
+    edited = np.concatenate([passage[:21], row(3, 5), passage[26:]])
+    x, y = np.concatenate([edited, row(4, 70), edited]), np.concatenate([passage, row(5, 70), passage])
+    for p, q in ((x, y), (y, x)):
+        got = substring_dedup.common_runs(p, q, 46, 0.75)
+        for at in (0, 118):
+            assert any(a <= at and at + 48 <= b for a, b, *_ in got) and any(c <= at and at + 48 <= d for _, _, c, d, _ in got)
+    x = np.concatenate([line, passage])
+    y = np.concatenate([line, row(6, 90), line, row(7, 80), passage, row(8, 70), passage])
+    got = substring_dedup.common_runs(x, y, 46, 0.75)
+    assert {(182, 230), (300, 348)} <= {(c, d) for _, _, c, d, _ in got}
+
+
 @pytest.mark.parametrize("need", [1, 5])
 def test_supported(need):
     h = np.array([0, 1, 2, 3, 4, 0])
