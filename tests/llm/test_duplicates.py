@@ -96,11 +96,26 @@ def test_repeated_passages(documents):
     for r in got:
         assert r.n_words == r.end_word - r.start_word >= 50 and r.other_doc_id != r.doc_id
         cover[r.doc_id].update(range(r.start_word, r.end_word))
-    repeated = [(i, k) for i, w in words.items() for k in range(len(w) - 49) if len(seen[tuple(w[k : k + 50])]) > 1]
-    missed = [(i, k) for i, k in repeated if not set(range(k, k + 50)) <= cover[i]]
-    # A stretch ends early where a text shares its parts with different texts; every text that repeats is found.
-    assert len(missed) <= 0.001 * len(repeated)
-    assert {i for i, _ in repeated} <= set(cover)
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            if len(seen[tuple(w[k : k + 50])]) > 1:
+                assert set(range(k, k + 50)) <= cover[i]
+
+
+def test_overlapping_passages_of_different_texts(spark):
+    """A text shares overlapping words with one text and with another; neither hides the other."""
+    rows = []
+    for k in range(60):
+        p = [f"p{k}_{i}" for i in range(72)]
+        own = [[f"o{k}_{j}_{i}" for i in range(60)] for j in range(6)]
+        rows += [(3 * k, own[0] + p + own[1]), (3 * k + 1, own[2] + p[:60] + own[3]), (3 * k + 2, own[4] + p[22:] + own[5])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).collect()}
+    # A similar passage may take in a few words around what is shared.
+    assert set(got) == set(range(180))
+    for k in range(60):
+        for j, end in enumerate((132, 120, 110)):
+            assert 45 <= got[3 * k + j][0] <= 60 and end <= got[3 * k + j][1] <= end + 15
 
 
 def test_repeated_passages_with_an_edit(spark, odd_documents, no_documents):
