@@ -27,6 +27,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passage_links(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
@@ -90,7 +94,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op3_substring_links, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -118,6 +118,26 @@ def test_overlapping_passages_of_different_texts(spark):
             assert 45 <= got[3 * k + j][0] <= 60 and end <= got[3 * k + j][1] <= end + 15
 
 
+def test_links_of_overlapping_passages(spark):
+    """A stretch of passages shared with two texts keeps both links; a class has its links, whoever led."""
+    p = [f"p{i}" for i in range(150)]
+    own = [[f"o{j}_{i}" for i in range(60)] for j in range(20)]
+    rows = [(1, own[0] + p + own[1]), (2, own[2] + p[:70] + own[3]), (3, own[4] + p[60:] + own[5])]
+    q = [f"q{i}" for i in range(80)]
+    rows += [(10 + k, own[6 + k] + q) for k in range(5)] + [(20, own[11] + q), (21, own[11] + q)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = substring_dedup.passage_links(df).collect()
+    pairs = {(r.doc_id, r.other_doc_id) for r in got}
+    assert {(1, 2), (1, 3), (2, 1), (3, 1), (20, 21), (21, 20)} <= pairs == {(b, a) for a, b in pairs}
+    ids = collections.defaultdict(set)
+    for r in got:
+        ids[r.class_id].add(r.doc_id)
+    assert sorted(map(sorted, ids.values())) == [[1, 2, 3], [10, 11, 12, 13, 14, 20, 21]]
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert {(r.doc_id, r.class_id, r.class_links) for r in rows} == {(r.doc_id, r.class_id, r.class_links) for r in got}
+    assert {r.class_links for r in rows if r.doc_id >= 10} == {len([r for r in got if r.doc_id >= 10]) // 2}
+
+
 def test_repeated_passages_with_an_edit(spark, odd_documents, no_documents):
     passage = [f"p{i}" for i in range(160)]
     edited = passage[:80] + ["new"] + passage[81:]
