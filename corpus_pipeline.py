@@ -20,11 +20,12 @@ LEAST_SHARE = 0.3
 BROADCAST_ROWS = 200_000
 
 
-def _without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """docs without the given doc_ids, which are broadcast only if their count is small."""
-    gone = stored(doc_ids.where("doc_id IS NOT NULL").distinct(), "pipeline-gone")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the given rows (doc_id, which may be null, and digest), broadcast only if their count is small."""
+    gone = stored(rows.select("doc_id", "digest").distinct(), "pipeline-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.digest"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti").select(*docs.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group; of rows that repeat a doc_id one stays.  Rows without doc_id stay."""
-    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = _without(docs, classes.where(~F.col("kept")).select("doc_id"))
-    repeated = stored(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-repeated")
+    """One row of each group: of its least doc_id, without doc_id only if all are.  Of rows equal in doc_id and text one stays."""
+    kept = _without(docs, near_dedup.one_of_each(docs.select("doc_id", "text")).where("NOT stays"))
+    keys = kept.select("doc_id", F.xxhash64("text").alias("digest"))
+    repeated = stored(keys.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "pipeline-repeated")
     if repeated.isEmpty():
         return kept
-    return _without(kept, repeated).union(kept.join(repeated, "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["doc_id"]))
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.digest"))
+    again = kept.alias("d").join(repeated.alias("r"), same, "left_semi").select(*kept.columns).dropDuplicates(["doc_id", "text"])
+    return _without(kept, repeated).union(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    judged = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return _without(docs, judged.where("contaminated").select("doc_id"))
+    """Rows that are not contaminated by the benchmark; each text counts for itself, also without doc_id."""
+    judged = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), digests=True)
+    return _without(docs, judged.where("contaminated"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

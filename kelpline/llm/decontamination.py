@@ -55,14 +55,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def contamination(
-    documents: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 7, share: int = 20
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 7, share: int = 20, digests: bool = False
 ) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated.
 
     documents: doc_id, text; benchmark: item_id, text; other columns are not looked at.  Null or empty texts have no
     words and no hits.  Equal rows get equal results, rows with one doc_id and different texts each their own.  Items
     without words or without item_id never occur.  A document is contaminated if it has a hit and at least one word in
-    `share` is hit.  An empty benchmark leaves every document clean.
+    `share` is hit.  An empty benchmark leaves every document clean.  With digests, the xxhash64 of each text is given too.
     """
     items = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("n", F.size("w"))
@@ -112,6 +112,7 @@ def contamination(
     n_hit = F.coalesce(F.col("h.n_hit"), F.lit(0)).cast("long")
     return out.select(
         "d.doc_id",
+        *(["d.digest"] if digests else []),
         "d.n_words",
         n_hit.alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),

@@ -246,15 +246,8 @@ def _block_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, refute
     return stored(dealt.mapInArrow(run, "bucket long, a binary, b binary"), "near-pairs")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """Per row of documents: doc_id, n_shingles, component_id and kept.
-
-    documents: doc_id and text; other columns are not looked at.  Texts are lower-cased (A-Z) and split at white space;
-    a text of fewer words than a shingle is one shingle.  Documents are linked if 100 * intersection >= percent * union.
-    component_id is the least doc_id reachable over links, itself included; kept: doc_id = component_id.  Null, empty and
-    blank texts have no shingles and no links.  Rows without doc_id take part in links but name no component (one of such
-    rows alone has a null component_id and is kept).  Rows with one doc_id are one document each for its own text.
-    """
+def _classes(documents: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents with their node, and nodes with the least doc_id of each (first), label and component_id."""
     rows = stored(sketches(documents, shingle), "near-sketches")
     words = rows.where("node IS NOT NULL")
     nodes = words.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("registers").alias("registers"), F.any_value("n_shingles").alias("n_shingles"))
@@ -291,7 +284,47 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "near-named")
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = stored(named.join(least, "label").select("node", "component_id"), "near-classes")
-    out = rows.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
+    classes = stored(named.join(least, "label").select("node", "first", "label", "component_id"), "near-classes")
+    return rows, classes
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """Per row of documents: doc_id, n_shingles, component_id and kept.
+
+    documents: doc_id and text; other columns are not looked at.  Texts are lower-cased (A-Z) and split at white space;
+    a text of fewer words than a shingle is one shingle.  Documents are linked if 100 * intersection >= percent * union.
+    component_id is the least doc_id reachable over links, itself included; kept: doc_id = component_id.  Null, empty and
+    blank texts have no shingles and no links.  Rows without doc_id take part in links but name no component (one of such
+    rows alone has a null component_id and is kept).  Rows with one doc_id are one document each for its own text.
+    """
+    rows, classes = _classes(documents, shingle, percent)
+    out = rows.select("doc_id", "n_shingles", "node").join(classes.select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """Per distinct doc_id and text of documents: doc_id, digest (xxhash64 of the text) and stays.
+
+    Of each group of near_duplicates one stays: of the rows of its least doc_id (none only if all are without) the one
+    with the least text digest.  Texts without words are in no group and stay.
+    """
+    rows, classes = _classes(documents, shingle, percent)
+    first = F.min(F.struct(F.col("first").isNull().alias("bare"), "first", "node"))
+    best = classes.groupBy("label").agg(first.alias("best"))
+    best = stored(best.select(F.col("best.node").alias("node"), F.col("best.first").alias("doc_id")), "near-best")
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms = [normalized(t) for t in batch.column(2).to_pylist()]
+            names = pa.array([digest(x) if x else None for x in norms], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names], ["doc_id", "digest", "node"])
+
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    keyed = stored(keyed.mapInArrow(nodes, "doc_id long, digest long, node binary").distinct(), "near-keys")
+    same = F.col("k.node").eqNullSafe(F.col("b.node")) & F.col("k.doc_id").eqNullSafe(F.col("b.doc_id"))
+    kept = keyed.alias("k").join(best.alias("b"), same, "left_semi").groupBy("doc_id", "node").agg(F.min("digest").alias("kept"))
+    same = F.col("k.node").eqNullSafe(F.col("b.node")) & F.col("k.doc_id").eqNullSafe(F.col("b.doc_id"))
+    out = keyed.alias("k").join(kept.alias("b"), same, "left")
+    stays = F.col("k.node").isNull() | F.coalesce(F.col("k.digest") == F.col("b.kept"), F.lit(False))
+    return out.select("k.doc_id", "k.digest", stays.alias("stays"))

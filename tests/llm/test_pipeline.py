@@ -29,3 +29,16 @@ def test_one_row_of_each_group_stays(spark, odd_documents, sf_dir):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 8, 10]
 
 
+def test_rows_count_for_their_own_text(spark, sf_dir):
+    """A doc_id with different texts loses only the copies and contaminated ones; rows without doc_id are no exception."""
+    bench = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").orderBy("item_id").limit(1).collect()]
+    own = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(5)]
+    rows = [(1, own[0]), (7, own[0]), (7, own[1]), (7, own[2]), (7, own[2]), (7, bench[0]), (None, own[3]), (None, own[3]), (None, own[1]), (None, own[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, df, sf_dir)
+    key = lambda r: (str(r[0]), r[1])
+    want = [(1, own[0]), (7, own[1]), (7, own[2]), (7, bench[0]), (None, own[3]), (None, own[4])]
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    dirty = spark.createDataFrame([*want, (None, bench[0])], df.schema)
+    out = corpus_pipeline.drop_contaminated(spark, dirty, sf_dir)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted((w for w in want if w[1] != bench[0]), key=key)
