@@ -12,12 +12,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,17 +210,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(documents: DataFrame, sample: int = 800) -> Model:
-    """Learn from at most `sample` rows that are not held out, dealt evenly over the languages.
+    """Learn from at most `sample` rows that are not held out, dealt evenly over all languages, one of each at least.
 
     The rows with the least hashes of doc_id and text are taken, so the sample does not depend on partitions.
     """
     rows = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(100).select("lang").collect()]
-    each = max(1, sample // max(1, len(langs)))
-    keyed = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
-    if not langs:
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return fit([], [])
-    parts = [keyed.where(F.col("lang") == lang).orderBy("key", "text").limit(each).select("text", "lang") for lang in langs]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    keyed = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("key")).withColumn("place", place)
+    picked = keyed.where(F.col("place") <= max(1, sample // n_langs)).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -230,7 +229,7 @@ def train(documents: DataFrame, sample: int = 800) -> Model:
         yield pa.RecordBatch.from_arrays(columns, ["labels", "weights", "trans"])
 
     # The sample is bounded, so one task fits it; the driver gets weights of a fixed size.
-    made = reduce(DataFrame.union, parts).coalesce(1).mapInArrow(run, "labels array<string>, weights binary, trans binary").first()
+    made = picked.repartition(1).mapInArrow(run, "labels array<string>, weights binary, trans binary").first()
     n = len(made["labels"])
     weights = np.frombuffer(bytes(made["weights"]), "<f4").reshape(SLOTS, n)
     return Model(list(made["labels"]), weights, np.frombuffer(bytes(made["trans"]), "<f8").reshape(n, n))

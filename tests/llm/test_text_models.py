@@ -73,3 +73,10 @@ def test_toxicity_odd(odd_documents, no_documents, spark):
     assert len(rows) == odd_documents.count()
     assert all(r.toxic_score == 0 and not r.toxic for r in rows if r.doc_id in (1, 2, 3))
     assert toxicity.classify(no_documents, toxicity.train(no_documents, labels.limit(0), toxicity.categories())).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"wort{k} satz{k}", f"l{k:03d}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = {r.lang for r in df.where(~language_id.held_out()).collect()}
+    assert len(langs) > 100 and set(language_id.train(df).labels) == langs
