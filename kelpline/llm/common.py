@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one is set where there is none."""
+    """The shared folder the session names in spark.checkpoint.dir.
+
+    Where there is none, a session of one machine gets a temporary folder; on a cluster, whose executors would each write to
+    their own disk, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kelpline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -32,7 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of stored tables that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
