@@ -76,15 +76,27 @@ def test_sketch_merges_and_estimates():
 
 def test_compact_windows_cover_all_runs():
     rng = np.random.default_rng(1)
-    for n in (5, 17, 60):
+    for n in (5, 17, 60, 200):
         values = rng.integers(0, 40, n).astype(np.uint64)
-        windows = substring_dedup.compact_windows(values, 5)
+        windows = list(zip(*(x.tolist() for x in substring_dedup.compact_windows(values, 5)), strict=True))
         for i in range(n):
             for j in range(i + 4, n):
                 inside = [(l, c, r) for l, c, r in windows if l <= i <= c <= j < r]
                 assert len(inside) == 1 and values[inside[0][1]] == values[i : j + 1].min()
 
 
+def test_compact_windows_of_several_texts():
+    rng = np.random.default_rng(4)
+    sizes = [30, 3, 5, 80, 46]
+    values = rng.integers(0, 25, sum(sizes)).astype(np.uint64)
+    starts = np.cumsum([0, *sizes[:-1]])
+    got = list(zip(*(x.tolist() for x in substring_dedup.compact_windows(values, 5, starts[1:])), strict=True))
+    want = []
+    for s, n in zip(starts.tolist(), sizes, strict=True):
+        want += [(l + s, c + s, r + s) for l, c, r in zip(*(x.tolist() for x in substring_dedup.compact_windows(values[s : s + n], 5)), strict=True)]
+    assert got == want
+
+
 def test_repeated_passages(documents):
     words = {r.doc_id: (r.text or "").encode().lower().split() for r in documents.collect()}
     seen = collections.defaultdict(set)
