@@ -9,19 +9,21 @@ sequences: texts of a bounded sample, laid end to end in random order, so that t
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kelpline.llm.common import stored
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters are those of Unicode category L; marks within a word belong to it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SLOTS = 1 << 16
 RUN = 32
 
@@ -212,15 +214,20 @@ def held_out(doc_id: str = "doc_id"):
 def train(documents: DataFrame, sample: int = 800) -> Model:
     """Learn from at most `sample` rows that are not held out, dealt evenly over all languages, one of each at least.
 
-    The rows with the least hashes of doc_id and text are taken, so the sample does not depend on partitions.
+    The rows with the least hashes of doc_id and text are taken, so the sample does not depend on partitions.  Rows without
+    text or lang take no part, repeated rows count once; without any row the model knows only `und`.
     """
     rows = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_langs = rows.select("lang").distinct().count()
+    # One scan without texts finds the rows; of each language the first are kept before and after the shuffle.
+    keyed = rows.select("doc_id", "lang", F.xxhash64("text").alias("digest"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest"))
+    first = stored(keyed.withColumn("place", place).where(F.col("place") <= sample), "language-sample")
+    n_langs = first.select("lang").distinct().count()
     if not n_langs:
         return fit([], [])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
-    keyed = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("key")).withColumn("place", place)
-    picked = keyed.where(F.col("place") <= max(1, sample // n_langs)).select("text", "lang")
+    first = F.broadcast(first.where(F.col("place") <= max(1, sample // n_langs)).drop("place"))  # `sample` rows, or one for each language
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.lang") == F.col("f.lang")) & (F.xxhash64("d.text") == F.col("f.digest"))
+    picked = rows.alias("d").join(first.alias("f"), same).select("d.text", "d.lang", "d.doc_id").distinct().select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))

@@ -16,7 +16,7 @@ PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"), toxicity.categories())
-    return toxicity.classify(documents, model).drop("text")
+    return toxicity.classify(documents, model).select("doc_id", "low_quality_score", "toxic_score", "toxic")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

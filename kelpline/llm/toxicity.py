@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kelpline.llm.common import stored
+
 WORD = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 18
 PREFIXES = (4, 5, 6, 7)
@@ -79,10 +81,19 @@ class Linear:
 
 
 def fit_linear(features: tuple, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 80) -> Linear:
-    """Weighted logistic regression with a penalty on absolute weights, by proximal Adagrad."""
+    """Weighted logistic regression with a penalty on absolute weights, by proximal Adagrad.
+
+    A feature counts by how much likelier it is in rows of one kind than in the others (a smoothed ratio of the shares of
+    rows that have it), so that few labelled rows don't drown it in common words.
+    """
     row, slot, value = features
     n = len(y)
     used, col = np.unique(slot, return_inverse=True)
+    some = np.bincount(col, (y * weight)[row], len(used)) / max(weight.mean(), 1e-12)
+    none = np.bincount(col, ((1 - y) * weight)[row], len(used)) / max(weight.mean(), 1e-12)
+    total = weight / max(weight.mean(), 1e-12)
+    ratio = np.log((some + 1) / (y @ total + 2)) - np.log((none + 1) / ((1 - y) @ total + 2))
+    value = value * ratio[col]
     w, e, b = np.zeros(len(used)), np.zeros(earlier.shape[1]), float(np.log((y @ weight + 1) / ((1 - y) @ weight + 1)))
     sums, e_sums, b_sum = np.full(len(used), 1e-4), np.full(len(e), 1e-4), 1e-4
     scale = weight / weight.sum()
@@ -99,7 +110,7 @@ def fit_linear(features: tuple, earlier: np.ndarray, y: np.ndarray, weight: np.n
         e = e - 0.5 * e_grad / np.sqrt(e_sums)
         b -= 0.5 * b_grad / np.sqrt(b_sum)
     weights = np.zeros(SLOTS)
-    weights[used] = w
+    weights[used] = w * ratio
     return Linear(weights, e, b)
 
 
@@ -111,7 +122,7 @@ class ChainModel:
 
 
 def fit_chain(texts: list[str], labels: dict[str, list[int]], weight: np.ndarray, folds: int = 3) -> ChainModel:
-    """Fit the categories in the order of `labels`; each threshold gives the best F0.5 out of fold."""
+    """Fit the categories in the order of `labels`; each threshold gives the best F1 out of fold."""
     row, slot, value = Words().rates(texts)
     known, counts = np.unique(slot, return_counts=True)
     often = np.zeros(SLOTS, bool)
@@ -137,39 +148,66 @@ def fit_chain(texts: list[str], labels: dict[str, list[int]], weight: np.ndarray
 
 
 def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The cut with the best F0.5, but none under 0.5: with few labelled rows, out-of-fold predictions say little."""
+    """The cut with the best F1, but none under 0.5: with few labelled rows, out-of-fold predictions say little."""
     order = np.argsort(-p, kind="stable")
     hit, taken = np.cumsum((y * weight)[order]), np.cumsum(weight[order])
-    score = 1.25 * hit / np.maximum(taken + 0.25 * (y @ weight), 1e-9)
+    score = 2 * hit / np.maximum(taken + y @ weight, 1e-9)
     last = np.append(p[order][1:] < p[order][:-1], True)  # between ties there is no threshold
     best = int(np.where(last, score, -1).argmax())
     return max(0.5, float((p[order][best] + (p[order][best + 1] if best + 1 < len(p) else 0.0)) / 2)) if len(p) else 0.5
 
 
-def contains_any(text: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(text).contains(t) for t in terms])
-
-
 def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = 2400) -> ChainModel:
     """Fit a chain on at most `sample` labelled rows, half of them with a category and half without where there are enough.
 
-    categories: name -> condition over the columns of labels and documents, in the order of the chain.  Rows of the
-    sample are those with the least hashes of doc_id; each stands for as many rows as its half has.
+    categories: name -> condition over the columns of labels, in the order of the chain; null counts as false.  Rows of
+    the sample are those with the least hashes of doc_id and text; each stands for as many rows as its half has.  They are
+    found on rows without texts, whose texts (null ones take no part) are then read in one scan; one task fits the
+    chain.  Labels of the same doc_id, and documents with the same one, count for each pair.  Without labelled texts, or
+    for empty tables, nothing is in any category.
     """
-    known = labels.drop("text").join(documents.select("doc_id", "text"), "doc_id").where("text IS NOT NULL")
+    spark = documents.sparkSession
     flags = {n: F.coalesce(c, F.lit(False)).cast("int") for n, c in categories.items()}
-    rows = known.select("text", F.xxhash64("doc_id", "text").alias("key"), *[c.alias(n) for n, c in flags.items()])
-    rows = rows.withColumn("any", F.greatest(*flags) if len(flags) > 1 else F.col(next(iter(flags))))
-    totals = {r["any"]: r["count"] for r in rows.groupBy("any").count().collect()}  # two rows
-    picked, weight = [], []
-    for some in (0, 1):
-        got = rows.where(F.col("any") == some).orderBy("key", "text").limit(sample // 2).collect()
-        picked += got
-        weight += [totals.get(some, 0) / max(1, len(got))] * len(got)
-    if not picked:
-        nothing = [Linear(np.zeros(SLOTS), np.zeros(k), -40.0) for k in range(len(flags))]
-        return ChainModel(list(flags), nothing, [0.5] * len(flags))
-    return fit_chain([r["text"] for r in picked], {n: [r[n] for r in picked] for n in flags}, np.array(weight))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(f"flag_{k}") for k, c in enumerate(flags.values())])
+    texts = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    narrow = texts.select("doc_id", "digest").join(known, "doc_id").withColumn("key", F.xxhash64("doc_id", "digest"))
+    names = [f"flag_{k}" for k in range(len(flags))]
+    rows = stored(narrow.withColumn("any", F.greatest(*names) if len(names) > 1 else F.col(names[0])), "toxicity-labelled")
+    halves = [rows.where(F.col("any") == some).orderBy("key", *names).limit(sample // 2) for some in (0, 1)]
+    picked = stored(halves[0].union(halves[1]), "toxicity-sample")
+    n = picked.groupBy("any").agg(F.count("*").alias("taken")).join(rows.groupBy("any").agg(F.count("*").alias("of")), "any")
+    picked = stored(picked.join(n, "any").withColumn("weight", F.col("of") / F.col("taken")).select("doc_id", "digest", *names, "weight"), "toxicity-sample")
+    # The sample is bounded; so is what a scan of the texts sends on.
+    found = texts.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest", *names])
+
+    ordered = list(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if got:
+            model = fit_chain([r[0] for r in got], {n: [r[2 + k] for r in got] for k, n in enumerate(ordered)}, np.array([r[1] for r in got]))
+        else:
+            nothing = [Linear(np.zeros(SLOTS), np.zeros(k), -40.0) for k in range(len(ordered))]
+            model = ChainModel(ordered, nothing, [0.5] * len(ordered))
+        used = [np.flatnonzero(m.weights) for m in model.models]
+        columns = [
+            pa.array(range(len(used)), pa.int32()),
+            pa.array([u.astype("<i4").tobytes() for u in used]),
+            pa.array([m.weights[u].astype("<f8").tobytes() for m, u in zip(model.models, used, strict=True)]),
+            pa.array([m.earlier.tolist() for m in model.models], pa.list_(pa.float64())),
+            pa.array([float(m.bias) for m in model.models]),
+            pa.array(model.thresholds, pa.float64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "slots", "weights", "earlier", "bias", "threshold"])
+
+    schema = "place int, slots binary, weights binary, earlier array<double>, bias double, threshold double"
+    made = found.select("text", "weight", *names).repartition(1).mapInArrow(run, schema).orderBy("place").collect()  # a row for each category
+    models = []
+    for r in made:
+        weights = np.zeros(SLOTS)
+        weights[np.frombuffer(bytes(r["slots"]), "<i4")] = np.frombuffer(bytes(r["weights"]), "<f8")
+        models.append(Linear(weights, np.array(r["earlier"], float), r["bias"]))
+    return ChainModel(ordered, models, [r["threshold"] for r in made])
 
 
 def classify(documents: DataFrame, model: ChainModel) -> DataFrame:
@@ -207,16 +245,6 @@ def classify(documents: DataFrame, model: ChainModel) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *extra]))
 
 
-#: Seeds of the two categories that the tables have no labels of.
-INSULTS = ["idiot", "moron", "loser", "clown", "scum"]
-CONTEMPT = ["trash", "stupid", "pathetic", "worthless", "disgusting"]
-
-
 def categories() -> dict[str, Column]:
-    """The chain of the query: insult and contempt, from seeds in toxic rows, then toxic as labelled."""
-    toxic = F.col("toxic") == 1
-    return {
-        "insult": toxic & contains_any(F.col("text"), INSULTS),
-        "contempt": toxic & contains_any(F.col("text"), CONTEMPT),
-        "toxic": toxic,
-    }
+    """The chain of the query, over given labels: low quality, then toxic."""
+    return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}

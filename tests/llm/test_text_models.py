@@ -1,7 +1,11 @@
+import collections
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kelpline.llm import language_id, queries, toxicity
 
@@ -54,6 +58,35 @@ def test_toxicity(spark, sf_dir):
     assert np.mean(clean) <= 0.05
 
 
+def test_toxicity_held_out(spark):
+    """Fitted on labels of even doc_ids, judged on those of odd ones."""
+    folder = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(documents, labels.where("doc_id % 2 = 0"), toxicity.categories())
+    odd = labels.where("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("given"))
+    rows = toxicity.classify(documents.select("doc_id", "text"), model).join(odd, "doc_id").collect()
+    assert np.mean([r.toxic for r in rows if r.given == 1]) >= 0.9
+    assert np.mean([r.toxic for r in rows if r.given == 0]) <= 0.02
+
+
+def test_chain_scores_equal_plain_sums(spark):
+    """Scores by plain Python, category by category, each fed the probabilities before it."""
+    texts = ["good words here", "bad words here bad", "", None, "Nothing; known! 12", "badly Worded bad"]
+    rng = np.random.default_rng(9)
+    models = [toxicity.Linear(rng.normal(size=toxicity.SLOTS), rng.normal(size=k), 0.1 * k) for k in range(3)]
+    chain = toxicity.ChainModel(["a", "b", "c"], models, [0.5, 0.4, 0.6])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.classify(df, chain).collect():
+        words = re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower())
+        counts = collections.Counter(n for w in words for n in [f"w{w}", *(f"p{w[:k]}" for k in (4, 5, 6, 7) if len(w) > k)])
+        before = []
+        for name, model, cut in zip("abc", models, chain.thresholds, strict=True):
+            z = model.bias + sum(e * p for e, p in zip(model.earlier, before, strict=True))
+            z += sum(model.weights[zlib.crc32(n.encode()) % toxicity.SLOTS] * math.log1p(1000 * k / len(words)) for n, k in counts.items())
+            before.append(1 / (1 + math.exp(-z)) if words else 0.0)
+            assert abs(r[f"{name}_score"] - before[-1]) < 1e-9 and r[name] == (bool(words) and before[-1] > cut)
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(2)
     texts, a, b = [], [], []
@@ -80,3 +113,9 @@ def test_every_language_is_learned(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     langs = {r.lang for r in df.where(~language_id.held_out()).collect()}
     assert len(langs) > 100 and set(language_id.train(df).labels) == langs
+
+
+def test_texts_without_letters(spark, documents):
+    rows = [(k, t) for k, t in enumerate(["½ ² Ⅷ ① 12", "_ -- 3.5", "१२ ٣", "e\u0301t\u00e9", "x"])]
+    out = language_id.languages(spark.createDataFrame(rows, "doc_id long, text string"), language_id.train(documents, 50)).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in out] == [True, True, True, False, False]
