@@ -184,11 +184,9 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        if got:
-            model = fit_chain([r[0] for r in got], {n: [r[2 + k] for r in got] for k, n in enumerate(ordered)}, np.array([r[1] for r in got]))
-        else:
-            nothing = [Linear(np.zeros(SLOTS), np.zeros(k), -40.0) for k in range(len(ordered))]
-            model = ChainModel(ordered, nothing, [0.5] * len(ordered))
+        if not got:
+            return
+        model = fit_chain([r[0] for r in got], {n: [r[2 + k] for r in got] for k, n in enumerate(ordered)}, np.array([r[1] for r in got]))
         used = [np.flatnonzero(m.weights) for m in model.models]
         columns = [
             pa.array(range(len(used)), pa.int32()),
@@ -202,6 +200,8 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column]
 
     schema = "place int, slots binary, weights binary, earlier array<double>, bias double, threshold double"
     made = found.select("text", "weight", *names).repartition(1).mapInArrow(run, schema).orderBy("place").collect()  # a row for each category
+    if not made:
+        return ChainModel(ordered, [Linear(np.zeros(SLOTS), np.zeros(k), -40.0) for k in range(len(ordered))], [0.5] * len(ordered))
     models = []
     for r in made:
         weights = np.zeros(SLOTS)
