@@ -1,18 +1,22 @@
 """Personal data replaced by surrogates, in DataFrame functions alone.
 
 Detected: e-mail addresses, secrets after a naming word, IPv4 addresses, telephone, card and social security numbers,
-IBANs, and names after an honorific.  A surrogate is a keyed function of type, canonical value and attempt, so an entity
-has one surrogate throughout the corpus, however its digits are spaced.  It keeps length, punctuation, letter case and
-kind of sign; octets stay octets, a card number that passes the Luhn check passes it again, hexadecimal secrets stay
-hexadecimal, and names keep gender (from the honorific) and script.
+IBANs, and names after an honorific; a name found in a text is replaced wherever its words stand in that text.  A
+surrogate is a keyed function of type, canonical value and attempt, so an entity has one surrogate throughout the corpus,
+however its digits are spaced.  It keeps length, punctuation, letter case and kind of sign; octets stay octets, a card
+number that passes the Luhn check passes it again, an IBAN keeps its country and has valid check digits, hexadecimal
+secrets stay hexadecimal, and names keep gender (from the honorific) and script.  A given name that stands somewhere with
+an honorific of one gender only has that gender also after Dr and the like: it is one person's, with one surrogate.
 
 Attempts keep surrogates apart: all distinct entities are given their surrogates, and an entity whose surrogate another
 entity has, or which is a real value of the corpus, goes to its next attempt, until no two are equal.  Only entities with
-a later attempt, which are few, need a join to reach their texts; all other replacements are computed in place.
+a later attempt or with a gender known from elsewhere, which are few, need a join to reach their texts; all other
+replacements are computed in place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +76,11 @@ def canonical(value: Column, kind: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "iban"), F.upper(signs)).when(kind == "secret", value).otherwise(F.lower(value))
 
 
+def _let(x: Column, made: Callable[[Column], Column]) -> Column:
+    """made of x, with x computed once, however often made mentions it."""
+    return F.element_at(F.transform(F.array(x), made), 1)
+
+
 def _hex(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """128 keyed hexadecimal digits."""
     seed = F.concat_ws("\x01", F.lit(key), kind, canon, attempt.cast("string"))
@@ -83,7 +92,7 @@ def _number(hexes: Column, at: Column | int, of: int) -> Column:
     return F.pmod(F.conv(F.substring(hexes, at if isinstance(at, Column) else F.lit(at), F.lit(4)), 16, 10).cast("int"), F.lit(of))
 
 
-def _masked(value: Column, hexes: Column, letters: str) -> Column:
+def _masked(value: Column, hexes: Column, letters: str | Column) -> Column:
     """Digits for digits and letters for letters, in their case; the k-th sign depends on k, not on punctuation."""
 
     def sign(i: Column) -> Column:
@@ -91,7 +100,7 @@ def _masked(value: Column, hexes: Column, letters: str) -> Column:
         k = F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
         h = F.substring(hexes, F.pmod(k, F.lit(124)) + 1, F.lit(1))
         digit = F.translate(h, "abcdef", "246813")
-        letter = F.translate(h, "0123456789abcdef", letters)
+        letter = F.substring(letters if isinstance(letters, Column) else F.lit(letters), F.conv(h, 16, 10).cast("int") + 1, F.lit(1))
         return (
             F.when(c.rlike("^[0-9]$"), F.when((k == 1) & (digit == "0"), F.lit("7")).otherwise(digit))
             .when(c.rlike(r"^\p{Lu}$"), F.upper(letter))
@@ -123,6 +132,24 @@ def _card(value: Column, hexes: Column) -> Column:
     return F.when(valid, F.concat(F.substring(masked, F.lit(1), last), check.cast("string"))).otherwise(masked)
 
 
+def mod_97(signs: Column) -> Column:
+    """The number that an IBAN's signs stand for (letters are 10 to 35), modulo 97."""
+
+    def add(total: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c.rlike("[0-9]"), (total * 10 + c.cast("int")) % 97).otherwise((total * 100 + letter) % 97)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(signs)), lambda i: F.substring(signs, i, F.lit(1))), F.lit(0), add)
+
+
+def _iban(value: Column, hexes: Column) -> Column:
+    """The country, check digits that are right, and signs for the rest."""
+    country, body = F.substring(value, F.lit(1), F.lit(2)), F.substring(value, F.lit(5), F.length(value))
+    masked = _masked(body, hexes, "ABCDEFGHIJKLMNOP")
+    check = F.lit(98) - mod_97(F.concat(F.regexp_replace(masked, "[^A-Z0-9]", ""), country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), masked)
+
+
 def _ip(hexes: Column) -> Column:
     return F.concat_ws(".", *[(_number(hexes, 1 + 4 * k, 254) + 1).cast("string") for k in range(4)])
 
@@ -148,18 +175,22 @@ def _word(hexes: Column, value: Column, attempt: Column, kind: Column) -> Column
 
 def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     """The replacement of one value (of a name: one word of it)."""
-    hexes = _hex(key, kind, canonical(value, kind), attempt)
     # An address keeps its top-level domain.
     head, tail = F.regexp_extract(value, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(value, r"^(.*)(\.[^.]*)$", 2)
-    secret = F.when(value.rlike("^[0-9a-fA-F]+$"), _masked(value, hexes, "abcdefabcdefabcd")).otherwise(_masked(value, hexes, "bcdfghjkmnpqrstv"))
-    return (
-        F.when(kind == "ip", _ip(hexes))
-        .when(kind == "card", _card(value, hexes))
-        .when(kind == "secret", secret)
-        .when(kind == "email", F.concat(_masked(head, hexes, "abdeghiklmnoprst"), tail))
-        .when(kind.isin("given_f", "given_m", "given_u", "surname"), _word(hexes, value, attempt, kind))
-        .otherwise(_masked(value, hexes, "ABCDEFGHIJKLMNOP"))
-    )
+
+    def made(hexes: Column) -> Column:
+        letters = F.when(kind == "email", "abdeghiklmnoprst").when(kind != "secret", "ABCDEFGHIJKLMNOP")
+        letters = letters.when(value.rlike("^[0-9a-fA-F]+$"), "abcdefabcdefabcd").otherwise("bcdfghjkmnpqrstv")
+        masked = F.concat(_masked(F.when(kind == "email", head).otherwise(value), hexes, letters), F.when(kind == "email", tail).otherwise(""))
+        return (
+            F.when(kind == "ip", _ip(hexes))
+            .when(kind == "card", _card(value, hexes))
+            .when(kind == "iban", _iban(value, hexes))
+            .when(kind.isin("given_f", "given_m", "given_u", "surname"), _word(hexes, value, attempt, kind))
+            .otherwise(masked)
+        )
+
+    return _let(_hex(key, kind, canonical(value, kind), attempt), made)
 
 
 def _parts(m: Column) -> Column:
@@ -177,19 +208,19 @@ def _parts(m: Column) -> Column:
     return F.when(kind == "name", F.transform(names, named)).otherwise(one)
 
 
-def _replaced(m: Column, key: str, attempts: Column) -> Column:
-    """A match with its parts replaced; what stands before the first part stays."""
-    parts = _parts(m)
+def _new(p: Column, key: str, known: Column) -> Column:
+    """The surrogate of a part; known: map of parts to the kind and attempt that they have besides the plain ones."""
+    other = F.try_element_at(known, F.concat_ws("\x01", p["kind"], canonical(p["value"], p["kind"])))
+    return surrogate(p["value"], F.coalesce(other["kind"], p["kind"]), F.coalesce(other["attempt"], F.lit(0)), key)
 
-    def new(p: Column) -> Column:
-        name = F.concat_ws("\x01", p["kind"], canonical(p["value"], p["kind"]))
-        return surrogate(p["value"], p["kind"], F.coalesce(F.try_element_at(attempts, name), F.lit(0)), key)
 
+def _replaced(m: Column, new: Column) -> Column:
+    """A match with its parts replaced as in the map new; what stands before the first part stays."""
     kind = kind_of(m)
     kept = F.when(kind == "name", F.concat(F.substring_index(m, " ", 1), F.lit(" "))).otherwise(
         F.substring(m, F.lit(1), F.length(m) - F.length(_value(m, kind)))
     )
-    return F.concat(kept, F.array_join(F.transform(parts, new), " "))
+    return F.concat(kept, F.array_join(F.transform(_parts(m), lambda p: F.element_at(new, p)), " "))
 
 
 def _searched(text: Column) -> Column:
@@ -203,7 +234,8 @@ def _matches(text: Column) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon, distinct) with attempt and surrogate, all surrogates of a kind distinct and none real."""
-    made = lambda df: df.withColumn("surrogate", canonical(surrogate(F.col("canon"), F.col("kind"), F.col("attempt"), key), F.col("kind")))
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a surrogate costs far more than its bytes
+    made = lambda df: df.repartition(tasks, "kind", "canon").withColumn("surrogate", canonical(surrogate(F.col("canon"), F.col("kind"), F.col("attempt"), key), F.col("kind")))
     now = stored(made(entities.withColumn("attempt", F.lit(0))), "pii-surrogates")
     while True:
         real = entities.select("kind", F.col("canon").alias("surrogate"))
@@ -214,36 +246,68 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if losers.isEmpty():
             return now
         again = now.join(losers.withColumn("again", F.lit(1)), ["kind", "canon"], "left")
-        now = stored(made(again.select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))), "pii-surrogates")
+        again = again.select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"), F.when(F.col("again").isNull(), F.col("surrogate")).alias("kept"))
+        # Only those that try again are computed anew.
+        new = made(again.where("kept IS NULL").drop("kept"))
+        now = stored(again.where("kept IS NOT NULL").withColumnRenamed("kept", "surrogate").unionByName(new), "pii-surrogates")
+
 
+def _genders(entities: DataFrame) -> DataFrame:
+    """kind, canon and as: given names of no known gender that have one elsewhere, and the kind they have there."""
+    given = entities.where(F.col("kind").isin("given_f", "given_m")).groupBy("canon").agg(F.min("kind").alias("as"), F.max("kind").alias("other"))
+    unknown = entities.where("kind = 'given_u'")
+    return unknown.join(given.where(F.col("as") == F.col("other")), "canon").select("kind", "canon", "as")
 
-def pseudonymized(documents: DataFrame, key: str = "kelpline") -> DataFrame:
+
+def pseudonymized(documents: DataFrame, key: str | None = None) -> DataFrame:
     """documents with personal data in text replaced; all other columns, and texts without personal data, as they are.
 
-    Null and empty texts stay; repeated rows are replaced alike, rows with one doc_id each for its own text.  Columns
-    whose names begin with _pii_ are not allowed in documents.
+    key: what surrogates depend on; without one the session's spark.kelpline.pii.key, and where that is unset a public one.
+    Null and empty texts stay; repeated rows are replaced alike, rows with one doc_id each for its own text; an empty
+    table stays empty.  Columns of documents may have any names.
     """
+    key = key or documents.sparkSession.conf.get("spark.kelpline.pii.key", None) or "kelpline"
+    taken = set(documents.columns)
+    free = next(p for p in (f"_pii{k}_" for k in range(len(taken) + 1)) if not any(c.startswith(p) for c in taken))
+    matches, known, text_key, pieces, new, words = (free + x for x in ("matches", "known", "text", "pieces", "new", "words"))
     found = documents.select(F.explode(F.array_distinct(_matches(F.col("text")))).alias("m"))
     found = found.select(F.explode(_parts(F.col("m"))).alias("p")).select("p.kind", canonical(F.col("p.value"), F.col("p.kind")).alias("canon"))
     entities = stored(found.distinct(), "pii-entities")
-    later = surrogates(entities, key).where("attempt > 0").select(F.concat_ws("\x01", "kind", "canon").alias("name"), "attempt")
-    later = stored(later, "pii-attempts")
-    rows = documents.withColumn("_pii_matches", _matches(F.col("text")))
+    genders = stored(_genders(entities), "pii-genders")
+    own = entities.join(genders.select("kind", "canon"), ["kind", "canon"], "left_anti")
+    attempts = surrogates(own, key).where("attempt > 0").select("kind", "canon", "attempt")
+    plain = attempts.select(F.concat_ws("\x01", "kind", "canon").alias("name"), F.struct("kind", "attempt").alias("known"))
+    there = genders.alias("g").join(attempts.alias("a"), (F.col("g.as") == F.col("a.kind")) & (F.col("g.canon") == F.col("a.canon")), "left")
+    there = there.select(F.concat_ws("\x01", "g.kind", "g.canon").alias("name"), F.struct(F.col("g.as").alias("kind"), F.coalesce("a.attempt", F.lit(0)).alias("attempt")).alias("known"))
+    later = stored(plain.unionByName(there), "pii-known")
+    kind = "map<string,struct<kind:string,attempt:int>>"
+    rows = documents.withColumn(matches, _matches(F.col("text")))
     if later.isEmpty():
-        rows = rows.withColumn("_pii_attempts", F.create_map().cast("map<string,int>"))
+        rows = rows.withColumn(known, F.create_map().cast(kind))
     else:
-        texts = documents.select(F.xxhash64("text").alias("_pii_text"), F.explode(F.array_distinct(_matches(F.col("text")))).alias("m"))
-        parts = texts.select("_pii_text", F.explode(_parts(F.col("m"))).alias("p"))
-        parts = parts.select("_pii_text", F.concat_ws("\x01", "p.kind", canonical(F.col("p.value"), F.col("p.kind"))).alias("name"))
-        held = parts.distinct().join(later, "name").groupBy("_pii_text").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("_pii_attempts"))
+        texts = documents.select(F.xxhash64("text").alias(text_key), F.explode(F.array_distinct(_matches(F.col("text")))).alias("m"))
+        parts = texts.select(text_key, F.explode(_parts(F.col("m"))).alias("p"))
+        parts = parts.select(text_key, F.concat_ws("\x01", "p.kind", canonical(F.col("p.value"), F.col("p.kind"))).alias("name"))
+        held = parts.distinct().join(later, "name").groupBy(text_key).agg(F.map_from_entries(F.collect_list(F.struct("name", "known"))).alias(known))
         # Equal hashes of different texts only make a map larger than it need be.
-        rows = rows.withColumn("_pii_text", F.xxhash64("text")).join(stored(held, "pii-held"), "_pii_text", "left").drop("_pii_text")
-        rows = rows.withColumn("_pii_attempts", F.coalesce("_pii_attempts", F.create_map().cast("map<string,int>")))
-    pieces = F.split(F.col("text"), f"(?:{ANY})", -1)
-    joined = F.transform(
-        F.col("_pii_matches"), lambda m, i: F.concat(_replaced(m, key, F.col("_pii_attempts")), F.element_at(F.col("_pii_pieces"), i + 2))
-    )
-    some = F.size("_pii_matches") > 0
-    rows = rows.withColumn("_pii_pieces", F.when(some, pieces))
-    text = F.when(some, F.concat(F.element_at("_pii_pieces", 1), F.array_join(joined, ""))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*documents.columns)
+        rows = rows.withColumn(text_key, F.xxhash64("text")).join(stored(held, "pii-held"), text_key, "left").drop(text_key)
+        rows = rows.withColumn(known, F.coalesce(known, F.create_map().cast(kind)))
+    split = F.split(F.col("text"), f"(?:{ANY})", -1)
+    some = F.size(matches) > 0
+    rows = rows.withColumn(pieces, F.when(some, split))
+    parts = F.array_distinct(F.flatten(F.transform(matches, _parts)))
+    made = F.map_from_entries(F.transform(parts, lambda p: F.struct(p.alias("part"), _new(p, key, F.col(known)).alias("new"))))
+    rows = rows.withColumn(new, F.when(some, made))
+    # The words of names found after an honorific, wherever they stand in between.
+    named = F.filter(F.map_entries(new), lambda e: e["key"]["kind"].rlike("^(given_|surname)"))
+    rows = rows.withColumn(words, F.when(some, F.transform(named, lambda e: F.struct(e["key"]["value"].alias("word"), e["value"].alias("new")))))
+
+    def renamed(piece: Column) -> Column:
+        whole = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), w["word"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.aggregate(words, piece, lambda text, w: F.when(text.contains(w["word"]), F.regexp_replace(text, whole(w), w["new"])).otherwise(text))
+
+    # Two mentions of a column of words, so that it is computed once for a row and not for each piece.
+    rows = rows.withColumn(pieces, F.when(F.size(words) > 0, F.transform(pieces, renamed)).otherwise(F.col(pieces)))
+    joined = F.transform(matches, lambda m, i: F.concat(_replaced(m, F.col(new)), F.element_at(F.col(pieces), i + 2)))
+    text = F.when(some, F.concat(F.element_at(pieces, 1), F.array_join(joined, ""))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*[f"`{c}`" for c in documents.columns])
