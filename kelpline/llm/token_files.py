@@ -9,7 +9,8 @@ A file is a row of frames, each of whole documents in ascending doc_id order:
 A block's ids, less its minimum, are packed at a bit width that holds a percentile of them; the percentile (of
 PERCENTILES) is the one that makes the block shortest.  Larger values stand in the exception list, with their places.
 Spark's own writer makes the files, one for each range of doc_id, so its commit protocol holds if executors are lost;
-its line end after each frame is skipped by the reader.
+its line end after each frame is skipped by the reader.  A file holds FILE_FRAMES frames at most, so readers hold a bounded
+piece, however large the corpus; read_span decodes only the blocks of a range of ids, found by the index.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from kelpline.llm.tokens import tokenizer, word_vocabulary
 HEAD = struct.Struct("<4sIIIIIIQ")
 PERCENTILES = (0.5, 0.75, 0.9, 0.97, 1.0)
 BLOCK = 512
+FILE_FRAMES = 8
 NULL_ID = -(1 << 63)
 ENTRY = np.dtype([("least", "<u4"), ("width", "u1"), ("zero", "u1"), ("exceptions", "<u2")])
 
@@ -172,7 +174,63 @@ def write_token_files(
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(encode, "frame binary")
-    made.select(F.col("frame").cast("string").alias("value")).write.text(path)
+    made.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_FRAMES).text(path)
+
+
+def _bases(frames_of: DataFrame) -> DataFrame:
+    """part, frame and base (ids in all frames before), from rows of part, frame and n (ids)."""
+    # One row for each task that wrote, then the frames of each task by themselves.
+    parts = frames_of.groupBy("part").agg(F.sum("n").alias("of_part"))
+    before = F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1))
+    return frames_of.withColumn("within", F.coalesce(within, F.lit(0))).join(parts, "part").select("part", "frame", (F.col("before") + F.col("within")).alias("base"))
+
+
+def frame_heads(data: bytes) -> list[tuple[int, int, int, int]]:
+    """(byte, part, frame number, ids) of each frame in a file."""
+    at, out = 0, []
+    while at + HEAD.size <= len(data):
+        _, length, part, number, _, _, _, n = HEAD.unpack_from(data, at)
+        out.append((at, part, number, n))
+        at += length + 1
+    return out
+
+
+def ids_between(data: bytes, at: int, start: int, stop: int) -> np.ndarray:
+    """Ids start to stop of the frame at byte `at` of a file; only the blocks that hold them are decoded."""
+    _, _, _, _, docs, size, blocks, n = HEAD.unpack_from(data, at)
+    start, stop = max(0, start), min(n, stop)
+    if start >= stop:
+        return np.zeros(0, np.uint32)
+    p = at + HEAD.size + 12 * docs
+    first, last = start // size, -(-stop // size)
+    index = np.frombuffer(data, "<u4", last - first, p + 4 * first).astype(np.int64) + p + 4 * (blocks + 1)
+    return unpack_blocks(data, index, size).reshape(-1)[start - first * size : stop - first * size]
+
+
+def read_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """The ids of all documents, laid end to end, from place `start` to `stop`: position (of the first) and ids, a row for
+    each frame that holds some.  Frames outside of the span are passed over by their heads."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out = [(name, *head) for head in frame_heads(data.as_py())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["path", "at", "part", "frame", "n"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, at, base in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                ids = ids_between(data, at, start - base, stop - base)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([max(start, base)]), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["position", "ids"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = stored(files.mapInArrow(heads, "path string, at long, part long, frame long, n long"), "token-heads")
+    wanted = found.join(_bases(found.select("part", "frame", "n")), ["part", "frame"]).where((F.col("base") < stop) & (F.col("base") + F.col("n") > start))
+    return files.join(wanted, "path").select("content", "at", "base").mapInArrow(decode, "position long, ids array<long>")
 
 
 def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
@@ -207,10 +265,7 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) ->
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = "part long, frame long, doc_id long, within long, n_tokens long, ids_crc32 long" + ids_type
     docs = stored(files.mapInArrow(decode, schema), "token-index")
-    # One row for each frame of two million ids: a small table even for a very large corpus.
-    totals = docs.groupBy("part", "frame").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part", "frame").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("part", "frame", F.coalesce(before, F.lit(0)).alias("base"))
+    starts = _bases(docs.groupBy("part", "frame").agg(F.sum("n_tokens").alias("n")))
     out = docs.join(starts, ["part", "frame"])
     kept = ["ids"] if keep_ids else []
     return out.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *kept)

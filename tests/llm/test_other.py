@@ -92,14 +92,14 @@ def test_decontamination_native(documents, spark, sf_dir):
 def test_top_k_brute(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=3).round(1).tolist()) for i in range(700)]
-    rows += [(i, [0.5, 0.5, 0.5]) for i in range(1000, 1400)] + [(2000, None), (2001, [1.0, None, 2.0]), (2002, [float("nan"), 1.0, 1.0]), (2003, []), (None, [1.0, 1.0, 1.0]), (50, rows[50][1]), (2050, [1e9, 1.0, 0.0]), (2100, [1.0, 2.0])]
+    rows += [(i, [0.5, 0.5, 0.5]) for i in range(1000, 1400)] + [(2000, None), (2001, [1.0, None, 2.0]), (2002, [float("nan"), 1.0, 1.0]), (2003, []), (None, [1.0, 1.0, 1.0]), (50, rows[50][1]), (100, [9.0, 9.0, 9.0]), (2050, [1e9, 1.0, 0.0]), (2100, [1.0, 2.0])]
     vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard"))
     got = topk.inner_product_top_k(vectors.where("vec_id % 50 = 0"), vectors, 5).collect()
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and i not in (2000, 2001, 2002, 2003)}
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and i not in (2000, 2001, 2002, 2003)]
     want = set()
-    for q, v in whole.items():
+    for own, (q, v) in enumerate(whole):
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in whole.items() if i != q and len(x) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for at, (i, x) in enumerate(whole) if at != own and len(x) == len(v))
             want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:5])}
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
     assert topk.inner_product_top_k(vectors.limit(0), vectors, 5).count() == 0

@@ -55,6 +55,18 @@ def test_token_files_odd(spark, odd_documents, no_documents, tmp_path):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in kept.collect())
 
 
+def test_spans_of_token_files(spark, documents, tmp_path, monkeypatch):
+    """Ranges of ids over blocks, frames and files equal those of the whole texts laid end to end."""
+    monkeypatch.setattr(token_files, "FILE_FRAMES", 2)
+    path = "file://" + str(tmp_path / "spans")
+    token_files.write_token_files(documents, path, frame_ids=3000)
+    every = np.concatenate([whole(r.text) for r in documents.orderBy("doc_id").collect()])
+    for start, stop in ((0, 10), (2990, 9100), (12_345, 12_346), (len(every) - 700, len(every) + 50), (40, 40)):
+        rows = sorted(token_files.read_span(spark, path, start, stop).collect())
+        got = np.concatenate([r.ids for r in rows]) if rows else np.zeros(0)
+        assert got.tolist() == every[start:stop].tolist()
+
+
 @pytest.mark.parametrize("length", [64, 2048])
 def test_pack_sequences(documents, odd_documents, no_documents, length):
     for table in (documents, odd_documents):
