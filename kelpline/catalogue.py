@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import crawling, curation, evaluation, learning
+from kelpline.plans import crawling, curation, evaluation, learning, records
 
-MODULES = (evaluation, curation, crawling, learning)
+MODULES = (evaluation, curation, crawling, learning, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,17 +66,63 @@ BOTTOM_GENERATORS = [
     "runway_gen2", "runway-gen3", "veo2", "pika1", "stable_video_diffusion", "kling1", "ltxv", "animatediff", "modelscope_t2v",
 ]
 CARTOON_TERMS = ["anime", "cartoon", "waifu", "mmd", "动画", "动漫", "卡通", "二次元", "漫画", "国漫", "番剧", "手办", "萌宠"]
-# Titles and tags that keep a video out, in this order.
+# Terms of titles and tags that keep a video out, each list in this order.
+AVATAR_TERMS = [
+    "vtuber", "vtube", "vup", "虚拟主播", "虚拟偶像", "虚拟up主", "虚拟youtuber", "虚拟yt", "管人痴", "皮套", "中之人", "hololive", "a-soul", "asoul",
+    "にじさんじ", "彩虹社", "neuro-sama", "vedal",
+]
+AVATAR_NAMES = [
+    "东雪莲", "東雪蓮", "阿梓", "嘉然", "乃琳", "贝拉", "珈乐", "向晚", "嘉心糖", "乃贝", "鹿鸣", "叶瞬光", "neuro", "夏色まつり", "神楽めあ",
+    "月ノ美兎", "月之美兔",
+]
 TUTORIAL_TERMS = [
     "教程", "教学", "入门", "保姆级", "手把手", "教会你", "一分钟教会", "秒教会", "使用方法", "使用指南", "ai教程", "工作流", "comfyui", "comfy ui",
     "整合包", "一键包", "一键整合", "本地部署", "免安装", "附安装包", "tutorial", "step by step", "step-by-step", "how to use",
     "how to make", "how to create", "beginner", "walkthrough", "guide",
 ]
-TUTORIAL_TAG_TERMS = ["教程", "教学", "保姆级", "手把手", "教会你", "跟我学", "学习ai", "ai学习", "学ai", "tutorial", "beginner", "walkthrough"]
+TUTORIAL_TAG_TERMS = [
+    "教程", "教学", "入门教程", "入门教学", "保姆级", "手把手", "教会你", "跟我学", "学习ai", "ai学习", "学ai", "ai教程", "ai教学", "sd教程", "sd教学", "sd学习",
+    "comfyui教程", "comfyui教学", "comfyui入门", "工作流教程", "提示词教学", "tutorial", "beginner", "walkthrough",
+]
 TUTORIAL_NEGATIVE = ["从零开始的异世界"]
-MUSIC_TERMS = ["[suno", "【suno", "ai翻唱", "ai歌手", "ai配乐", "ai cover", "ai歌曲", "ai音乐生成", "ai作曲", "ai编曲", "ai作词", "ai写歌"]
+MUSIC_TERMS = [
+    "[suno", "【suno", "ai翻唱", "ai歌手", "ai配乐", "ai cover", "ai歌曲", "ai音乐生成", "ai作曲", "ai编曲", "ai作词", "ai写歌", "ai原创歌曲", "ai原创音乐",
+]
 VIDEO_NEGATIVE = ["ai电影", "ai短片", "ai动画", "ai视频", "ai剧集", "ai仿真人", "ai真人", "ai短剧", "ai长片", "ai mv"]
-ANCHOR_TERMS = ["ai主播", "ai女主播", "ai男主播", "ai数字人", "数字人主播", "数字主播", "ai带货", "ai播报", "ai播音", "ai新闻主播", "ai虚拟主播"]
+ANCHOR_TERMS = [
+    "ai主播", "ai女主播", "ai男主播", "ai数字人", "ai虚拟主播", "数字人主播", "数字主播", "ai数字分身", "ai带货", "ai播报", "ai播音", "ai新闻主播", "ai直播间",
+]
+ANCHOR_TAG_TERMS = ["ai主播", "ai女主播", "ai男主播", "ai数字人", "数字人主播", "数字主播", "数字分身", "ai带货", "ai播报", "ai播音", "ai新闻主播", "ai虚拟主播"]
+# Tags of music and of swapped faces, titles of the latter, and tags of tools that rescue a video.
+MUSIC_TAGS = [
+    "ai翻唱", "ai歌手", "ai配乐", "ai歌曲", "ai cover", "sunoai", "ai音乐征集大赛", "全能音乐挑战赛", "ai虚拟之声实验室", "翻唱", "古风翻唱", "戏腔", "说唱",
+    "中文说唱", "嘻哈", "hiphop", "rap", "kpop", "k-pop", "cover",
+]
+FACE_TAGS = ["换脸", "ai换脸", "换头", "人脸替换", "deepfacelab", "deepfacelive", "roop", "faceswap", "face swap", "facefusion", "insightface"]
+FACE_TERMS = ["换脸", "换头", "人脸替换", "deepfacelab", "deepfacelive", "roop换脸", "facefusion"]
+TOOL_TAGS = [
+    "pika", "pika ai", "pikalabs", "kling", "可灵", "可灵ai", "runway", "即梦", "dreamina", "hailuo", "luma", "dream machine", "hunyuan", "通义", "万相",
+    "通义万相", "wan2", "ai视频", "ai动画", "ai生成视频", "视频生成",
+]
+# Generators as one platform's titles name them, the first match counts.
+SHORT_VIDEO_PATTERNS = [
+    (r"sora\s*2", "sora2"),
+    (r"sora", "sora2"),
+    (r"可灵|kling", "kling21"),
+    (r"即梦|dreamina", "dreamina3"),
+    (r"runway", "runway-gen4"),
+    (r"veo\s*3", "veo3"),
+    (r"hailuo|海螺|minimax", "hailuo"),
+    (r"pika", "pika2"),
+    (r"luma|dream\s*machine", "luma"),
+    (r"hunyuan|混元", "hunyuan"),
+    (r"通义万相|wanx|wan\s*2", "wan21"),
+    (r"stable\s*video|svd", "stable_video_diffusion"),
+    (r"seedance", "seedance"),
+    (r"vidu", "vidu"),
+    (r"pixverse", "pixverse"),
+    (r"gen[\s-]?mo", "genmo"),
+]
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -119,18 +165,20 @@ def tag_rule(tags: Column, terms: list[str], rescue: list[str]) -> Column:
     return tags_any(tags, terms) & ~tags_any(tags, rescue)
 
 
-def exclusion_reason(title: Column, tags: Column, avatar_terms: list[str]) -> Column:
-    """Why a video is kept out, `category:term`: avatars, tutorials, music, presenters, in this order; null if it stays."""
+def exclusion_reason(title: Column, tags: Column) -> Column:
+    """Why a video is kept out, `category:term`: avatars (terms, then names), tutorials, music, presenters, in this order;
+    null if it stays."""
     low, tag = F.lower(F.coalesce(title, F.lit(""))), tag_text(tags)
     said = lambda name, term: F.concat(F.lit(f"{name}:"), term)
-    both = F.concat_ws("\t", tag, low)
+    either = lambda terms: F.coalesce(*[F.when(tag.contains(t) | low.contains(t), F.lit(t)) for t in terms])
     tutorial = F.coalesce(said("tut", first_term(low, TUTORIAL_TERMS)), said("tut_tag", first_term(tag, TUTORIAL_TAG_TERMS)))
     return F.coalesce(
-        said("vt_tag", first_term(both, avatar_terms)),
-        F.when(~any_term(title, TUTORIAL_NEGATIVE), tutorial),
+        said("vt_tag", either(AVATAR_TERMS)),
+        said("vt_name", either(AVATAR_NAMES)),
+        F.when(~any_term(F.coalesce(title, F.lit("")), TUTORIAL_NEGATIVE), tutorial),
         F.when(~any_term(low, VIDEO_NEGATIVE), said("ai_music", first_term(low, MUSIC_TERMS))),
         said("ai_anchor", first_term(low, ANCHOR_TERMS)),
-        said("ai_anchor_tag", first_term(tag, ANCHOR_TERMS)),
+        said("ai_anchor_tag", first_term(tag, ANCHOR_TAG_TERMS)),
     )
 
 
@@ -185,3 +233,35 @@ def umbrella_platform(platform: Column, tags: Column) -> Column:
     start = F.concat(platform, F.lit(":"))
     first = F.get(F.filter(F.from_json(tags, "array<string>"), lambda t: t.startswith(start)), 0)
     return F.coalesce(F.substring(first, F.length(start) + 1, F.length(first)), platform)
+
+
+def unfenced(answer: Column) -> Column:
+    """A text without the lines that begin with three backticks, if it begins with them itself."""
+    plain = F.trim(answer)
+    lines = F.filter(F.split(plain, "\n"), lambda x: ~F.trim(x).startswith("```"))
+    return F.when(plain.startswith("```"), F.trim(F.array_join(lines, "\n"))).otherwise(plain)
+
+
+def raw_url(repo: Column, path: Column) -> Column:
+    """The address that a dataset's file is loaded from."""
+    return F.format_string("https://huggingface.co/datasets/%s/resolve/main/%s", repo, path)
+
+
+def safe_name(name: Column) -> Column:
+    """Whether a file name stays in its folder."""
+    return ~(name.contains("/") | name.contains("..") | name.contains("\\"))
+
+
+def compact_date(text: Column) -> Column:
+    """`20240131` as a date; null for other lengths and for what is no date."""
+    return F.when(F.length(text) == 8, F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
+
+
+def middle_time(duration: Column) -> Column:
+    """The time of the middle frame, half a second in at least."""
+    return F.greatest(F.lit(0.5), duration / 2)
+
+
+def frame_index(frames: Column, i: Column, n: int) -> Column:
+    """The frame in the middle of the i-th of n equal parts of a video, one of its frames."""
+    return F.least(F.greatest(frames - 1, F.lit(0)), F.floor(frames * (i + 0.5) / n).cast("int"))

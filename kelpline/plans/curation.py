@@ -165,22 +165,74 @@ def filter_chain(spark, sf_dir):
     return A.videos(spark, sf_dir).groupBy(F.coalesce(stage, F.lit("kept")).alias("stage")).agg(F.count("*").alias("n"))
 
 
-#: Words that the invented prose does hold stand for the terms of avatars here.
-AVATARS = ["with", "nicht", "para", "des "]
-# Titles with the terms of all categories, from the rows themselves.
-PLANTED_TITLE = "CASE id % 6 WHEN 0 THEN concat(title, ' Tutorial') WHEN 1 THEN concat('从零开始的异世界 tutorial ', title) WHEN 2 THEN concat(title, ' AI cover') WHEN 3 THEN concat(title, ' AI cover AI MV') WHEN 4 THEN concat('AI主播 ', title) ELSE title END"
+#: What titles and tags are given besides, by id: each term of the rules, once in a title and once in a tag, and cases
+#: in which one rule yields to another.  Written out here, so that the SQL owes nothing to the lists of the rules.
+SAID = """vtuber vtube vup 虚拟主播 虚拟偶像 虚拟up主 虚拟youtuber 虚拟yt 管人痴 皮套 中之人 hololive a-soul asoul にじさんじ 彩虹社 neuro-sama vedal
+东雪莲 東雪蓮 阿梓 嘉然 乃琳 贝拉 珈乐 向晚 嘉心糖 乃贝 鹿鸣 叶瞬光 neuro 夏色まつり 神楽めあ 月ノ美兎 月之美兔
+教程 教学 入门 保姆级 手把手 教会你 一分钟教会 秒教会 使用方法 使用指南 AI教程 工作流 ComfyUI comfy_ui 整合包 一键包 一键整合 本地部署 免安装 附安装包
+Tutorial step_by_step step-by-step how_to_use how_to_make how_to_create beginner walkthrough guide 入门教程 入门教学 跟我学 学习ai ai学习 学ai ai教学 sd教程
+sd教学 sd学习 comfyui教程 comfyui教学 comfyui入门 工作流教程 提示词教学 从零开始的异世界_tutorial 从零开始的异世界_ai_cover
+[Suno 【suno AI翻唱 ai歌手 ai配乐 AI_Cover ai歌曲 ai音乐生成 ai作曲 ai编曲 ai作词 ai写歌 ai原创歌曲 ai原创音乐 ai_cover_AI_MV ai翻唱_ai短剧
+ai主播 ai女主播 ai男主播 ai数字人 ai虚拟主播 数字人主播 数字主播 ai数字分身 ai带货 ai播报 ai播音 ai新闻主播 ai直播间 数字分身 ai虚拟主播_数字人主播
+换脸_pika ai换脸 roop_runway faceswap 翻唱_kling k-pop nothing""".split()
+SAID_SQL = "[" + ", ".join("'" + x.replace("_", " ") + "'" for x in SAID) + "]"
+SAID_SPARK = "array(" + ", ".join("'" + x.replace("_", " ") + "'" for x in SAID) + ")"
+EXCLUSIONS_SQL = """
+, t AS (
+  SELECT id, source_platform, CASE WHEN (id // {n}) % 2 = 0 THEN concat(title, ' ', x[1 + id % {n}]) ELSE title END AS title,
+    CASE WHEN id % 23 = 0 THEN NULL WHEN id % 29 = 0 THEN '{{bad' ELSE concat('["x","', CASE WHEN (id // {n}) % 2 = 1 THEN x[1 + id % {n}] ELSE '' END, '"]') END AS tags_json
+  FROM v_videos, (SELECT {said} AS x)
+), w AS (
+  SELECT *, lower(title) AS low, CASE WHEN tags_json LIKE '[%' THEN lower(array_to_string(from_json(tags_json, '["VARCHAR"]'), chr(9))) ELSE lower(coalesce(tags_json, '')) END AS tags FROM t
+), m AS (
+  SELECT id, source_platform,
+    list_filter(['vtuber','vtube','vup','虚拟主播','虚拟偶像','虚拟up主','虚拟youtuber','虚拟yt','管人痴','皮套','中之人','hololive','a-soul','asoul','にじさんじ','彩虹社','neuro-sama','vedal'], lambda k: contains(tags, k) OR contains(low, k))[1] AS vt,
+    list_filter(['东雪莲','東雪蓮','阿梓','嘉然','乃琳','贝拉','珈乐','向晚','嘉心糖','乃贝','鹿鸣','叶瞬光','neuro','夏色まつり','神楽めあ','月ノ美兎','月之美兔'], lambda k: contains(tags, k) OR contains(low, k))[1] AS vn,
+    contains(title, '从零开始的异世界') AS no_tut,
+    list_filter(['教程','教学','入门','保姆级','手把手','教会你','一分钟教会','秒教会','使用方法','使用指南','ai教程','工作流','comfyui','comfy ui','整合包','一键包','一键整合','本地部署','免安装','附安装包','tutorial','step by step','step-by-step','how to use','how to make','how to create','beginner','walkthrough','guide'], lambda k: contains(low, k))[1] AS tut,
+    list_filter(['教程','教学','入门教程','入门教学','保姆级','手把手','教会你','跟我学','学习ai','ai学习','学ai','ai教程','ai教学','sd教程','sd教学','sd学习','comfyui教程','comfyui教学','comfyui入门','工作流教程','提示词教学','tutorial','beginner','walkthrough'], lambda k: contains(tags, k))[1] AS tut_tag,
+    len(list_filter(['ai电影','ai短片','ai动画','ai视频','ai剧集','ai仿真人','ai真人','ai短剧','ai长片','ai mv'], lambda k: contains(low, k))) > 0 AS no_music,
+    list_filter(['[suno','【suno','ai翻唱','ai歌手','ai配乐','ai cover','ai歌曲','ai音乐生成','ai作曲','ai编曲','ai作词','ai写歌','ai原创歌曲','ai原创音乐'], lambda k: contains(low, k))[1] AS music,
+    list_filter(['ai主播','ai女主播','ai男主播','ai数字人','ai虚拟主播','数字人主播','数字主播','ai数字分身','ai带货','ai播报','ai播音','ai新闻主播','ai直播间'], lambda k: contains(low, k))[1] AS anchor,
+    list_filter(['ai主播','ai女主播','ai男主播','ai数字人','数字人主播','数字主播','数字分身','ai带货','ai播报','ai播音','ai新闻主播','ai虚拟主播'], lambda k: contains(tags, k))[1] AS anchor_tag,
+    len(list_filter(['ai翻唱','ai歌手','ai配乐','ai歌曲','ai cover','sunoai','ai音乐征集大赛','全能音乐挑战赛','ai虚拟之声实验室','翻唱','古风翻唱','戏腔','说唱','中文说唱','嘻哈','hiphop','rap','kpop','k-pop','cover'], lambda k: contains(tags, k))) > 0 AS music_tag,
+    len(list_filter(['换脸','ai换脸','换头','人脸替换','deepfacelab','deepfacelive','roop','faceswap','face swap','facefusion','insightface'], lambda k: contains(tags, k))) > 0 AS face_tag,
+    len(list_filter(['换脸','换头','人脸替换','deepfacelab','deepfacelive','roop换脸','facefusion'], lambda k: contains(low, k))) > 0 AS face_title,
+    len(list_filter(['pika','kling','可灵','runway','即梦','dreamina','hailuo','luma','dream machine','hunyuan','通义','万相','wan2','ai视频','ai动画','ai生成视频','视频生成'], lambda k: contains(tags, k))) > 0 AS tool FROM w
+), r AS (
+  SELECT id, source_platform, music_tag AND NOT tool AS music_only, face_tag AND NOT tool AS face_only, face_title, tut_tag IS NOT NULL AS tutorial, coalesce('vt_tag:' || vt, 'vt_name:' || vn,
+    CASE WHEN NOT no_tut THEN coalesce('tut:' || tut, 'tut_tag:' || tut_tag) END, CASE WHEN NOT no_music THEN 'ai_music:' || music END, 'ai_anchor:' || anchor, 'ai_anchor_tag:' || anchor_tag) AS reason FROM m
+)
+""".format(n=len(SAID), said=SAID_SQL)
 
 
-@query(
-    V + f", t AS (SELECT id, {PLANTED_TITLE} AS title, CASE WHEN content_tags LIKE '[%' THEN lower(array_to_string(from_json(content_tags, '[\"VARCHAR\"]'), chr(9))) ELSE lower(coalesce(content_tags, '')) END AS tags FROM v_videos),"
-    " w AS (SELECT *, lower(title) AS low FROM t), r AS (SELECT id, coalesce('vt_tag:' || " + terms_sql("concat(tags, chr(9), low)", AVATARS)
-    + ", CASE WHEN NOT contains(title, '从零开始的异世界') THEN coalesce('tut:' || " + terms_sql("low", T.TUTORIAL_TERMS) + ", 'tut_tag:' || " + terms_sql("tags", T.TUTORIAL_TAG_TERMS)
-    + ") END, CASE WHEN " + terms_sql("low", T.VIDEO_NEGATIVE) + " IS NULL THEN 'ai_music:' || " + terms_sql("low", T.MUSIC_TERMS) + " END, 'ai_anchor:' || " + terms_sql("low", T.ANCHOR_TERMS)
-    + ", 'ai_anchor_tag:' || " + terms_sql("tags", T.ANCHOR_TERMS) + ") AS reason FROM w) SELECT id, reason FROM r"
-)
+def said(spark, sf_dir):
+    """Videos with the terms of SAID in their titles, or else in their tags."""
+    n = len(SAID)
+    word, turn = f"{SAID_SPARK}[CAST(id % {n} AS INT)]", f"(id div {n}) % 2"
+    tags = f"CASE WHEN id % 23 = 0 THEN NULL WHEN id % 29 = 0 THEN '{{bad' ELSE concat('[\"x\",\"', CASE WHEN {turn} = 1 THEN {word} ELSE '' END, '\"]') END"
+    return A.videos(spark, sf_dir).withColumn("title", F.expr(f"CASE WHEN {turn} = 0 THEN concat(title, ' ', {word}) ELSE title END")).withColumn("content_tags", F.expr(tags))
+
+
+@query(V + EXCLUSIONS_SQL + "SELECT id, reason FROM r")
 def exclusion_reason(spark, sf_dir):
-    v = A.videos(spark, sf_dir).withColumn("title", F.expr(PLANTED_TITLE))
-    return v.select("id", T.exclusion_reason(F.col("title"), F.col("content_tags"), AVATARS).alias("reason"))
+    return said(spark, sf_dir).select("id", T.exclusion_reason(F.col("title"), F.col("content_tags")).alias("reason"))
+
+
+@query(V + EXCLUSIONS_SQL + "SELECT split_part(reason, ':', 1) AS category, source_platform, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1, 2")
+def exclusion_report(spark, sf_dir):
+    v = said(spark, sf_dir).withColumn("reason", T.exclusion_reason(F.col("title"), F.col("content_tags"))).where("reason IS NOT NULL")
+    return v.groupBy(F.split_part("reason", F.lit(":"), F.lit(1)).alias("category"), "source_platform").agg(F.count("*").alias("n"))
+
+
+@query(V + EXCLUSIONS_SQL + "SELECT id, music_only, face_only, face_title, tutorial FROM r")
+def tag_rules(spark, sf_dir):
+    tags = F.coalesce(F.from_json("content_tags", "array<string>"), F.array(F.col("content_tags")))
+    tags = F.filter(tags, lambda t: t.isNotNull())
+    return said(spark, sf_dir).select(
+        "id", T.tag_rule(tags, T.MUSIC_TAGS, T.TOOL_TAGS).alias("music_only"), T.tag_rule(tags, T.FACE_TAGS, T.TOOL_TAGS).alias("face_only"),
+        T.any_term(F.lower("title"), T.FACE_TERMS).alias("face_title"), T.tags_any(tags, T.TUTORIAL_TAG_TERMS).alias("tutorial"),
+    )
 
 
 NAMES = ["sora", "Sora 1", "veo-3", "VEO 2", "kling 1.6", "Kling 2.1", "可灵2.1", "gen-3", "Runway", "svd", "wan 2.1", "MiniMax", "none"]

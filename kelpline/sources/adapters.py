@@ -58,14 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawled videos: documents with labels and events; equal texts point at the first."""
-    d = table(spark, sf_dir, "documents").alias("d")
-    first = table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.min("doc_id").alias("first_id")).alias("c")
+    """Crawled videos: documents with labels and events; equal texts point at the first.
+
+    Of a text only its digest and its first 60 characters, the fixture's title, go into joins.
+    """
+    rows = table(spark, sf_dir, "documents")
+    d = rows.selectExpr("doc_id", "lang", "source", "n_chars", "md5(text) AS digest", "substr(text, 1, 60) AS head").alias("d")
+    first = rows.selectExpr("doc_id", "md5(text) AS h").groupBy("h").agg(F.min("doc_id").alias("first_id")).alias("c")
     l = table(spark, sf_dir, "labels").alias("l")
     e = table(spark, sf_dir, "events").select("event_id", "ts").alias("e")
     joined = d.join(l, F.expr("l.doc_id = d.doc_id"), "left").join(e, F.expr("e.event_id = d.doc_id"), "left")
-    joined = joined.join(first, F.expr("c.h = md5(d.text)"), "left")
-    return joined.select(*[F.expr(x).alias(n) for n, x in VIDEOS.items()])
+    joined = joined.join(first, F.expr("c.h = d.digest"), "left")
+    narrow = lambda x: x.replace("md5(d.text)", "d.digest").replace("substr(d.text, 1, 60)", "d.head")
+    return joined.select(*[F.expr(narrow(x)).alias(n) for n, x in VIDEOS.items()])
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
