@@ -213,7 +213,7 @@ def class_report(spark, sf_dir):
 
 @query(
     SCORED + ", q AS (SELECT detector, quantile_cont(score, 0.95) AS cut, count(*) FILTER (score >= 0.5) AS fp FROM x WHERE label = 0 GROUP BY 1),"
-    " f AS (SELECT detector, concat('gen::', generator) AS slice, score, 10 AS least FROM x WHERE label = 1 UNION ALL SELECT detector, concat('plat::', source_platform), score, 30 FROM x WHERE label = 1),"
+    " f AS (SELECT detector, concat('gen::', coalesce(generator, 'unknown')) AS slice, score, 10 AS least FROM x WHERE label = 1 UNION ALL SELECT detector, concat('plat::', source_platform), score, 30 FROM x WHERE label = 1),"
     " k AS (SELECT f.detector, slice, count(*) AS n, count(*) FILTER (score >= cut) AS hit, count(*) FILTER (score >= 0.5) AS tp, any_value(fp) AS fp FROM f JOIN q ON q.detector = f.detector GROUP BY 1, 2 HAVING count(*) >= any_value(least)),"
     " u AS (SELECT f.detector, f.slice, score, 1 AS label FROM f JOIN k ON k.detector = f.detector AND k.slice = f.slice UNION ALL SELECT k.detector, k.slice, score, 0 FROM k JOIN x ON x.detector = k.detector WHERE x.label = 0), "
     + auroc_sql("u", "detector, slice", {"auroc": 2})
@@ -222,7 +222,7 @@ def class_report(spark, sf_dir):
 def slice_metrics(spark, sf_dir):
     """Of the fakes of each generator (10 at least) and platform (30 at least): AUROC against all reals of the detector, share
     over the 95 % quantile of reals, and F1 at 0.5 with all false positives.  Everything is taken from counts by score."""
-    slices = F.array(F.struct(F.concat(F.lit("gen::"), F.col("generator")).alias("slice"), F.lit(10).alias("least")), F.struct(F.concat(F.lit("plat::"), F.col("source_platform")).alias("slice"), F.lit(30).alias("least")))
+    slices = F.array(F.struct(F.concat(F.lit("gen::"), F.coalesce("generator", F.lit("unknown"))).alias("slice"), F.lit(10).alias("least")), F.struct(F.concat(F.lit("plat::"), F.col("source_platform")).alias("slice"), F.lit(30).alias("least")))
     x = scored(spark, sf_dir)
     fakes = x.where("label = 1").select("detector", "score", F.explode(slices).alias("s")).groupBy("detector", "s.slice", "s.least", "score").agg(F.count("*").alias("nf"))
     reals = x.where("label = 0").groupBy("detector", "score").agg(F.count("*").alias("nr"))
