@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import dropped, stored
 from kelpline.llm.components import connected_components
-from kelpline.llm.shingles import digest, normalized, shingle_hashes, word_hashes
+from kelpline.llm.shingles import digest, hashed_texts, normalized, shingle_hashes
 
 ROWS, BANDS = 4, 40
 REGISTERS = ROWS * BANDS
@@ -103,7 +103,7 @@ def sketches(documents: DataFrame, shingle: int = 5) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 norms = [normalized(t) for t in some.column(2).to_pylist()]
-                sets = [np.unique(shingle_hashes(w, shingle)) for w in word_hashes(norms)]
+                sets = [np.unique(shingle_hashes(w, shingle)) for w in hashed_texts(norms)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0),
@@ -147,7 +147,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 norms = [normalized(t) for t in some.column(1).to_pylist()]
                 # Another text may have the same digest: only the node's own counts.
                 same = [digest(x) == node for x, node in zip(norms, some.column(0).to_pylist(), strict=True)]
-                sets = [np.unique(shingle_hashes(w, shingle)).tobytes() for w in word_hashes(norms)]
+                sets = [np.unique(shingle_hashes(w, shingle)).tobytes() for w in hashed_texts(norms)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], ["node", "hashes"]).filter(pa.array(same))
 
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.digest") == F.col("w.digest"))

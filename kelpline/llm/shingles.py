@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,7 +22,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
+    if len(_powers[0]) < n or len(_powers[0]) > max(n, 1 << 22):  # a very long text's tables are not kept
         size = max(n, 1 << 20)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
@@ -53,6 +54,18 @@ def word_hashes(norms: list[bytes]) -> list[np.ndarray]:
     return [hashes[c - n : c] if norm else hashes[:0] for norm, c, n in zip(norms, cuts.tolist(), counts.tolist(), strict=True)]
 
 
+def hashed_texts(norms: list[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """word_hashes of each text, taken some at a time so that arrays stay small: `most` bytes of texts, or one text."""
+    start = size = 0
+    for end, norm in enumerate(norms):
+        if size and size + len(norm) > most:
+            yield from word_hashes(norms[start:end])
+            start, size = end, 0
+        size += len(norm) + 1
+    if start < len(norms):
+        yield from word_hashes(norms[start:])
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k words; for fewer words one of them all; for none, none."""
     n = len(words)
