@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import crawling, curation, evaluation, learning, records
+from kelpline.plans import crawling, curation, evaluation, learning, records, upkeep
 
-MODULES = (evaluation, curation, crawling, learning, records)
+MODULES = (evaluation, curation, crawling, learning, records, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

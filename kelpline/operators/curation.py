@@ -156,3 +156,51 @@ def manifest_rows(rows: DataFrame, version: str) -> DataFrame:
     name = F.coalesce(F.nullif("claimed_generator", F.lit("")), F.lit("unknown"))
     license_ = F.lit("unknown")
     return rows.select(F.lit(version).alias("version"), "id", "source_platform", "source_id", "label", name.alias("claimed_generator"), "decision", "blob_url", license_.alias("source_license"))
+
+
+def benchmark_rows(videos: DataFrame, platform: str | None = None, limit: int | None = None) -> DataFrame:
+    """Canonical rows with a file of their own, and its path; the first `limit` by id if asked for."""
+    rows = videos.where(F.col("duplicate_of_id").isNull() & F.col("blob_url").startswith("file://"))
+    rows = rows if platform is None else rows.where(F.col("source_platform") == platform)
+    rows = rows.withColumn("local_path", F.expr("substr(blob_url, 8)"))
+    return rows if limit is None else rows.orderBy("id").limit(limit)
+
+
+def backfilled(videos: DataFrame, found: DataFrame, platforms: list[str]) -> DataFrame:
+    """videos with published_at from found (id, published_at) where it is missing, on the named platforms."""
+    late = found.select("id", F.col("published_at").alias("_found"))
+    wanted = F.col("published_at").isNull() & F.col("source_platform").isin(platforms)
+    return videos.join(late, "id", "left").withColumn("published_at", F.when(wanted, F.col("_found")).otherwise(F.col("published_at"))).drop("_found")
+
+
+def first_inserts(existing: DataFrame, batch: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """existing with the rows of new keys, each key's earliest by `at`."""
+    new = batch.groupBy(*keys).agg(F.min(at).alias(at)).join(existing, keys, "left_anti")
+    return existing.unionByName(new)
+
+
+def may_start(runs: DataFrame, group: str) -> DataFrame:
+    """Per group the run that is under way (the first of them), and whether another may start."""
+    active = F.when(F.col("status").isin("running", "cancelling"), F.col("id"))
+    return runs.groupBy(group).agg(F.min(active).alias("active_id")).withColumn("allowed", F.col("active_id").isNull())
+
+
+def closed_window_rows(videos: DataFrame, reviews: DataFrame, frozen_at: Column) -> DataFrame:
+    """Reviewed canonical rows by month of publication: `sliced` if reviewed before the month's slice was frozen, else `late`.
+
+    A slice is not opened again, so late rows go to a side output.  reviews: video_id, reviewed_at (the first counts).
+    """
+    first = reviews.groupBy("video_id").agg(F.min("reviewed_at").alias("reviewed_at"))
+    rows = videos.where("duplicate_of_id IS NULL AND published_at IS NOT NULL").join(first, F.col("video_id") == F.col("id"))
+    rows = rows.withColumn("month", F.date_trunc("month", "published_at").cast("timestamp_ntz"))
+    return rows.withColumn("fate", F.when(F.col("reviewed_at") < frozen_at, "sliced").otherwise("late"))
+
+
+def recomputed(videos: DataFrame, selected: Column) -> DataFrame:
+    """id and duplicate_of_id after the selected rows' pointers were cleared and found again: each points at the first row,
+    by crawl, with its source_id; rows that were not selected keep theirs and come before all that are."""
+    order = F.struct(selected.alias("later"), "crawled_at", "id")
+    first = videos.groupBy("source_id").agg(F.min(order).alias("first"))
+    rows = videos.join(first, "source_id")
+    new = F.when(F.col("first.id") != F.col("id"), F.col("first.id"))
+    return rows.select("id", F.when(selected, new).otherwise(F.col("duplicate_of_id")).alias("duplicate_of_id"))

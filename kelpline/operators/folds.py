@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """id and component (its least id) of the rows that pairs (a, b) join; labels fall along pairs until none does.
 
     Each round halves the way to go by also taking the label of a row's label.  Rounds are checkpointed.
     """
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         fell = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         far = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
@@ -25,61 +25,104 @@ def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     return labels
 
 
-def greedy_duplicates(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and duplicate_of_id: rows in the order of `seq`, each set against its most similar surviving neighbour.
+#: Pairs of a component that are folded in one task; larger components are decided in rounds of joins.
+IN_TASK = 200_000
 
-    rows: id, seq and quality (a comparable rank); pairs: a, b, sim.  The better of a row and its neighbour survives, the
-    later one if they are equal; the other points at it.  Rows meet only inside a component of pairs, so components are
-    folded each for itself; what a task holds is one component's pairs.
-    """
-    marked = components(pairs)
-    inside = pairs.join(marked.withColumnRenamed("id", "a"), "a").select("component", F.lit(1).alias("kind"), "a", "b", "sim")
-    nodes = rows.join(marked, "id").select("component", F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("seq").alias("b"), F.col("quality").alias("sim"))
+
+def _directed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs from the earlier row (a) to the later (b), with sim and the rows' places (oa, ob) and qualities (qa, qb)."""
+    place = F.struct("seq", "id")
+    one, two = (rows.select(F.col("id").alias(n), place.alias(f"o{n}"), F.col("quality").alias(f"q{n}")) for n in "ab")
+    known = pairs.select("a", "b", "sim").distinct().join(one, "a").join(two, "b").where("a <> b")
+    turn = F.col("oa") > F.col("ob")
+    ends = [F.when(turn, F.col(f"{k}{x}")).otherwise(F.col(f"{k}{y}")).alias(f"{k}{y}") for k in ("", "o", "q") for x, y in ("ba", "ab")]
+    return known.select(*ends, "sim").groupBy("a", "b", "oa", "ob", "qa", "qb").agg(F.max("sim").alias("sim"))
+
+
+def _fold_in_tasks(edges: DataFrame, existing_wins: bool) -> DataFrame:
+    """id and duplicate_of_id of components (column component) of edges, each folded by one task."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group[group.kind == 0].sort_values(["b", "a"])
-        quality = dict(zip(nodes.a, nodes.sim, strict=True))
+        quality: dict = {}
+        order: dict = {}
         near: dict[int, list] = {}
-        for a, b, sim in group[group.kind == 1][["a", "b", "sim"]].itertuples(index=False):
-            near.setdefault(a, []).append((-sim, b))
-            near.setdefault(b, []).append((-sim, a))
+        for e in group.itertuples(index=False):
+            quality[e.a], quality[e.b] = e.qa, e.qb
+            order[e.a], order[e.b] = (e.sa, e.a), (e.sb, e.b)
+            near.setdefault(e.b, []).append((-e.sim, e.a))
         alive: set[int] = set()
         points: dict[int, int] = {}
-        for new in nodes.a:
-            known = sorted(x for x in near.get(new, []) if x[1] in alive)
-            if known and quality[new] < quality[known[0][1]]:
-                points[new] = known[0][1]
+        for new in sorted(order, key=order.get):
+            best = min((x for x in near.get(new, []) if x[1] in alive), default=None)
+            if best and (existing_wins or quality[new] < quality[best[1]]):
+                points[new] = best[1]
                 continue
-            if known:
-                points[known[0][1]] = new
-                alive.discard(known[0][1])
+            if best:
+                points[best[1]] = new
+                alive.discard(best[1])
             alive.add(new)
         return pd.DataFrame({"id": list(points), "duplicate_of_id": list(points.values())}, dtype="int64")
 
-    found = inside.union(nodes).groupBy("component").applyInPandas(fold, "id long, duplicate_of_id long")
+    flat = edges.select("component", "a", "b", "sim", "qa", "qb", F.col("oa.seq").alias("sa"), F.col("ob.seq").alias("sb"))
+    return flat.groupBy("component").applyInPandas(fold, "id long, duplicate_of_id long")
+
+
+def _fold_in_rounds(edges: DataFrame, existing_wins: bool) -> DataFrame:
+    """The same by joins and grouped aggregations, round by round, each checkpointed.
+
+    A row is decided once all its earlier neighbours are, and every undecided row before it that could take a neighbour's
+    place.  The first undecided row always is, so rounds end; how many there are depends on how long rows wait for each
+    other, not on how many there are.
+    """
+    ends = edges.select(F.col("a").alias("id"), F.lit(False).alias("waits")).union(edges.select("b", F.lit(True)))
+    none = F.lit(None)
+    state = ends.groupBy("id").agg(F.max("waits").alias("waits"))
+    state = state.select("id", (~F.col("waits")).alias("decided"), none.cast(edges.schema["oa"].dataType).alias("dead"), none.cast("long").alias("point")).checkpoint()
+    while not state.where("NOT decided").isEmpty():
+        later = state.where("NOT decided").select(F.col("id").alias("b"))
+        now = edges.join(later, "b")
+        rivals = now.where(F.lit(not existing_wins) & (F.col("qb") >= F.col("qa"))).groupBy("a").agg(F.min("ob").alias("rival"))
+        met = now.join(state.select(F.col("id").alias("a"), "decided", "dead"), "a").join(rivals, "a", "left")
+        ready = F.col("decided") & (F.col("rival").isNull() | (F.col("rival") >= F.col("ob")))
+        alive = F.col("dead").isNull() | (F.col("dead") > F.col("ob"))
+        best = F.max(F.when(alive, F.struct("sim", (-F.col("a")).alias("minus"), "qa", "a")))
+        settled = met.groupBy("b", "ob", "qb").agg(F.bool_and(ready).alias("ready"), best.alias("best")).where("ready")
+        falls = F.col("best").isNotNull() & (F.lit(existing_wins) | (F.col("qb") < F.col("best.qa")))
+        settled = settled.withColumn("falls", falls).checkpoint()
+        own = settled.select(F.col("b").alias("id"), F.lit(True).alias("new"), F.when(F.col("falls"), F.col("ob")).alias("at"), F.when(F.col("falls"), F.col("best.a")).alias("to"))
+        taken = settled.where("NOT falls AND best IS NOT NULL").select(F.col("best.a").alias("id"), F.lit(False), F.col("ob").alias("at"), F.col("b").alias("to"))
+        change = own.union(taken).groupBy("id").agg(F.max("new").alias("new"), F.max("at").alias("at"), F.max("to").alias("to"))
+        state = state.join(change, "id", "left").select("id", (F.col("decided") | F.coalesce("new", F.lit(False))).alias("decided"), F.coalesce("at", "dead").alias("dead"), F.coalesce("to", "point").alias("point")).checkpoint()
+    return state.where("point IS NOT NULL").select("id", F.col("point").alias("duplicate_of_id"))
+
+
+def _folded(rows: DataFrame, edges: DataFrame, existing_wins: bool, in_task: int) -> DataFrame:
+    edges = edges.checkpoint()
+    edges = edges.join(components(edges).select(F.col("id").alias("a"), "component"), "a").checkpoint()
+    sizes = edges.groupBy("component").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > in_task).select("component").checkpoint()
+    found = _fold_in_tasks(edges.join(large, "component", "left_anti"), existing_wins)
+    if not large.isEmpty():
+        found = found.union(_fold_in_rounds(edges.join(large, "component", "left_semi").checkpoint(), existing_wins))
     return rows.select("id").join(found, "id", "left")
 
 
-def leader_clusters(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and cluster: rows in the order of `seq` join the first cluster whose leader is near, or lead a new one."""
-    marked = components(pairs)
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    near = both.groupBy("a").agg(F.collect_set("b").alias("near")).withColumnRenamed("a", "id")
-    nodes = rows.join(marked, "id").join(near, "id").select("component", "id", "seq", "near")
+def greedy_duplicates(rows: DataFrame, pairs: DataFrame, existing_wins: bool = False, in_task: int = IN_TASK) -> DataFrame:
+    """id and duplicate_of_id: rows in the order of `seq` (then id), each set against its most similar surviving neighbour.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[int] = []
-        out = []
-        for row in group.sort_values(["seq", "id"]).itertuples():
-            close = set(row.near)
-            leader = next((x for x in leaders if x in close), None)
-            if leader is None:
-                leaders.append(row.id)
-            out.append((row.id, row.id if leader is None else leader))
-        return pd.DataFrame(out, columns=["id", "cluster"])
-
-    found = nodes.groupBy("component").applyInPandas(fold, "id long, cluster long")
-    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    rows: id, seq and quality (a comparable rank); pairs: a, b, sim.  The better of a row and its neighbour survives, the
+    later one if they are equal; the other points at it.  With existing_wins the neighbour always survives.  Rows meet only
+    inside a component of pairs: one of at most `in_task` pairs is folded by a task, any larger one in rounds of joins.
+    """
+    return _folded(rows, _directed(rows, pairs), existing_wins, in_task)
+
+
+def leader_clusters(rows: DataFrame, pairs: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """id and cluster: rows in the order of `seq` (then id) join the first cluster whose leader is near, or lead a new one."""
+    some = rows.select("id", "seq", F.lit(0).alias("quality"))
+    edges = _directed(some, pairs.select("a", "b", F.lit(0).alias("sim"))).withColumn("sim", -F.col("oa.seq"))
+    found = _folded(rows, edges, True, in_task)
+    return found.select("id", F.coalesce("duplicate_of_id", "id").alias("cluster"))
 
 
 def resolve_chains(rows: DataFrame, rounds: int = 64) -> DataFrame:

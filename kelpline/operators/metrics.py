@@ -114,3 +114,49 @@ def ensemble(df: DataFrame, detector: str = "detector", item: str = "video") ->
     )
     conf = F.when(F.col("label") == 1, F.col("ensemble")).otherwise(1 - F.col("ensemble"))
     return mean.withColumn("conf", conf).withColumn("is_hard", F.col("conf") < 0.6)
+
+
+def auroc_stable(df: DataFrame, group: list[str], seq: str = "seq", buckets: int = 1024) -> DataFrame:
+    """Per group the AUROC when equal scores keep the order of `seq`: a real loses to a fake only if that comes first.
+
+    Rows of one score are dealt over buckets of `seq`, which are counted first, as scores are in auroc_of_histogram, so a
+    score that very many rows share is not one task's work.
+    """
+    hist = histogram(df, group)
+    strict = auroc_of_histogram(hist, group, {"above": "fakes_first"})
+    tied = hist.where((F.col("nf") > 0) & (F.col("nr") > 0)).select(*group, "score", F.col("nf").alias("all_nf"), F.col("nr").alias("all_nr"))
+    rows = df.join(tied, [*group, "score"]).withColumn("bucket", F.floor(F.col(seq) / buckets))
+    fake = F.when(F.col("label") == 1, 1).otherwise(0)
+    sums = rows.groupBy(*group, "score", "bucket").agg(F.sum(fake).alias("nf"))
+    earlier = Window.partitionBy(*group, "score").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, "score", "bucket", F.coalesce(F.sum("nf").over(earlier), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy(*group, "score", "bucket").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum(fake).over(inside), F.lit(0))).join(sums, [*group, "score", "bucket"])
+    # Where all tied fakes come first a real loses to all; what comes after a real is given back.
+    lost = rows.where("label = 0").groupBy(*group).agg(F.sum(F.col("all_nf") - F.col("earlier") - F.col("inside")).alias("lost"))
+    pairs = F.col("n_fake").cast("double") * F.col("n_real")
+    rank = F.round(F.col("above") * pairs) - F.coalesce("lost", F.lit(0)).cast("double")
+    return strict.join(lost, group, "left").select(*group, "n_fake", "n_real", F.try_divide(rank, pairs).alias("auroc"))
+
+
+def slices_against_reals(slices: DataFrame, reals: DataFrame, detector: str, fpr: float = 0.05) -> DataFrame:
+    """AUROC, balanced accuracy and F1 at 0.5, and the share of fakes over the (1 - fpr) quantile of all reals, by slice.
+
+    slices: detector, slice, pool, score, nf (counts of fakes); reals: detector, pool, score, nr, where the pool `global`
+    holds all.  Everything is taken from counts by score.
+    """
+    keys = [detector, "slice", "pool"]
+    over = lambda n, c: F.sum(F.when(c, F.col(n)).otherwise(0))
+    high = F.col("score") >= 0.5
+    cut = reals.where("pool = 'global'").groupBy(detector).agg(F.percentile("score", F.lit(1 - fpr), F.col("nr")).alias("cut"))
+    fakes = slices.join(cut, detector, "left").groupBy(*keys).agg(F.sum("nf").alias("p"), over("nf", high).alias("tp"), over("nf", F.col("score") >= F.col("cut")).alias("hit"))
+    pools = reals.groupBy(detector, "pool").agg(F.sum("nr").alias("n"), over("nr", high).alias("fp"))
+    pool = slices.select(*keys).distinct().join(reals, [detector, "pool"])
+    none = F.lit(0).cast("long")
+    hist = slices.select(*keys, "score", "nf", none.alias("nr")).union(pool.select(*keys, "score", none, "nr"))
+    hist = hist.groupBy(*keys, "score").agg(F.sum("nf").alias("nf"), F.sum("nr").alias("nr"))
+    area = auroc_of_histogram(hist, keys, {"auroc": "fakes_first"})
+    at = fakes.join(pools, [detector, "pool"])
+    bacc = (F.col("tp") / F.col("p").cast("double") + (F.col("n") - F.col("fp")) / F.col("n").cast("double")) / 2
+    at = at.select(*keys, bacc.alias("bacc"), f1().alias("f1"), (F.col("hit") / F.col("p")).alias("tpr5"))
+    return area.join(at, keys)

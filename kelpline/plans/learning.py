@@ -41,6 +41,18 @@ def dedup_greedy(spark, sf_dir):
     return folds.greedy_duplicates(nodes_of(spark, sf_dir), pairs)
 
 
+@query(
+    f"WITH {A.PHASH_SQL}, n AS (SELECT hash, min(id) AS id FROM v_phash GROUP BY 1), p AS (SELECT b.id AS b, arg_min(a.id, bit_count(xor(a.hash, b.hash)) * 10000000::BIGINT + a.id) AS a FROM n a JOIN n b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6 GROUP BY 1)"
+    " SELECT n.id, p.a AS duplicate_of_id FROM n LEFT JOIN p ON p.b = n.id"
+)
+def pairwise_duplicates(spark, sf_dir):
+    """Each row against the nearest row that was kept before it, which always stays.  (The SQL takes the nearest earlier row:
+    in the given tables that is one that is kept; tests compare other cases with a fold in plain Python.)"""
+    spark = with_checkpoints(spark)
+    pairs = pairs_of(spark, sf_dir).select("a", "b", (-F.col("distance")).cast("long").alias("sim"))
+    return folds.greedy_duplicates(nodes_of(spark, sf_dir), pairs, existing_wins=True)
+
+
 @query()
 def leader_clusters(spark, sf_dir):
     spark = with_checkpoints(spark)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import folds, learning
@@ -15,7 +16,8 @@ def example(spark):
     return rows, pairs, spark.createDataFrame(rows, "id long, seq long, quality long"), spark.createDataFrame(pairs, "a long, b long, sim long")
 
 
-def test_greedy_duplicates(spark):
+@pytest.mark.parametrize("in_task", [folds.IN_TASK, 0, 12])
+def test_greedy_duplicates(spark, in_task):
     rows, pairs, df, pair_df = example(spark)
     quality, near = {i: q for i, _, q in rows}, {}
     for a, b, s in pairs:
@@ -31,7 +33,7 @@ def test_greedy_duplicates(spark):
             points[best[1]] = i
             alive.remove(best[1])
         alive.add(i)
-    got = {r.id: r.duplicate_of_id for r in folds.greedy_duplicates(df, pair_df).collect()}
+    got = {r.id: r.duplicate_of_id for r in folds.greedy_duplicates(df, pair_df, in_task=in_task).collect()}
     assert got == {i: points.get(i) for i, _, _ in rows}
     ends = {r.id: r.canonical for r in folds.resolve_chains(folds.greedy_duplicates(df, pair_df)).collect()}
 
@@ -41,7 +43,26 @@ def test_greedy_duplicates(spark):
     assert ends == {i: end(i) for i, _, _ in rows}
 
 
-def test_leader_clusters(spark):
+@pytest.mark.parametrize("in_task", [folds.IN_TASK, 0])
+def test_existing_wins(spark, in_task):
+    rows, pairs, df, pair_df = example(spark)
+    near, points = {}, {}
+    for a, b, s in pairs:
+        near.setdefault(a, []).append((-s, b))
+        near.setdefault(b, []).append((-s, a))
+    alive = set()
+    for i, _, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        best = min((x for x in near.get(i, []) if x[1] in alive), default=None)
+        if best:
+            points[i] = best[1]
+        else:
+            alive.add(i)
+    got = {r.id: r.duplicate_of_id for r in folds.greedy_duplicates(df, pair_df, existing_wins=True, in_task=in_task).collect()}
+    assert got == {i: points.get(i) for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("in_task", [folds.IN_TASK, 0])
+def test_leader_clusters(spark, in_task):
     rows, pairs, df, pair_df = example(spark)
     close = {(a, b) for a, b, _ in pairs} | {(b, a) for a, b, _ in pairs}
     leaders, want = [], {}
@@ -49,7 +70,7 @@ def test_leader_clusters(spark):
         want[i] = next((x for x in leaders if (i, x) in close), i)
         if want[i] == i:
             leaders.append(i)
-    assert {r.id: r.cluster for r in folds.leader_clusters(df, pair_df).collect()} == want
+    assert {r.id: r.cluster for r in folds.leader_clusters(df, pair_df, in_task=in_task).collect()} == want
 
 
 def test_no_pairs(spark):
