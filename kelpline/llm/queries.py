@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, pii, substring_dedup, token_files, topk, toxicity, url_filters
+from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, phrases, pii, substring_dedup, token_files, topk, toxicity, url_filters
 from kelpline.llm.common import table
 
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -66,6 +66,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(conversations.unionByName(more)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.filtered(pages, url_filters.outcomes(table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
@@ -99,8 +103,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op3_substring_links, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat, op12_url_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op3_substring_links, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat, op11_phrases, op12_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL, "op10_chat": OP10_SQL, "op9_decontamination": decontamination.SQL.format(documents="documents"), "op12_url_filters": url_filters.SQL}
+    return {"op6_top_k": OP6_SQL, "op10_chat": OP10_SQL, "op9_decontamination": decontamination.SQL.format(documents="documents"), "op11_phrases": phrases.SQL, "op12_url_filters": url_filters.SQL}

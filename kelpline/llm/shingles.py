@@ -76,3 +76,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = h * U(0xD6E8FEB86659FD93) + words[i : n - k + 1 + i]
     return mix(h)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of each span of data."""
+    up, down = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
