@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import chat, decontamination, language_id, near_dedup, packing, phrases, pii, substring_dedup, token_files, topk, toxicity, url_filters
+from kelpline.llm import alignment, chat, decontamination, language_id, near_dedup, packing, phrases, pii, substring_dedup, token_files, topk, toxicity, url_filters
 from kelpline.llm.common import table
 
 PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -75,6 +75,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filtered(pages, url_filters.outcomes(table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
@@ -103,7 +107,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op3_substring_links, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat, op11_phrases, op12_url_filters)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_substring_dedup, op3_substring_links, op4_pii, op5_packing, op6_top_k, op7_token_files, op8_language_id, op9_decontamination, op10_chat, op11_phrases, op12_url_filters, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
