@@ -8,8 +8,9 @@ LANE bytes, one lane for each LANE bytes of it, so that no text keeps a batch wa
 which its overlap begins.
 
 Encoding: a text parts into units at spaces after other than white space.  Neither vocabulary has a token across such a space
-(checked for B when it is loaded; A's pattern has none), so tokens of a text are those of its units in a row, and tokens of
-units are kept from one text to the next (tests compare with whole texts).
+(checked for B when it is loaded; A's pattern has none), so tokens of a text are those of its units in a row.  New units of a
+batch are encoded many at once, and a table of bounded size keeps them from one batch to the next (tests compare with whole
+texts).
 
 Corpus counts: a document's distinct id pairs are exploded and counted by Spark, which combines them before the shuffle.  The
 table of counts has a row for each pair of ids that is ever linked; it is looked up in slices of at most SLICE rows, each
@@ -23,9 +24,12 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import count, repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,17 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import stored
 
-#: Bytes of a lane; bytes of texts aligned at once; units kept, and the longest of them; rows of counts that are broadcast at once.
+#: Bytes of a lane; bytes of texts aligned at once; rows of counts that are broadcast at once.
 LANE, BATCH_BYTES = 512, 3 << 20
-MOST_UNITS, LONGEST_UNIT = 250_000, 60
 SLICE = 2_000_000
+#: Units of the table before it is begun anew; units encoded at once; the longest unit among these.
+MOST_UNITS, GROUP, LONGEST_UNIT = 500_000, 2000, 200
 #: A space after a sign that is neither white space nor the sign that B writes for a space.
 _CUT = re.compile("(?<=[^\\s▁]) ")
+_ASCII_SPACE = [chr(c) for c in range(128) if chr(c).isspace()]
+_OTHER_SPACE = ["▁", *(chr(c) for c in range(128, 0x10000) if chr(c).isspace())]
+#: How byte-level vocabularies part texts, a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 FULL = "doc_id long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, link_a array<int>, link_b array<int>"
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -47,7 +56,8 @@ DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_
 
 def units(text: str) -> list[str]:
     """Parts of a text, each of which stands after a space; joined by spaces they are the text."""
-    return _CUT.split(text)
+    odd = text[0] == " " or any(c + " " in text for c in _ASCII_SPACE) or not (text.isascii() or not any(c in text for c in _OTHER_SPACE))
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 def _byte_signs() -> dict[str, int]:
@@ -57,6 +67,12 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+def _places(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(start - before, sizes)
+
+
 class ByteLevel:
     """A byte-level vocabulary in a file of the tokenizers library."""
 
@@ -68,11 +84,32 @@ class ByteLevel:
         self.tokenizer.encode_special_tokens = True
         signs = _byte_signs()
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {}
         for piece, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = bytes(signs[c] for c in piece) if all(c in signs for c in piece) else piece.encode()
+            self.bytes[i] = bytes(signs[c] for c in piece) if piece not in special else piece.encode()
+            if piece not in special:
+                ranks[self.bytes[i]] = i
+        self.fast = self._fast(path, ranks)
+
+    @staticmethod
+    def _fast(path: str, ranks: dict[bytes, int]):
+        """The same vocabulary for a faster library, if ids are in the order of merges; else None."""
+        model = json.loads(Path(path).read_text())["model"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        if not merged or any(model["vocab"][m] != 256 + i for i, m in enumerate(merged)):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text after a space."""
+        return [x.ids for x in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+    def encode_plain(self, text: str) -> list[int]:
+        """The same for a text of short units."""
+        return self.fast.encode_ordinary(" " + text) if self.fast else self.encode([text])[0]
 
 
 class Pieces:
@@ -88,60 +125,108 @@ class Pieces:
         self.bytes = [bytes([int(n[1:-1], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.space = self.model.piece_to_id("▁")
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [ids if u else [self.space] for u, ids in zip(units, self.model.encode(units, num_threads=1), strict=True)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids if t else [self.space] for t, ids in zip(texts, self.model.encode(texts, num_threads=1), strict=True)]
+
+    def encode_plain(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
 
 
 class Side:
-    """Ids of units of one vocabulary, kept as bytes."""
+    """A vocabulary with the ids of the units of a table, in a row."""
 
     def __init__(self, vocabulary: ByteLevel | Pieces):
         self.vocabulary = vocabulary
         self.dtype = np.dtype("<u2" if len(vocabulary.bytes) <= 1 << 16 else "<u4")
         self.lengths = np.array([len(b) for b in vocabulary.bytes], np.int32)
-        self.kept: dict[str, bytes | None] = {}
-
-    def encode(self, parts: list[str]) -> bytes | None:
-        """Ids of a text's units in a row; None if they do not give its bytes back."""
-        found = list(map(self.kept.get, parts))
-        if None in found:
-            fresh = self._fresh(list({u for u, x in zip(parts, found, strict=True) if x is None}))
-            found = [fresh[u] if x is None else x for u, x in zip(parts, found, strict=True)]
-            if len(self.kept) < MOST_UNITS:
-                self.kept |= {u: x for u, x in fresh.items() if x is not None and len(u) <= LONGEST_UNIT}
-            if None in found:
-                return None
-        return b"".join(found)
-
-    def _fresh(self, new: list[str]) -> dict[str, bytes | None]:
-        table = self.vocabulary.bytes
-        out: dict[str, bytes | None] = {}
-        for unit, ids in zip(new, self.vocabulary.encode(new), strict=True):
-            same = b"".join([table[i] for i in ids]) == (" " + unit).encode()
-            out[unit] = np.array(ids, self.dtype).tobytes() if same else None
-        return out
+        self.bytes, self.starts = np.frombuffer(b"".join(vocabulary.bytes), np.uint8), np.cumsum(self.lengths) - self.lengths
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.bounds = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def add(self, groups: list[list[str]], others: list[str]) -> list[bool]:
+        """Ids of more units, those of groups first; whether they give each unit's bytes back."""
+        parts, sizes, same = [], [], []
+        for group in groups:
+            ids = np.array(self.vocabulary.encode_plain(" ".join(group)), self.dtype)
+            ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) + 1 for u in group])
+            cuts = np.searchsorted(ends, wanted)
+            if self._gives(ids, (" " + " ".join(group)).encode()) and (ends[cuts] == wanted).all():
+                parts.append(ids)
+                sizes.append(np.diff(cuts + 1, prepend=0))
+                same += [True] * len(group)
+            else:
+                self._add_singly(group, parts, sizes, same)
+        self._add_singly(others, parts, sizes, same)
+        self.ids = np.concatenate([self.ids, *parts])
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes)))
+        return same
+
+    def _add_singly(self, units: list[str], parts: list, sizes: list, same: list[bool]) -> None:
+        found = self.vocabulary.encode(units)
+        found = [np.array(ids, self.dtype) for ids in found]
+        parts += found
+        sizes.append(np.array([len(ids) for ids in found], np.int64))
+        same += [self._gives(ids, (" " + u).encode()) for u, ids in zip(units, found, strict=True)]
+
+    def _gives(self, ids: np.ndarray, raw: bytes) -> bool:
+        return self.bytes[_places(self.starts[ids], self.lengths[ids])].tobytes() == raw
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of the table in a row, and how many of each."""
+        start = self.bounds[places]
+        sizes = self.bounds[places + 1] - start
+        return self.ids[_places(start, sizes)].astype(np.int32), sizes
+
+
+class Units:
+    """Units by their place in a table of both sides' ids; the table is begun anew when it is large."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.places: dict[str, int] = {}
+        self.same: list[bool] = []
+
+    def of(self, parts: list[str]) -> np.ndarray:
+        if len(self.places) > MOST_UNITS or len(self.a.ids) > 16 * MOST_UNITS:
+            self.places, self.same = {}, []
+            self.a.clear()
+            self.b.clear()
+        found = np.fromiter(map(self.places.get, parts, repeat(-1)), np.int64, len(parts))
+        missed = np.flatnonzero(found < 0).tolist()
+        if missed:
+            self._add({parts[i] for i in missed})
+            found[missed] = [self.places[parts[i]] for i in missed]
+        return found
+
+    def _add(self, new: set[str]) -> None:
+        others = [u for u in new if not u or len(u) > LONGEST_UNIT or u[-1] == "▁" or u[-1].isspace()]
+        plain = list(new.difference(others))
+        groups = [plain[i : i + GROUP] for i in range(0, len(plain), GROUP)]
+        same = zip(*(side.add(groups, others) for side in (self.a, self.b)), strict=True)
+        self.places.update(zip(plain + others, count(len(self.places)), strict=False))
+        self.same += [x and y for x, y in same]
 
 
 class Batch:
     """Some documents aligned: ids of both sides, links (places of both sides) and group ends, of all documents in a row."""
 
-    def __init__(self, a: Side, b: Side, texts: list[str | None]):
-        rows: list[tuple[bytes, bytes]] = []
-        for text in texts:
-            parts = units(text) if text else []
-            one = a.encode(parts) if parts else None
-            two = b.encode(parts) if one is not None else None
-            rows.append((one, two) if two is not None else (b"", b""))
-        (self.a, self.n_a), (self.b, self.n_b) = (self._joined(side, [r[k] for r in rows]) for k, side in enumerate((a, b)))
-        self.a_len, self.b_len = a.lengths[self.a], b.lengths[self.b]
+    def __init__(self, table: Units, texts: list[str | None]):
+        parts = [units(t) if t else [] for t in texts]
+        places = table.of([u for p in parts for u in p])
+        doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        wrong = np.zeros(len(texts), bool)
+        wrong[doc[~np.array(table.same, bool)[places]]] = True
+        places, doc = places[~wrong[doc]], doc[~wrong[doc]]
+        rows = []
+        for side in (table.a, table.b):
+            ids, sizes = side.take(places)
+            rows += [ids, side.lengths[ids], np.bincount(doc, sizes, len(texts)).astype(np.int64)]
+        self.a, self.a_len, self.n_a, self.b, self.b_len, self.n_b = rows
         self.a_doc = np.repeat(np.arange(len(texts)), self.n_a)
         self.link_a, self.link_b, self.a_last, self.b_last = self._merged()
 
-    @staticmethod
-    def _joined(side: Side, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // side.dtype.itemsize
-        return np.frombuffer(b"".join(rows), side.dtype).astype(np.int32), sizes
-
     def _lanes(self) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of each lane."""
         size = np.bincount(self.a_doc, self.a_len, len(self.n_a)).astype(np.int64)
@@ -239,13 +324,13 @@ def full_rows(doc_ids: list[int | None], x: Batch) -> pa.RecordBatch:
     return pa.record_batch([pa.array(doc_ids, pa.int64()), *ids, *cuts, *places], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts", "link_a", "link_b"])
 
 
-_loaded: dict[tuple[str, str], tuple[Side, Side]] = {}
+_loaded: dict[tuple[str, str], Units] = {}
 
 
-def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
-    """One pair per Python worker, kept between its tasks."""
+def loaded(a_path: str, b_path: str) -> Units:
+    """One table per Python worker, kept between its tasks."""
     if (a_path, b_path) not in _loaded:
-        _loaded[a_path, b_path] = Side(ByteLevel(a_path)), Side(Pieces(b_path))
+        _loaded[a_path, b_path] = Units(Side(ByteLevel(a_path)), Side(Pieces(b_path)))
     return _loaded[a_path, b_path]
 
 
@@ -255,18 +340,18 @@ def _aligned(docs: DataFrame, schema: str, emitter: Callable[[Side, Side], Calla
     paths = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(*paths)
-        emit = emitter(a, b)
+        table = loaded(*paths)
+        emit = emitter(table.a, table.b)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             start = size = 0
             for end, text in enumerate(texts):
                 size += len(text or "")
                 if size >= BATCH_BYTES:
-                    yield emit(ids[start : end + 1], Batch(a, b, texts[start : end + 1]))
+                    yield emit(ids[start : end + 1], Batch(table, texts[start : end + 1]))
                     start, size = end + 1, 0
             if start < len(texts):
-                yield emit(ids[start:], Batch(a, b, texts[start:]))
+                yield emit(ids[start:], Batch(table, texts[start:]))
 
     return docs.select("doc_id", "text").mapInArrow(align, schema)
 

@@ -92,18 +92,21 @@ def test_equals_plain_python_on_documents_and_in_slices(spark, plain, documents)
 
 def test_lanes_of_any_length_give_the_same(monkeypatch):
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    a, b = A.sides(*paths)
+    table = A.loaded(*paths)
     texts = [t for t in TEXTS if t]
-    emit = A.Digests(a, b)
-    want = emit(list(range(len(texts))), A.Batch(a, b, texts))
+    emit = A.Digests(table.a, table.b)
+    want = emit(list(range(len(texts))), A.Batch(table, texts))
     for lane in (1, 3, 17, 1 << 20):
         monkeypatch.setattr(A, "LANE", lane)
-        assert emit(list(range(len(texts))), A.Batch(a, b, texts)) == want
+        assert emit(list(range(len(texts))), A.Batch(table, texts)) == want
+    monkeypatch.setattr(A, "MOST_UNITS", 2)
+    assert emit(list(range(len(texts))), A.Batch(table, texts)) == want and len(table.places) < 200
 
 
 def test_full_rows_rebuild_texts_and_groups(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    a, b = A.sides(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    table = A.loaded(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    a, b = table.a, table.b
     for r in A.alignments(df).collect():
         text = TEXTS[r.doc_id]
         if not r.a_ids:
