@@ -11,8 +11,10 @@ count.  The next word of a stripe is keyed by the hash of the prefix's last word
 64-bit hashes of level m - 1, and the table of level m - 1 joined on both gives its text and the counts of all its parts.
 Hashes include the language.  (Two different phrases of one level would be taken for one only if hashes of 64 bits met.)
 
-Memory and skew: a task's counter is emitted when it holds MOST_ENTRIES; a prefix that occurs WIDE times or more has its stripe
-dealt over SHARDS by next word; merging reads sorted rows as a stream and holds one stripe, or shard of one, at a time.
+Memory and skew: a task's counter is emitted when it holds MOST_ENTRIES; stripes are shuffled in buckets, a row for each bucket
+and task.  There are as many buckets as IN_BUCKET occurrences of the level below in each ask for, so merging, which holds one
+bucket at a time, needs the same memory at every size; the stripe of a prefix that occurs WIDE times or more is dealt over all
+buckets by next word.
 
 Defined cases: a null text is empty, a null language `und` (one with the texts whose language that is); empty tables give no
 rows; repeated rows count each time; long texts are taken whole; other columns are ignored.
@@ -39,13 +41,14 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(_BLANK)] = 1
 _KIND[list(_BREAK)] = 2
 _STEP = U(0xD6E8FEB86659FD93)
-#: Bytes of texts that are hashed at once; entries of a task's counter; a wide prefix and what its stripe is dealt over.
+#: Bytes of texts that are hashed at once; entries of a task's counter; occurrences of a wide prefix, and those a bucket may hold.
 CHUNK, MOST_ENTRIES = 1 << 21, 1_500_000
-WIDE, SHARDS = 20_000, 64
+WIDE, IN_BUCKET = 20_000, 1 << 18
 BROADCAST_ROWS = 200_000
 
 WORDS = "hash long, lang string, word string, n long"
-STRIPES = "prefix long, shard int, nexts array<long>, counts array<long>"
+#: Stripes of one bucket: the prefixes, how many next words each has, and these in a row.
+STRIPES = "bucket int, prefixes array<long>, sizes array<int>, nexts array<long>, counts array<long>"
 MERGED = "prefix long, total long, most long, nexts array<long>, counts array<long>, hashes array<long>"
 
 
@@ -155,22 +158,33 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([[0] * len(totals), list(totals), [None] * len(totals), list(totals.values())])
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
+def _lists(values: np.ndarray, cuts: np.ndarray, kind: type = np.int64) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(kind)))
 
 
-def count_next(level: int, frequent, wide):
-    """A mapper to the stripes of phrases of `level` words; frequent, wide: broadcast bit maps of the level below."""
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Places at which a row differs from the one before, 0 among them."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
+def count_next(level: int, frequent, wide, buckets: int):
+    """A mapper to the stripes of phrases of `level` words; frequent, wide: broadcast bit maps of the level below.
+
+    A stripe lies in the bucket of its prefix; that of a wide prefix is dealt over all by next word.  A task gives one row for
+    each bucket.
+    """
 
     def taken(counter: Counter) -> pa.RecordBatch:
         _, counts, prefix, nexts = counter.take()
-        shard = np.where(wide.value.may_hold(prefix), nexts % U(SHARDS), U(0))
-        order = np.lexsort((shard, prefix))
-        counts, prefix, nexts, shard = counts[order], prefix[order], nexts[order], shard[order]
-        new = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])]))
-        cuts = np.append(new, len(prefix))
-        columns = [pa.array(prefix[new].view(np.int64)), pa.array(shard[new].astype(np.int32)), _lists(nexts, cuts), _lists(counts, cuts)]
-        return pa.record_batch(columns, ["prefix", "shard", "nexts", "counts"])
+        key = np.where(wide.value.may_hold(prefix), mix(prefix + nexts * _STEP), mix(prefix))
+        bucket = ((key >> U(33)) % U(buckets)).astype(np.int32)
+        order = np.lexsort((prefix, bucket))
+        bucket, counts, prefix, nexts = bucket[order], counts[order], prefix[order], nexts[order]
+        stripes, rows = _changes(bucket, prefix), _changes(bucket)
+        sizes = np.diff(np.append(stripes, len(prefix))).astype(np.int32)
+        of_row, cuts = np.append(np.searchsorted(stripes, rows), len(stripes)), np.append(rows, len(prefix))
+        columns = [pa.array(bucket[rows]), _lists(prefix[stripes], of_row), _lists(sizes, of_row, np.int32), _lists(nexts, cuts), _lists(counts, cuts)]
+        return pa.record_batch(columns, ["bucket", "prefixes", "sizes", "nexts", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
@@ -194,59 +208,49 @@ def count_next(level: int, frequent, wide):
 
 
 def merge_stripes(least: int):
-    """A mapper of sorted stripes to merged ones: totals, and the extensions that come `least` times or more."""
-
-    def merged(prefix: np.ndarray, shard: np.ndarray, nexts: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        """Element by element: equal next words of a stripe are added."""
-        sizes = np.fromiter(map(len, nexts), np.int64, len(nexts))
-        new = np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (shard[1:] != shard[:-1])])
-        stripe = np.repeat(np.cumsum(new) - 1, sizes)
-        values, amounts = np.concatenate(nexts), np.concatenate(counts)
-        order = np.lexsort((values, stripe))
-        stripe, values, amounts = stripe[order], values[order], amounts[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (stripe[1:] != stripe[:-1]) | (values[1:] != values[:-1])]))
-        stripe, values, amounts = stripe[cuts], values[cuts], np.add.reduceat(amounts, cuts)
-        first = np.flatnonzero(np.concatenate([[True], stripe[1:] != stripe[:-1]]))
-        total, most = np.add.reduceat(amounts, first), np.maximum.reduceat(amounts, first)
-        names = prefix[new]
-        kept = amounts >= least
-        hashes = mix(names.view(np.uint64)[stripe[kept]] * _STEP + values[kept].view(np.uint64))
-        bounds = np.searchsorted(stripe[kept], np.arange(len(names) + 1))
-        some = most >= least
-        columns = [pa.array(names), pa.array(total), pa.array(most), *(_lists(x, bounds) for x in (values[kept], amounts[kept], hashes))]
-        return pa.record_batch(columns, ["prefix", "total", "most", "nexts", "counts", "hashes"]).filter(pa.array(some))
+    """A mapper of rows sorted by bucket to merged stripes: totals, and the extensions that come `least` times or more."""
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Element by element: equal next words of a prefix are added."""
+        prefix, nexts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((nexts, prefix))
+        prefix, nexts, counts = prefix[order], nexts[order], counts[order]
+        cuts = _changes(prefix, nexts)
+        prefix, nexts, counts = prefix[cuts], nexts[cuts], np.add.reduceat(counts, cuts)
+        first = _changes(prefix)
+        total, most = np.add.reduceat(counts, first), np.maximum.reduceat(counts, first)
+        kept = counts >= least
+        hashes = mix(prefix[kept].view(np.uint64) * _STEP + nexts[kept].view(np.uint64))
+        bounds = np.append(0, np.cumsum(np.add.reduceat(kept, first, dtype=np.int64)))
+        columns = [pa.array(prefix[first]), pa.array(total), pa.array(most), *(_lists(x, bounds) for x in (nexts[kept], counts[kept], hashes))]
+        return pa.record_batch(columns, ["prefix", "total", "most", "nexts", "counts", "hashes"]).filter(pa.array(most >= least))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # rows of the last stripe, which the next batch may go on with
+        bucket, parts = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            prefix, shard = batch.column("prefix").to_numpy(), batch.column("shard").to_numpy()
-            lists = [[x.values.to_numpy() for x in batch.column(c)] for c in ("nexts", "counts")]
-            rows = [*held, *zip(prefix, shard, *lists, strict=True)]
-            last = next((i for i in range(len(rows) - 1, -1, -1) if rows[i][:2] != rows[-1][:2]), -1) + 1
-            if last:
-                p, s, nexts, counts = zip(*rows[:last], strict=True)
-                yield merged(np.array(p), np.array(s), nexts, counts)
-            # What stays is added up at once, so that it grows with its distinct words alone.
-            values, place = np.unique(np.concatenate([r[2] for r in rows[last:]]), return_inverse=True)
-            held = [(*rows[-1][:2], values, np.bincount(place, np.concatenate([r[3] for r in rows[last:]])).astype(np.int64))]
-        if held:
-            p, s, nexts, counts = zip(*held, strict=True)
-            yield merged(np.array(p), np.array(s), nexts, counts)
+            for i, b in enumerate(batch.column("bucket").to_pylist()):
+                prefixes, sizes, nexts, counts = (batch.column(c)[i].values.to_numpy() for c in ("prefixes", "sizes", "nexts", "counts"))
+                if b != bucket and parts:
+                    yield merged(parts)
+                    parts = []
+                bucket = b
+                parts.append((np.repeat(prefixes, sizes), nexts, counts))
+        if parts:
+            yield merged(parts)
 
     return merge
 
 
-def _level(texts: DataFrame, below: DataFrame, level: int, least: int, wide: int) -> DataFrame | None:
+def _level(texts: DataFrame, below: DataFrame, level: int, least: int, wide: int, in_bucket: int) -> DataFrame | None:
     """The table of frequent phrases of `level` words, from that of one word fewer; None if there are none."""
     spark = texts.sparkSession
-    n = below.count()
+    n, places = below.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not n:
         return None
     hot = below.where(F.col("n") >= wide).select("hash")
     maps = [spark.sparkContext.broadcast(bitmap(x, k)) for x, k in ((below.select("hash"), n), (hot, hot.count()))]
-    stripes = texts.mapInArrow(count_next(level, *maps), STRIPES).repartition("prefix", "shard").sortWithinPartitions("prefix", "shard")
+    buckets = min(1 << 30, max(64, int(places) // in_bucket))
+    stripes = texts.mapInArrow(count_next(level, *maps, buckets), STRIPES).repartition("bucket").sortWithinPartitions("bucket")
     merged = stored(stripes.mapInArrow(merge_stripes(least), MERGED), f"phrases-{level}-stripes")
     found = merged.select("prefix", F.explode(F.arrays_zip("nexts", "counts", "hashes")).alias("x")).select("prefix", F.col("x.nexts").alias("suffix"), F.col("x.counts").alias("n"), F.col("x.hashes").alias("hash"))
     first = below.select(F.col("hash").alias("prefix"), "lang", F.col("phrase").alias("start"), "heads")
@@ -266,7 +270,7 @@ def _words_of(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return words, counts.where("word IS NULL").select("lang", F.col("n").alias("words"))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, wide: int = WIDE, in_bucket: int = IN_BUCKET) -> tuple[DataFrame, DataFrame]:
     """All phrases of 2 to `longest` words that come `least` times or more, and the number of words by language.
 
     Phrases: hash, lang, phrase, n, heads and tails (counts of its first 1, 2, ... and last 1, 2, ... words), and most (the
@@ -276,7 +280,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, wide:
     below, totals = _words_of(texts, least)
     levels: list[DataFrame] = []
     for level in range(2, longest + 1):
-        below = _level(texts, below, level, least, wide)
+        below = _level(texts, below, level, least, wide, in_bucket)
         if below is None:
             break
         levels.append(below)
@@ -291,14 +295,14 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, wide:
     return phrases.select("hash", "lang", "phrase", "n", "heads", "tails").join(most, "hash", "left"), totals
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, percent: int = 100, wide: int = WIDE) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, percent: int = 100, wide: int = WIDE, in_bucket: int = IN_BUCKET) -> DataFrame:
     """Each language's `top` phrases by score: lang, rank, phrase, a, l, r, n, score.
 
     A phrase of a occurrences, cut after k words into parts of l and r, scores floor(1000 a n / (l r)); its lowest cut counts, the
     first of equal ones.  Phrases in a longer frequent one with percent/100 of their occurrences or more are dropped: it is
     enough to look one word further, as a phrase between the two is at least as frequent as the longer one.
     """
-    phrases, totals = frequent_phrases(docs, least, longest, wide)
+    phrases, totals = frequent_phrases(docs, least, longest, wide, in_bucket)
     totals = F.broadcast(totals) if totals.count() <= BROADCAST_ROWS else totals
     rows = phrases.where(F.col("most").isNull() | (100 * F.col("most") < percent * F.col("n"))).join(totals, "lang")
     whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  products of four counts pass 64 bits

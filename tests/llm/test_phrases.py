@@ -54,7 +54,7 @@ def test_small_counters_chunks_and_shards_give_the_same(spark, documents, monkey
     rows = [(r.text, r.lang) for r in documents.select("text", "lang").limit(40).collect()]
     want = sorted(plain(rows, least=8))
     assert len(want) > 40
-    assert rows_of(spark, rows, least=8, wide=10) == want
+    assert rows_of(spark, rows, least=8, wide=10, in_bucket=50) == want
     counter, words = P.Counter(50), P.Words([b"a b a b. b a", b"a c"], ["en", "de"])
     for _ in range(40):
         counter.add(words.hashes, words.hashes)
@@ -63,17 +63,17 @@ def test_small_counters_chunks_and_shards_give_the_same(spark, documents, monkey
     assert counts.sum() == 40 * 8 and (keys == values).all() and len(keys) == 4 and counter.parts == []
 
 
-def test_pieces_of_a_stripe_that_spans_batches_are_one(spark):
-    import numpy as np
+def test_a_bucket_that_spans_batches_is_merged_once():
     import pyarrow as pa
 
-    rows = [(1, 0, [5, 6], [1, 1]), (1, 0, [5], [2]), (1, 0, [6, 7], [1, 9]), (2, 0, [5], [3]), (2, 1, [8], [2]), (2, 1, [8], [1])]
-    schema = pa.schema([("prefix", pa.int64()), ("shard", pa.int32()), ("nexts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    rows = [(0, [1], [2], [5, 6], [1, 1]), (0, [1, 2], [1, 1], [5, 9], [2, 4]), (0, [1], [2], [6, 7], [1, 9]), (1, [2], [1], [5], [3]), (4, [3], [1], [8], [2]), (4, [3], [1], [8], [1])]
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    schema = pa.schema(list(zip(("bucket", "prefixes", "sizes", "nexts", "counts"), kinds, strict=True)))
     for size in (1, 2, 6):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + size]), schema)], schema=schema) for i in range(0, 6, size)]
         out = [r for b in P.merge_stripes(3)(iter(batches)) for r in b.to_pylist()]
-        assert [(r["prefix"], r["total"], r["most"], r["nexts"], r["counts"]) for r in out] == [(1, 14, 9, [5, 7], [3, 9]), (2, 3, 3, [5], [3]), (2, 3, 3, [8], [3])]
-        assert all(len(r["hashes"]) == len(np.array(r["nexts"])) for r in out)
+        assert [(r["prefix"], r["total"], r["most"], r["nexts"], r["counts"]) for r in out] == [(1, 14, 9, [5, 7], [3, 9]), (2, 4, 4, [9], [4]), (2, 3, 3, [5], [3]), (3, 3, 3, [8], [3])]
+        assert all(len(r["hashes"]) == len(r["nexts"]) for r in out)
 
 
 def test_no_rows(spark, no_documents):
