@@ -233,7 +233,7 @@ def _open_blocks(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> tup
             break
         more = opened.where("large").drop("large")
         if bits is None:
-            bits = stored(more.groupBy("node").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("band"))).alias("bits")), "near-bits")
+            bits = stored(more.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, CAST(band AS INT))")).alias("bits")), "near-bits")
         tagged = stored(_dealt(more, nodes, level).distinct(), "near-tagged")
     return ready, bits
 

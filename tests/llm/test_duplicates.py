@@ -63,6 +63,22 @@ def test_chains_and_borderline_groups(spark):
     assert found(df) == brute(rows)
 
 
+def test_large_buckets_are_dealt_further(spark, monkeypatch):
+    """Groups that share most words, some linked and some not, in buckets over the bound of a task."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    rows = []
+    for g in range(3):
+        shared = [f"g{g}w{i}" for i in range(144)]
+        for k in range(30):
+            own = [f"g{g}t{k}x{i}" for i in range(30 if k % 3 else 12)]
+            rows.append((1000 * g + k, " ".join(shared[: 72 + k % 5] + own + shared[72 + k % 5 :])))
+            if k % 10 == 0:
+                rows.append((1000 * g + 500 + k, " ".join(shared[: 72 + k % 5] + own + shared[72 + k % 5 : -1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert found(df) == want and 1 < len({r[2] for r in want}) < len(rows)
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 1 << 63, (2, 2000), dtype=np.uint64)
