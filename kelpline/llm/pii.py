@@ -175,13 +175,14 @@ def _word(hexes: Column, value: Column, attempt: Column, kind: Column) -> Column
 
 def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     """The replacement of one value (of a name: one word of it)."""
-    # An address keeps its top-level domain.
+    # An address keeps its top-level domain; from the third attempt on it is longer, as few addresses may be as short.
     head, tail = F.regexp_extract(value, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(value, r"^(.*)(\.[^.]*)$", 2)
 
     def made(hexes: Column) -> Column:
         letters = F.when(kind == "email", "abdeghiklmnoprst").when(kind != "secret", "ABCDEFGHIJKLMNOP")
         letters = letters.when(value.rlike("^[0-9a-fA-F]+$"), "abcdefabcdefabcd").otherwise("bcdfghjkmnpqrstv")
-        masked = F.concat(_masked(F.when(kind == "email", head).otherwise(value), hexes, letters), F.when(kind == "email", tail).otherwise(""))
+        longer = F.concat(F.repeat(F.lit("x"), F.greatest(attempt - 2, F.lit(0))), head)
+        masked = F.concat(_masked(F.when(kind == "email", longer).otherwise(value), hexes, letters), F.when(kind == "email", tail).otherwise(""))
         return (
             F.when(kind == "ip", _ip(hexes))
             .when(kind == "card", _card(value, hexes))

@@ -99,3 +99,12 @@ def test_plain_replacement(documents):
         assert m
         for old, now in zip(found, m.groups(), strict=True):
             assert old[0] != now and len(now) > 3 and new.setdefault(old[0], now) == now
+
+
+def test_more_short_addresses_than_short_surrogates(spark):
+    """An address of two letters has 256 surrogates of its own length; 300 are told apart all the same."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{x}@{y}.co" for x in letters for y in letters][:300]
+    rows = spark.createDataFrame([(i, f"write to {n} now") for i, n in enumerate(names)], "doc_id long, text string")
+    found = [re.fullmatch(r"write to (\S+@\S+\.co) now", r.text)[1] for r in pii.pseudonymized(rows, "k").collect()]
+    assert len(set(found)) == 300 and not set(found) & set(names)
