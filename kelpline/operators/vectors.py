@@ -46,6 +46,12 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def bands(hash_: str, most: int, bits: int) -> Column:
+    """The most + 1 bands of a hash, as structs of band and key."""
+    cuts = [bits * i // (most + 1) for i in range(most + 2)]
+    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_, cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1).alias("key")) for i in range(most + 1)])
+
+
 def hamming_pairs(hashes: DataFrame, most: int = 6, bits: int = 62) -> DataFrame:
     """a < b and distance of distinct hashes at most `most` bits apart.
 
@@ -53,10 +59,7 @@ def hamming_pairs(hashes: DataFrame, most: int = 6, bits: int = 62) -> DataFrame
     hashes: id, hash.  Equal hashes are one node, named by the least id; `members` gives them.
     """
     nodes = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    n = most + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1).alias("key")) for i in range(n)]
-    banded = nodes.select("id", "hash", F.explode(F.array(*parts)).alias("part")).select("id", "hash", "part.*")
+    banded = nodes.select("id", "hash", F.explode(bands("hash", most, bits)).alias("part")).select("id", "hash", "part.*")
     left = banded.select(F.col("id").alias("a"), F.col("hash").alias("x"), "band", "key")
     right = banded.select(F.col("id").alias("b"), F.col("hash").alias("y"), "band", "key")
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
