@@ -125,13 +125,59 @@ def leader_clusters(rows: DataFrame, pairs: DataFrame, in_task: int = IN_TASK) -
     return found.select("id", F.coalesce("duplicate_of_id", "id").alias("cluster"))
 
 
-def resolve_chains(rows: DataFrame, rounds: int = 64) -> DataFrame:
-    """id and canonical: pointers followed to their end by doubling; a pointer to no row is its own end."""
-    at = rows.select("id", F.coalesce("duplicate_of_id", "id").alias("canonical"))
-    for _ in range(rounds):
-        step = at.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"))
-        new = at.join(step, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"), F.col("canonical").alias("old")).checkpoint()
-        at = new.select("id", "canonical")
-        if new.where("canonical <> old").isEmpty():
-            break
-    return at
+def pointer_chains(rows: DataFrame) -> DataFrame:
+    """id, canonical, cycle and stale of pointers (id, duplicate_of_id), followed to their ends by doubling.
+
+    A pointer to no row is its own end (stale: the chain ends there).  Rows on a cycle, and those that lead to one, have no end: cycle
+    is then the least id on it, and stands for them as canonical.  Rounds grow with the logarithm of the longest chain, or, where
+    there is a cycle, of the number of rows that do not end at once.
+    """
+    end = F.coalesce("duplicate_of_id", "id")
+    heads = rows.where("duplicate_of_id IS NULL OR duplicate_of_id = id").select("id")
+    known = rows.select(F.col("id").alias("at"), F.lit(True).alias("known"))
+    # open: whether there is more to follow; least: the least id passed so far, the row's own among them.
+    first = rows.select("id", end.alias("at")).join(known, "at", "left").join(heads.select(F.col("id").alias("at"), F.lit(True).alias("head")), "at", "left")
+    moves = (F.col("at") != F.col("id")) & F.col("known").isNotNull()
+    at = first.select("id", "at", (moves & F.col("head").isNull()).alias("open"), F.least("id", F.when(F.col("known"), F.col("at"))).alias("least"), (F.col("known").isNull()).alias("stale")).checkpoint()
+    left = at.where("open").count()
+    longest, rounds = left, 0  # of a chain, or of a cycle and what leads to it
+    while left and (1 << rounds) <= 2 * longest:
+        step = at.select(F.col("id").alias("at"), F.col("at").alias("to"), F.col("open").alias("more"), F.col("least").alias("low"), F.col("stale").alias("lost"))
+        far = at.where("open").join(step, "at").select("id", F.col("to").alias("at"), F.col("more").alias("open"), F.least("least", "low").alias("least"), F.col("lost").alias("stale"))
+        at = at.where("NOT open").unionByName(far).checkpoint()
+        rounds, left = rounds + 1, at.where("open").count()
+    # What is open now is on a cycle or leads to one, and has come round: its place on the cycle has passed all of it.
+    cycles = at.where("open").select(F.col("id").alias("at"), F.col("least").alias("cycle"))
+    # A row on the way to a cycle has passed ids outside; the place it has come to has not.
+    found = at.join(cycles, "at", "left").select("id", "at", "open", "stale", F.when(F.col("open"), F.col("cycle")).alias("cycle"))
+    return found.select("id", F.coalesce("cycle", "at").alias("canonical"), "cycle", (F.col("stale") & ~F.col("open")).alias("stale"))
+
+
+def resolve_chains(rows: DataFrame) -> DataFrame:
+    """id and canonical: pointers followed to their end; see pointer_chains for cycles."""
+    return pointer_chains(rows).select("id", "canonical")
+
+
+def refolded(rows: DataFrame, pairs: DataFrame, state: DataFrame, changed: DataFrame, existing_wins: bool = False, in_task: int = IN_TASK) -> DataFrame:
+    """The state (id, component, duplicate_of_id) after the rows of `changed` (id) were cleared, added, altered or removed.
+
+    rows and pairs are those that hold now; state is what an earlier call, or `folded_state`, returned.  Only components that held a
+    changed row, or that a pair joins to one, are taken apart and folded again; all other rows of the state stay as they are.  The
+    result equals a fold of all rows.
+    """
+    changed = changed.select("id").distinct().checkpoint()
+    ends = pairs.select("a", "b").union(pairs.select("b", "a"))
+    beside = ends.join(changed.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+    touched = state.join(changed.union(beside).distinct(), "id", "left_semi").select("component").distinct().checkpoint()
+    again = state.join(touched, "component", "left_semi").select("id").union(changed).distinct().checkpoint()
+    inside = pairs.join(again.withColumnRenamed("id", "a"), "a", "left_semi").join(again.withColumnRenamed("id", "b"), "b", "left_semi")
+    new = folded_state(rows.join(again, "id", "left_semi"), inside, existing_wins, in_task)
+    return state.join(again, "id", "left_anti").select("id", "component", "duplicate_of_id").unionByName(new)
+
+
+def folded_state(rows: DataFrame, pairs: DataFrame, existing_wins: bool = False, in_task: int = IN_TASK) -> DataFrame:
+    """id, component (its least id; of a row without pairs its own) and duplicate_of_id of every row."""
+    held = pairs.join(rows.select(F.col("id").alias("a")), "a", "left_semi").join(rows.select(F.col("id").alias("b")), "b", "left_semi").checkpoint()
+    points = greedy_duplicates(rows, held, existing_wins, in_task)
+    named = components(held.where("a <> b"))
+    return points.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "duplicate_of_id").checkpoint()

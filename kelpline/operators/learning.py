@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.operators import selection
+
 
 def contingency(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
@@ -51,7 +53,7 @@ def vectors(rows: DataFrame) -> DataFrame:
 def kmeans_sweep(rows: DataFrame, ks: list[int], seed: int = 7) -> DataFrame:
     """k, silhouette (squared Euclidean) and cost of k-means on standardized features, best k first."""
     v = vectors(rows)
-    scaled = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(v).transform(v).select("id", "s").cache()
+    scaled = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(v).transform(v).select("id", "s").checkpoint()
     out = []
     for k in ks:
         model = KMeans(k=k, seed=seed, featuresCol="s").fit(scaled)
@@ -60,13 +62,22 @@ def kmeans_sweep(rows: DataFrame, ks: list[int], seed: int = 7) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, "k int, silhouette double, cost double").orderBy(F.desc("silhouette"))
 
 
+def stratified_folds(rows: DataFrame, by: str, folds: int, seed: str = "0") -> DataFrame:
+    """rows with a fold from 0 to folds - 1: those of each class are dealt in turn, in the order of a keyed hash, so that the
+    parts of a class differ in size by one at most."""
+    order = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col("id").cast("string")).cast("binary"))
+    ranked = selection.placed(rows.withColumn("_order", order), [by], ["_order", "id"])
+    return ranked.withColumn("fold", F.pmod("place", F.lit(folds)).cast("int")).drop("_order", "place", "size")
+
+
 def cross_validated(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """id, generator, predicted and confidence out of fold, by multinomial regression balanced over classes."""
-    named = vectors(rows.where("generator IS NOT NULL")).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    """id, generator, fold, predicted, confidence and top3 (classes, likeliest first) out of fold, by multinomial regression
+    balanced over classes; features are standardized by the other folds alone."""
+    named = stratified_folds(rows.where("generator IS NOT NULL"), "generator", folds)
     counts = named.groupBy("generator").agg(F.count("*").alias("n"))
-    named = named.join(counts, "generator").withColumn("weight", 1e0 / F.col("n"))
+    named = vectors(named.join(counts, "generator").withColumn("weight", 1e0 / F.col("n")))
     indexer = StringIndexer(inputCol="generator", outputCol="y", stringOrderType="alphabetAsc").fit(named)
-    known = indexer.transform(named).cache()
+    known = indexer.transform(named).checkpoint()
     parts = []
     for fold in range(folds):
         there, here = known.where(F.col("fold") != fold), known.where(F.col("fold") == fold)
@@ -77,7 +88,47 @@ def cross_validated(rows: DataFrame, folds: int = 5) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     names = F.array(*[F.lit(x) for x in indexer.labels])
-    return out.select("id", "generator", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+    ranked = F.transform(vector_to_array("probability"), lambda p, i: F.struct((-p).alias("minus"), i.alias("i")))
+    ranked = F.transform(F.slice(F.array_sort(ranked), 1, 3), lambda x: F.get(names, x["i"]))
+    return out.select("id", "generator", "fold", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"), ranked.alias("top3"))
+
+
+def early_stop(rows: DataFrame, series: str, step: str, value: str, patience: int) -> DataFrame:
+    """Per series: best_step (the first of the greatest value), best_value, steps_run and stopped.
+
+    Values are read in the order of steps until `patience` of them in a row do not exceed the greatest so far (a strict
+    comparison, so an equal one counts as none); null and NaN values never exceed.  A series is a run's measurements, one a step.
+    """
+    order = Window.partitionBy(series).orderBy(step)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    v = F.when(~F.isnan(value), F.col(value))
+    at = rows.select(series, step, v.alias("_v"), F.row_number().over(order).alias("_at"), F.max(v).over(before).alias("_most"))
+    better = F.col("_v").isNotNull() & (F.col("_most").isNull() | (F.col("_v") > F.col("_most")))
+    at = at.withColumn("_last", F.coalesce(F.max(F.when(better, F.col("_at"))).over(order), F.lit(0))).withColumn("_better", better)
+    at = at.withColumn("_idle", F.col("_at") - F.col("_last"))
+    ended = F.coalesce(F.max(F.when(F.col("_idle") >= patience, 1)).over(before), F.lit(0))
+    run = at.withColumn("_ended", ended).where("_ended = 0")
+    best = F.max_by(F.struct(step, "_v"), F.when(F.col("_better"), F.col("_at"))).alias("_best")
+    out = run.groupBy(series).agg(best, F.count("*").alias("steps_run"), (F.max("_idle") >= patience).alias("stopped"))
+    return out.select(series, F.col(f"_best.{step}").alias("best_step"), F.col("_best._v").alias("best_value"), "steps_run", "stopped")
+
+
+def aligned_features(tables: list[DataFrame], names: list[str]) -> DataFrame:
+    """id and one array per table (id, features), and their concatenation `features`; all tables must have the same ids, once each.
+
+    Ids are compared by counts and one join; a table with other ids, or an id twice, is an error that says which.
+    """
+    counts = [t.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first() for t in tables]
+    for name, c in zip(names, counts, strict=True):
+        if c.n != c.ids or c.n != counts[0].n:
+            raise ValueError(f"{name} has {c.n} rows of {c.ids} ids, {names[0]} has {counts[0].n}")
+    out = tables[0].select("id", F.col("features").alias(names[0]))
+    for t, name in zip(tables[1:], names[1:], strict=True):
+        out = out.join(t.select("id", F.col("features").alias(name)), "id")
+    out = out.checkpoint()
+    if out.count() != counts[0].n:
+        raise ValueError(f"ids of {', '.join(names)} differ: {out.count()} of {counts[0].n} are in all")
+    return out.withColumn("features", F.concat(*names))
 
 
 def linear_probe(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.operators import selection
+
 #: Credit, in halves, for a fake and a real with equal scores.
 TIES = {"fakes_first": 2, "midrank": 1}
 
@@ -93,7 +95,8 @@ def against_own_pool(df: DataFrame, detector: str, platform: str, least: int, le
 
 def tpr_at_fpr(df: DataFrame, group: list[str], fpr: float = 0.05) -> DataFrame:
     """Share of fakes at or over the (1 - fpr) quantile of reals, linearly interpolated."""
-    cut = df.where("label = 0").groupBy(*group).agg(F.percentile("score", F.lit(1 - fpr)).alias("threshold"))
+    reals = df.where("label = 0").groupBy(*group, "score").agg(F.count("*").alias("n"))
+    cut = selection.quantiles(reals, group, "score", "n", 1 - fpr).withColumnRenamed("quantile", "threshold")
     hits = df.where("label = 1").join(cut, group).groupBy(*group, "threshold")
     hits = hits.agg(F.count_if(F.col("score") >= F.col("threshold")).alias("hit"), F.count("*").alias("n"))
     return hits.select(*group, "threshold", (F.col("hit") / F.col("n")).alias("tpr"))
@@ -102,9 +105,9 @@ def tpr_at_fpr(df: DataFrame, group: list[str], fpr: float = 0.05) -> DataFrame:
 def rank_normalized(df: DataFrame, detector: str = "detector", item: str = "video") -> DataFrame:
     """Ranks from 0 to 1 of each detector's scores, ties in the order of items; the last score of a pair counts."""
     last = df.groupBy(detector, item).agg(F.max_by("score", "seq").alias("score"), F.max("label").alias("label"))
-    n = F.count("*").over(Window.partitionBy(detector))
-    place = F.row_number().over(Window.partitionBy(detector).orderBy("score", item)) - 1
-    return last.withColumn("rank_norm", place / F.greatest(n - 1, F.lit(1)).cast("double"))
+    ranked = selection.placed(last, [detector], ["score", item])
+    norm = F.col("place") / F.greatest(F.col("size") - 1, F.lit(1)).cast("double")
+    return ranked.withColumn("rank_norm", norm).drop("place", "size")
 
 
 def ensemble(df: DataFrame, detector: str = "detector", item: str = "video") -> DataFrame:

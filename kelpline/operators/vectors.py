@@ -55,12 +55,16 @@ def bands(hash_: str, most: int, bits: int) -> Column:
 def hamming_pairs(hashes: DataFrame, most: int = 6, bits: int = 62) -> DataFrame:
     """a < b and distance of distinct hashes at most `most` bits apart.
 
-    Two such hashes agree in one of most + 1 bands at least (pigeonhole), so an equi-join of bands finds every pair.
-    hashes: id, hash.  Equal hashes are one node, named by the least id; `members` gives them.
+    Of most // 2 + 1 bands of two such hashes one differs in one bit at most (if all differed in two, there would be more than
+    `most`).  So each hash is put under its bands and looked up under all that differ from its own in one bit or none: bands are
+    twice as wide as those that must be equal, and a key holds far fewer rows.
+    hashes: id, hash.  Equal hashes are one node, named by the least id.
     """
     nodes = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    banded = nodes.select("id", "hash", F.explode(bands("hash", most, bits)).alias("part")).select("id", "hash", "part.*")
-    left = banded.select(F.col("id").alias("a"), F.col("hash").alias("x"), "band", "key")
+    banded = nodes.select("id", "hash", F.explode(bands("hash", most // 2, bits)).alias("part")).select("id", "hash", "part.*")
+    width = -(-bits // (most // 2 + 1))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(width)])
+    left = banded.select(F.col("id").alias("a"), F.col("hash").alias("x"), "band", F.explode(F.transform(flips, lambda bit: F.col("key").bitwiseXOR(bit))).alias("key"))
     right = banded.select(F.col("id").alias("b"), F.col("hash").alias("y"), "band", "key")
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
     return left.join(right, ["band", "key"]).where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= most).distinct()

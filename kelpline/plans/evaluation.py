@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpline.operators import metrics
+from kelpline.operators import metrics, noise
 from kelpline.sources import adapters as A
+from kelpline.sources.session import with_checkpoints
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -103,7 +104,7 @@ def group_heatmap(spark, sf_dir):
     " SELECT detector, threshold, count(*) FILTER (score >= threshold) / count(*)::DOUBLE AS tpr FROM v_scores JOIN q USING (detector) WHERE label = 1 GROUP BY 1, 2"
 )
 def tpr_at_fpr(spark, sf_dir):
-    return metrics.tpr_at_fpr(A.scores(spark, sf_dir), ["detector"])
+    return metrics.tpr_at_fpr(A.scores(with_checkpoints(spark), sf_dir), ["detector"])
 
 
 @query(
@@ -147,12 +148,12 @@ ENSEMBLE = (
 
 @query(ENSEMBLE + " SELECT video, label, n_det, round(ensemble, 9) AS ensemble, round(conf, 9) AS conf FROM f")
 def rank_ensemble(spark, sf_dir):
-    return metrics.ensemble(A.scores(spark, sf_dir)).select("video", "label", "n_det", F.round("ensemble", 9).alias("ensemble"), F.round("conf", 9).alias("conf"))
+    return metrics.ensemble(A.scores(with_checkpoints(spark), sf_dir)).select("video", "label", "n_det", F.round("ensemble", 9).alias("ensemble"), F.round("conf", 9).alias("conf"))
 
 
 @query(ENSEMBLE + " SELECT video, n_det, round(conf, 9) AS conf FROM f WHERE conf < 0.6 ORDER BY round(conf, 9), video LIMIT 100")
 def hard_cases(spark, sf_dir):
-    hard = metrics.ensemble(A.scores(spark, sf_dir)).where("is_hard").select("video", "n_det", F.round("conf", 9).alias("conf"))
+    hard = metrics.ensemble(A.scores(with_checkpoints(spark), sf_dir)).where("is_hard").select("video", "n_det", F.round("conf", 9).alias("conf"))
     return hard.orderBy("conf", "video").limit(100)
 
 
@@ -163,7 +164,7 @@ def hard_cases(spark, sf_dir):
 )
 def hard_rates(spark, sf_dir):
     v = A.videos(spark, sf_dir).select(F.concat(F.col("id").cast("string"), F.lit(".mp4")).alias("video"), F.col("source_platform").alias("platform"))
-    out = metrics.ensemble(A.scores(spark, sf_dir)).join(v, "video").groupBy("platform").agg(F.count_if(F.col("is_hard")).alias("hard"), F.count("*").alias("total"))
+    out = metrics.ensemble(A.scores(with_checkpoints(spark), sf_dir)).join(v, "video").groupBy("platform").agg(F.count_if(F.col("is_hard")).alias("hard"), F.count("*").alias("total"))
     return out.withColumn("rate", F.col("hard") / F.greatest(F.lit(1), F.col("total")))
 
 
@@ -176,7 +177,7 @@ def label_issues(spark, sf_dir):
     """Rows less sure of their label than its mean and surer of the other: likeliest wrong labels first, a hundred."""
     from pyspark.sql import Window
 
-    f = metrics.ensemble(A.scores(spark, sf_dir))
+    f = metrics.ensemble(A.scores(with_checkpoints(spark), sf_dir))
     f = f.join(f.groupBy("label").agg(F.avg("conf").alias("cut")), "label").where((F.round("conf", 6) < F.round("cut", 6)) & (1 - F.col("conf") >= 0.5))
     top = f.select("video", F.col("label").alias("given"), F.round("conf", 9).alias("self_conf")).orderBy("self_conf", "video").limit(100)
     return top.withColumn("issue_rank", F.row_number().over(Window.orderBy("self_conf", "video")))
@@ -224,3 +225,22 @@ def score_summary(spark, sf_dir):
         F.avg(F.when(F.col("label") == 1, s)).alias("f"), F.avg(F.when(F.col("label") == 0, s)).alias("r"), F.stddev_pop(s).alias("sd"), F.percentile(s, F.lit(0.5)).alias("m")
     )
     return out.select("detector", F.round("f", 9).alias("mean_fake"), F.round("r", 9).alias("mean_real"), F.round("sd", 9).alias("std"), F.round("m", 9).alias("median"))
+
+
+@query(
+    ENSEMBLE
+    + ", pr AS (SELECT video, label, [1 - ensemble, ensemble] AS probs FROM f), t AS (SELECT label, avg(probs[label + 1]) AS cut FROM pr GROUP BY 1),"
+    " c AS (SELECT p.label AS given, CASE WHEN a AND b THEN CASE WHEN probs[2] > probs[1] THEN 1 ELSE 0 END WHEN a THEN 0 WHEN b THEN 1 END AS true_ FROM (SELECT pr.*, probs[1] >= (SELECT cut FROM t WHERE label = 0) AS a, probs[2] >= (SELECT cut FROM t WHERE label = 1) AS b FROM pr) p),"
+    " j0 AS (SELECT given, true_, count(*) AS n FROM c WHERE true_ IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT label, label, 1 FROM t), j AS (SELECT given, true_, max(n) AS n FROM j0 GROUP BY 1, 2),"
+    " q AS (SELECT given, true_, floor(n * (SELECT count(*) FROM pr WHERE label = given) / (sum(n) OVER (PARTITION BY given))::DOUBLE)::BIGINT AS prune FROM j),"
+    " m AS (SELECT video, label AS given, 1 - label AS other, probs[label + 1] AS conf, round(probs[2 - label] - probs[label + 1], 9) AS margin FROM pr),"
+    " o AS (SELECT m.video AS video, m.given AS given, m.other AS other, m.conf AS conf, m.margin AS margin, prune, row_number() OVER (PARTITION BY m.given ORDER BY margin DESC) AS place FROM m JOIN q ON q.given = m.given AND q.true_ = m.other AND prune > 0),"
+    " z AS (SELECT o.given AS given, min(margin) AS cut FROM o WHERE place <= prune GROUP BY 1)"
+    " SELECT video, CAST(o.given AS INTEGER) AS given, CAST(other AS INTEGER) AS suggested, round(conf, 9) AS self_conf FROM o JOIN z ON z.given = o.given WHERE margin >= cut AND margin > 0"
+)
+def confident_issues(spark, sf_dir):
+    """All rows whose label the ensemble's ranks contradict, by the joint counts of given and true labels."""
+    f = metrics.ensemble(A.scores(with_checkpoints(spark), sf_dir))
+    rows = f.select(F.col("video").alias("item"), "label", F.array(1 - F.col("ensemble"), F.col("ensemble")).alias("probs")).checkpoint()
+    out = noise.label_issues(rows)
+    return out.select(F.col("item").alias("video"), F.col("given").cast("int").alias("given"), "suggested", F.round("self_conf", 9).alias("self_conf"))

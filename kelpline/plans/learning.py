@@ -124,14 +124,72 @@ def marginal_gain(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    return learning.kmeans_sweep(A.features(spark, sf_dir), [3, 5, 8])
+    return learning.kmeans_sweep(A.features(with_checkpoints(spark), sf_dir), [3, 5, 8])
 
 
 @query()
 def family_classifier(spark, sf_dir):
-    return learning.cross_validated(A.features(spark, sf_dir))
+    return learning.cross_validated(A.features(with_checkpoints(spark), sf_dir)).select("id", "generator", "fold", "predicted", "confidence", F.array_join("top3", ",").alias("top3"))
 
 
 @query()
 def linear_probe(spark, sf_dir):
     return learning.linear_probe(A.features(spark, sf_dir).withColumn("label", F.when(F.col("label") < 5, 1).otherwise(0)))
+
+
+@query(
+    f"WITH {A.PHASH_SQL}, n AS (SELECT hash, min(id) AS id FROM v_phash GROUP BY 1), k AS (SELECT id, hash, CASE WHEN id % 3 = 0 THEN 6 - id % 7 ELSE id % 7 END AS quality FROM n WHERE id % 110 <> 0),"
+    " p AS (SELECT a.id AS a, b.id AS b, b.quality < a.quality AS earlier FROM k a JOIN k b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6), t AS (SELECT CASE WHEN earlier THEN b ELSE a END AS id, CASE WHEN earlier THEN a ELSE b END AS target FROM p),"
+    " c AS (SELECT a AS id, a AS component FROM p UNION SELECT b, a FROM p) SELECT k.id, coalesce(c.component, k.id) AS component, t.target AS duplicate_of_id FROM k LEFT JOIN t ON t.id = k.id LEFT JOIN c ON c.id = k.id"
+)
+def refolded_duplicates(spark, sf_dir):
+    """Pointers after some rows changed quality and others went: only components they were in are folded again.
+
+    (The SQL takes pairs one by one, as in the given tables; a test holds chains against a fold of all rows.)
+    """
+    rows, pairs = nodes_of(with_checkpoints(spark), sf_dir), pairs_of(spark, sf_dir).select("a", "b", (-F.col("distance")).cast("long").alias("sim"))
+    state = folds.folded_state(rows, pairs)
+    changed = rows.where("id % 3 = 0 OR id % 110 = 0").select("id")
+    new = rows.where("id % 110 <> 0").withColumn("quality", F.when(F.col("id") % 3 == 0, 6 - F.col("quality")).otherwise(F.col("quality")))
+    return folds.refolded(new, pairs, state, changed)
+
+
+# Pointers that make chains and cycles, and series of measurements
+
+#: Chains of seven, cycles of three with a row that leads to each, and pointers to no row.
+POINTER = "CASE doc_id % 12 WHEN 0 THEN NULL WHEN 7 THEN doc_id + 2 WHEN 8 THEN doc_id - 1 WHEN 9 THEN doc_id - 1 WHEN 10 THEN doc_id - 1 WHEN 11 THEN -doc_id ELSE doc_id - 1 END"
+
+
+@query(
+    f"WITH RECURSIVE p AS (SELECT doc_id AS id, {POINTER} AS dest FROM documents), k AS (SELECT p.*, EXISTS (SELECT 1 FROM p q WHERE q.id = p.dest) AS known FROM p),"
+    " w(id, place, steps) AS (SELECT id, id, 0 FROM k UNION ALL SELECT w.id, coalesce(k.dest, k.id), w.steps + 1 FROM w JOIN k ON k.id = w.place WHERE k.dest IS NOT NULL AND w.steps < 12),"
+    " e AS (SELECT w.id AS id, bool_or(k.id IS NULL) AS stale, min(w.place) FILTER (w.steps >= 8) AS low FROM w LEFT JOIN k ON k.id = w.place GROUP BY w.id),"
+    " f AS (SELECT w.id AS id, max(w.place) FILTER (k.id IS NULL) AS gone, max(w.place) FILTER (k.dest IS NULL AND k.id IS NOT NULL) AS head FROM w LEFT JOIN k ON k.id = w.place GROUP BY w.id)"
+    " SELECT e.id, coalesce(CASE WHEN stale THEN gone END, head, low) AS canonical, CASE WHEN head IS NULL AND NOT stale THEN low END AS cycle, stale FROM e JOIN f USING (id)"
+)
+def pointer_chains(spark, sf_dir):
+    """Ends of chains, and cycles by name."""
+    rows = A.table(with_checkpoints(spark), sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(POINTER).alias("duplicate_of_id"))
+    return folds.pointer_chains(rows)
+
+
+@query(
+    "WITH m AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM events),"
+    " b AS (SELECT *, most IS NULL OR value > most AS better FROM m), l AS (SELECT *, place - max(CASE WHEN better THEN place ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS idle FROM b),"
+    " s AS (SELECT user_id, min(place) FILTER (idle >= 4) AS stop FROM l GROUP BY 1)"
+    " SELECT user_id, max(event_id) FILTER (better) AS best_step, max(value) AS best_value, count(*) AS steps_run, max(idle) >= 4 AS stopped FROM l JOIN s USING (user_id) WHERE stop IS NULL OR place <= stop GROUP BY 1"
+)
+def early_stops(spark, sf_dir):
+    """The best step of each user's series of values, read until four in a row are no better."""
+    return learning.early_stop(A.table(spark, sf_dir, "events"), "user_id", "event_id", "value", 4)
+
+
+@query(
+    f"WITH {A.PLANTED_SQL} SELECT f.id, CAST(len(f.features) + len(p.features) AS INTEGER) AS dims, round(f.features[3], 6) AS a, round(p.features[3], 6) AS b, round(list_sum(list_transform(list_zip(f.features, p.features), lambda x: x[1] * x[2])), 6) AS dot"
+    " FROM v_features f JOIN v_features p USING (id)"
+)
+def aligned_features(spark, sf_dir):
+    """Two feature sets of the same rows side by side, in one array."""
+    f = A.features(with_checkpoints(spark), sf_dir)
+    out = learning.aligned_features([f, f.select("id", "features")], ["first", "second"])
+    return out.select("id", F.size("features").alias("dims"), F.round(F.get("features", F.lit(2)), 6).alias("a"), F.round(F.get("features", F.lit(66)), 6).alias("b"), F.round(vectors.dot("first", "second"), 6).alias("dot"))
