@@ -222,3 +222,44 @@ def test_supported(need):
     h = np.array([0, 1, 2, 3, 4, 0])
     l, c, r = np.array([0, 0, 0, 0, 0, 500]), np.array([30, 31, 32, 33, 34, 530]), np.array([90, 90, 90, 90, 90, 590])
     assert substring_dedup.supported(h, l, c, r, 46, need).tolist() == [True] * 5 + [need == 1]
+
+
+def similar_groups(groups):
+    """Four texts a group, two with a passage of 60 words and two with it but for one word."""
+    rows = []
+    for g in range(groups):
+        p = [f"p{g}_{i}" for i in range(60)]
+        for k, passage in enumerate((p, p, [*p[:30], f"e{g}", *p[31:]], [*p[:30], f"e{g}", *p[31:]])):
+            own = [[f"o{g}_{k}_{j}_{i}" for i in range(40)] for j in range(2)]
+            rows.append((4 * g + k, " ".join(own[0] + passage + own[1])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [32768, 8])
+def test_explained_passages_meet_similar_ones(spark, monkeypatch, block):
+    """Exact copies explain all four texts of a group; the two passages are linked all the same, also in dealt groups."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    groups = 60 if block > 8 else 6
+    df = spark.createDataFrame(similar_groups(groups), "doc_id long, text string")
+    ids = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(df).collect():
+        ids[r.class_id].add(r.doc_id)
+    assert sorted(map(sorted, ids.values())) == [[4 * g + k for k in range(4)] for g in range(groups)]
+
+
+def test_chains_of_similar_passages(spark):
+    """Each version of a passage has exact copies and is similar to the next version only."""
+    rows = []
+    for g in range(10):
+        p = [f"p{g}_{i}" for i in range(64)]
+        for version in range(6):
+            p = list(p)
+            p[9 * version + 8] = f"e{g}_{version}"
+            for k in range(2):
+                own = [[f"o{g}_{version}_{k}_{j}_{i}" for i in range(40)] for j in range(2)]
+                rows.append((100 * g + 10 * version + k, " ".join(own[0] + p + own[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(df).collect():
+        ids[r.class_id].add(r.doc_id)
+    assert sorted(map(sorted, ids.values())) == [[100 * g + 10 * v + k for v in range(6) for k in range(2)] for g in range(10)]
