@@ -1,8 +1,9 @@
 """Personal data replaced by surrogates, in DataFrame functions alone.
 
 Detected: e-mail addresses, secrets after a naming word, IPv4 addresses, telephone, card and social security numbers,
-IBANs, and names after an honorific; a name found in a text is replaced wherever its words stand in that text.  A
-surrogate is a keyed function of type, canonical value and attempt, so an entity has one surrogate throughout the corpus,
+IBANs, and names after an honorific.  The words of a name found in a text are replaced wherever they stand in that text
+with their capital, too; where one stands alone and begins a sentence it may be a common word, and stays.  Parts of a name
+with hyphens or apostrophes are names of their own, single letters of it stay (O'Brien, Smith's).  A surrogate is a keyed function of type, canonical value and attempt, so an entity has one surrogate throughout the corpus,
 however its digits are spaced.  It keeps length, punctuation, letter case and kind of sign; octets stay octets, a card
 number that passes the Luhn check passes it again, an IBAN keeps its country and has valid check digits, hexadecimal
 secrets stay hexadecimal, and names keep gender (from the honorific) and script.  A given name that stands somewhere with
@@ -24,16 +25,26 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import stored
 
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){1,127}"  # one start for each run of signs
 SECRET = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,}"
-IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d)(?!\.\d)"
+#: Numbers of versions look like addresses.
+IP = r"(?<![\d.])(?<!\b(?i:version|release|build|ver|v)\.?[ :]?)(?:\d{1,3}\.){3}\d{1,3}(?!\d)(?!\.\d)"
 PHONE = r"(?<!\d)(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 CARD = r"(?<![\d\p{L}])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\d\p{L}])\d{13,19}(?![\d\p{L}])"
 IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\d])"
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Г-жа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Г-н"]
-NAME = r"(?<![\p{L}\d])(?:" + "|".join([*FEMALE, *MALE, "Dr", "Prof"]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}"
+#: Capitalised words that follow a name and are none.
+CALENDAR = [
+    "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday",
+    "January", "February", "March", "April", "June", "July", "August", "September", "October", "November", "December",
+    "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag",
+]
+WORD = r"\p{Lu}(?=\p{L}|['’-]\p{L})\p{L}*+(?:['’-]\p{L}++){0,8}+"
+NAME = r"(?<![\p{L}\d])(?:" + "|".join([*FEMALE, *MALE, "Dr", "Prof"]) + r")\.? " + WORD + r"(?: (?!(?:" + "|".join(CALENDAR) + r")(?![\p{L}\d]))" + WORD + "){0,2}"
+#: What stands before a word that begins a sentence.
+START = r"(?:^|[.!?…:]['\"»”)]{0,2}\s{1,3}|[\r\n]\s{0,3}|[¿¡«“\"(])"
 ANY = "|".join([EMAIL, SECRET, IP, PHONE, SSN, CARD, IBAN, NAME])
 #: What a text must hold to be searched at all: cheap to test, and true of all that ANY finds.
 MARKS = [*FEMALE, *MALE, "Dr", "Prof"]
@@ -194,19 +205,26 @@ def surrogate(value: Column, kind: Column, attempt: Column, key: str) -> Column:
     return _let(_hex(key, kind, canonical(value, kind), attempt), made)
 
 
-def _parts(m: Column) -> Column:
-    """array<struct<kind, value>>: the parts of a match that are replaced, in order."""
-    kind = kind_of(m)
+def _pieces(m: Column) -> Column:
+    """array<struct<kind, value>>: a name after its honorific in pieces; those that stay have no kind."""
     honorific = F.regexp_extract(m, r"^([\p{L}-]+)", 1)
     gender = F.when(honorific.isin(*FEMALE), "f").when(honorific.isin(*MALE), "m").otherwise("u")
     names = F.slice(F.split(m, " "), 2, 3)
     last = F.size(names) - 1
 
     def named(word: Column, i: Column) -> Column:
-        return F.struct(F.when(i == last, "surname").otherwise(F.concat(F.lit("given_"), gender)).alias("kind"), word.alias("value"))
+        kind = F.when(i == last, "surname").otherwise(F.concat(F.lit("given_"), gender))
+        signs = F.regexp_extract_all(F.when(i == 0, word).otherwise(F.concat(F.lit(" "), word)), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+        return F.transform(signs, lambda x: F.struct(F.when(x.rlike(r"^\p{L}{2,}$"), kind).alias("kind"), x.alias("value")))
 
+    return F.flatten(F.transform(names, named))
+
+
+def _parts(m: Column) -> Column:
+    """array<struct<kind, value>>: the parts of a match that are replaced, in order."""
+    kind = kind_of(m)
     one = F.array(F.struct(kind.alias("kind"), _value(m, kind).alias("value")))
-    return F.when(kind == "name", F.transform(names, named)).otherwise(one)
+    return F.when(kind == "name", F.filter(_pieces(m), lambda p: p["kind"].isNotNull())).otherwise(one)
 
 
 def _new(p: Column, key: str, known: Column) -> Column:
@@ -218,10 +236,11 @@ def _new(p: Column, key: str, known: Column) -> Column:
 def _replaced(m: Column, new: Column) -> Column:
     """A match with its parts replaced as in the map new; what stands before the first part stays."""
     kind = kind_of(m)
-    kept = F.when(kind == "name", F.concat(F.substring_index(m, " ", 1), F.lit(" "))).otherwise(
-        F.substring(m, F.lit(1), F.length(m) - F.length(_value(m, kind)))
-    )
-    return F.concat(kept, F.array_join(F.transform(_parts(m), lambda p: F.element_at(new, p)), " "))
+    name = F.transform(_pieces(m), lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(F.try_element_at(new, p)))
+    name = F.concat(F.substring_index(m, " ", 1), F.lit(" "), F.array_join(name, ""))
+    value = _value(m, kind)
+    plain = F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.try_element_at(new, F.struct(kind.alias("kind"), value.alias("value"))))
+    return F.when(kind == "name", name).otherwise(plain)
 
 
 def _searched(text: Column) -> Column:
@@ -270,7 +289,7 @@ def pseudonymized(documents: DataFrame, key: str | None = None) -> DataFrame:
     key = key or documents.sparkSession.conf.get("spark.kelpline.pii.key", None) or "kelpline"
     taken = set(documents.columns)
     free = next(p for p in (f"_pii{k}_" for k in range(len(taken) + 1)) if not any(c.startswith(p) for c in taken))
-    matches, known, text_key, pieces, new, words = (free + x for x in ("matches", "known", "text", "pieces", "new", "words"))
+    matches, known, text_key, pieces, new, words, near = (free + x for x in ("matches", "known", "text", "pieces", "new", "words", "near"))
     found = documents.select(F.explode(F.array_distinct(_matches(F.col("text")))).alias("m"))
     found = found.select(F.explode(_parts(F.col("m"))).alias("p")).select("p.kind", canonical(F.col("p.value"), F.col("p.kind")).alias("canon"))
     entities = stored(found.distinct(), "pii-entities")
@@ -303,12 +322,21 @@ def pseudonymized(documents: DataFrame, key: str | None = None) -> DataFrame:
     named = F.filter(F.map_entries(new), lambda e: e["key"]["kind"].rlike("^(given_|surname)"))
     rows = rows.withColumn(words, F.when(some, F.transform(named, lambda e: F.struct(e["key"]["value"].alias("word"), e["value"].alias("new")))))
 
+    quoted = lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))
+    beside = F.array_join(F.flatten(F.transform(F.col(words), lambda w: F.array(quoted(w["word"]), w["new"]))), "|")
+
     def renamed(piece: Column) -> Column:
-        whole = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), w["word"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        # Not the first of a sentence, or beside another word of a name.
+        def whole(w: Column) -> Column:
+            after = F.concat(F.lit(r"(?=[ '’-](?:"), F.col(near), F.lit(r")(?![\p{L}\p{N}]))"))
+            inner = F.concat(F.lit(r"(?<!" + START + ")"), quoted(w["word"]), F.lit(r"(?![\p{L}\p{N}])"))
+            first = F.concat(quoted(w["word"]), after)
+            return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), inner, F.lit("|"), first, F.lit(")"))
+
         return F.aggregate(words, piece, lambda text, w: F.when(text.contains(w["word"]), F.regexp_replace(text, whole(w), w["new"])).otherwise(text))
 
     # Two mentions of a column of words, so that it is computed once for a row and not for each piece.
-    rows = rows.withColumn(pieces, F.when(F.size(words) > 0, F.transform(pieces, renamed)).otherwise(F.col(pieces)))
+    rows = rows.withColumn(near, beside).withColumn(pieces, F.when(F.size(words) > 0, F.transform(pieces, renamed)).otherwise(F.col(pieces)))
     joined = F.transform(matches, lambda m, i: F.concat(_replaced(m, F.col(new)), F.element_at(F.col(pieces), i + 2)))
     text = F.when(some, F.concat(F.element_at(pieces, 1), F.array_join(joined, ""))).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*[f"`{c}`" for c in documents.columns])

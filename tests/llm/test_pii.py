@@ -108,3 +108,28 @@ def test_more_short_addresses_than_short_surrogates(spark):
     rows = spark.createDataFrame([(i, f"write to {n} now") for i, n in enumerate(names)], "doc_id long, text string")
     found = [re.fullmatch(r"write to (\S+@\S+\.co) now", r.text)[1] for r in pii.pseudonymized(rows, "k").collect()]
     assert len(set(found)) == 300 and not set(found) & set(names)
+
+
+def test_common_words_stay(spark):
+    """A word of a name that begins a sentence alone may be a common word; beside another or within a sentence it is the name."""
+    out = replaced(spark, "Mr. Will Young said: Will you come? Young people do. Then Young left. Will Young came.", "Mr. Smith Monday is off. Monday came.")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) said: Will you come\? Young people do\. Then (\w+) left\. (\w+) (\w+) came\.", out[0])
+    assert m and m[1] == m[4] and m[2] == m[3] == m[5] and not {"Will", "Young"} & set(m.groups())
+    assert re.fullmatch(r"Mr\. (?!Smith)\w+ Monday is off\. Monday came\.", out[1])
+
+
+def test_compound_names(spark):
+    out = replaced(spark, "Mrs. Mary Jones-Lee and Jones", "Mr. O'Brien met Mr. Brien", "Mr. Smith's car, Smith’s dog", "Prof. Lee")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+)-(\w+) and (\w+)", out[0])
+    assert m and m[2] == m[4] and m[2] != m[3] and not {"Mary", "Jones", "Lee"} & set(m.groups())
+    assert out[3] == f"Prof. {m[3]}"
+    m = re.fullmatch(r"Mr\. O'(\w+) met Mr\. (\w+)", out[1])
+    assert m and m[1] == m[2] != "Brien"
+    m = re.fullmatch(r"Mr\. (\w+)'s car, (\w+)’s dog", out[2])
+    assert m and m[1] == m[2] != "Smith"
+
+
+def test_versions_are_no_addresses(spark):
+    out = replaced(spark, "version 1.2.3.4 and v1.2.3.4 at 10.20.30.40", "x" * 200_000 + " Mr. " + "A" + "a-b" * 30_000)
+    assert re.fullmatch(r"version 1\.2\.3\.4 and v1\.2\.3\.4 at (?!10\.20\.30\.40)\d+\.\d+\.\d+\.\d+", out[0])
+    assert len(out[1]) > 200_000
