@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.plans import crawling, curation, evaluation, learning, records, stores, upkeep
+from kelpline.plans import crawling, curation, evaluation, learning, records, reporting, stores, upkeep
 
-MODULES = (evaluation, curation, crawling, learning, records, upkeep, stores)
+MODULES = (evaluation, curation, crawling, learning, records, reporting, stores, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

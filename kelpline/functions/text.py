@@ -84,6 +84,16 @@ TUTORIAL_TAG_TERMS = [
     "教程", "教学", "入门教程", "入门教学", "保姆级", "手把手", "教会你", "跟我学", "学习ai", "ai学习", "学ai", "ai教程", "ai教学", "sd教程", "sd教学", "sd学习",
     "comfyui教程", "comfyui教学", "comfyui入门", "工作流教程", "提示词教学", "tutorial", "beginner", "walkthrough",
 ]
+# Terms that keep a title out while it is harvested, and names among titles.
+HARVEST_TITLE_TERMS = [
+    "教程", "教学", "入门", "保姆级", "手把手", "全流程", "秘籍", "方法", "攻略", "测评", "评测", "对比", "反应", "盘点", "讲解", "解说", "教会你", "使用方法",
+    "使用指南", "工作流", "comfyui", "comfy ui", "整合包", "一键包", "一键整合", "本地部署", "免安装", "附安装包", "tutorial", "how to", "guide", "review",
+    "reaction", "tips", "step by step", "step-by-step", "walkthrough", "beginner",
+]
+HARVEST_AVATAR_NAMES = [
+    "a-soul", "asoul", "东雪莲", "東雪蓮", "阿梓", "嘉然", "乃琳", "贝拉", "珈乐", "向晚", "嘉心糖", "乃贝", "hololive", "neuro-sama", "vedal", "夏色まつり",
+    "神楽めあ", "月ノ美兎", "月之美兔", "にじさんじ", "彩虹社",
+]
 TUTORIAL_NEGATIVE = ["从零开始的异世界"]
 MUSIC_TERMS = [
     "[suno", "【suno", "ai翻唱", "ai歌手", "ai配乐", "ai cover", "ai歌曲", "ai音乐生成", "ai作曲", "ai编曲", "ai作词", "ai写歌", "ai原创歌曲", "ai原创音乐",
@@ -194,6 +204,23 @@ def duration_seconds(text: Column) -> Column:
     )
 
 
+#: A date, or a date and a time with or without seconds, fraction and zone.
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def iso_micros(text: Column) -> Column:
+    """Microseconds since 1970 of an ISO date or time; one without a zone is in UTC; null for what is neither."""
+    zone = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    seconds = F.regexp_replace(zone, r"([T ]\d{2}:\d{2})(?=Z|[+-])", "$1:00")
+    return F.when(text.rlike(ISO), F.unix_micros(seconds.try_cast("timestamp")))
+
+
+def age_cutoff(now: Column, max_age_days: int | None) -> Column:
+    """The earliest time, in microseconds since 1970, of what is at most so many days old at `now` (also microseconds); null
+    where there is no limit, that is for none and for 0 days."""
+    return now - F.lit(max_age_days * 86_400_000_000) if max_age_days and max_age_days > 0 else F.lit(None).cast("long")
+
+
 def domain(url: Column) -> Column:
     """What stands between the scheme, if any, and the next slash."""
     return F.lower(F.split_part(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), F.lit("/"), F.lit(1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,3 +206,35 @@ def recomputed(videos: DataFrame, selected: Column) -> DataFrame:
     rows = videos.join(first, "source_id")
     new = F.when(F.col("first.id") != F.col("id"), F.col("first.id"))
     return rows.select("id", F.when(selected, new).otherwise(F.col("duplicate_of_id")).alias("duplicate_of_id"))
+
+
+def recent(runs: DataFrame, at: str, key: str, n: int, within: str | None = None) -> DataFrame:
+    """The n latest rows, of all or of each value of `within`, with their place; rows without a time come last, ties by the
+    higher key."""
+    order = [F.col(at).desc_nulls_last(), F.col(key).desc()]
+    if within is None:
+        runs = runs.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*([within] if within else [])).orderBy(*order))
+    return runs.withColumn("place", place).where(F.col("place") <= n)
+
+
+def with_blobs(videos: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Videos that a file of the listing (id as text) belongs to."""
+    names = blobs.select(F.col("id").try_cast("long").alias("_file")).where("_file IS NOT NULL")
+    return videos.join(names, videos["id"] == names["_file"], "left_semi")
+
+
+def withdrawn(artefacts: dict[str, DataFrame], videos: DataFrame, requests: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What is left of each artefact (rows with an id) after requests (source_platform, source_id, reason) to leave, and the
+    errata: artefact, id, reason of each row that went.
+
+    A request takes out every video of its source, copies too.  A video with several requests has the least of their reasons;
+    a request without a reason counts as `unspecified`.
+    """
+    asked = requests.where("source_platform IS NOT NULL AND source_id IS NOT NULL").groupBy("source_platform", "source_id")
+    asked = asked.agg(F.coalesce(F.min("reason"), F.lit("unspecified")).alias("reason"))
+    gone = videos.select("id", "source_platform", "source_id").join(asked, ["source_platform", "source_id"])
+    gone = gone.groupBy("id").agg(F.min("reason").alias("reason"))
+    left = {name: rows.join(gone, "id", "left_anti") for name, rows in artefacts.items()}
+    errata = [rows.select("id").distinct().join(gone, "id").select(F.lit(name).alias("artefact"), "id", "reason") for name, rows in artefacts.items()]
+    return left, reduce(DataFrame.unionByName, errata)

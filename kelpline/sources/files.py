@@ -49,6 +49,12 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(T.file_stem(name).alias("id"), "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def blob_names(spark: SparkSession, path: str) -> DataFrame:
+    """path and id (the name without its ending) of the files under a path; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", T.file_stem(F.element_at(F.split("path", "/"), -1)).alias("id"))
+
+
 def append_new(rows: DataFrame, path: str, schema: str, keys: list[str]) -> None:
     """Append the rows whose keys a Parquet folder does not have yet; running it again adds nothing."""
     spark = rows.sparkSession
@@ -76,6 +82,11 @@ def write_manifest(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").partitionBy("version").json(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Result documents (name, document): a folder for each name, whose file holds its documents, one a line."""
+    documents.select("name", "document").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def markdown(rows: DataFrame, most: int = 100) -> str:
     """A report of at most `most` rows as a Markdown table."""
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
