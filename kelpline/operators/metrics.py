@@ -67,11 +67,12 @@ def all_metrics(df: DataFrame, group: list[str]) -> DataFrame:
 def against_pool(df: DataFrame, detector: str, slice_by: str, least: int) -> DataFrame:
     """AUROC of each slice's fakes against all reals of the detector, for slices of at least `least` fakes.
 
-    Reals are counted by score once per detector and joined to the slices' counts: rows are never copied per slice.
+    Rows are counted by score once, in a table that all else is taken from; they are never copied per slice.
     """
-    fakes = df.where("label = 1").groupBy(detector, slice_by, "score").agg(F.count("*").alias("nf"))
+    counts = histogram(df, [detector, slice_by]).checkpoint()
+    fakes = counts.where("nf > 0").select(detector, slice_by, "score", "nf")
     large = fakes.groupBy(detector, slice_by).agg(F.sum("nf").alias("n")).where(F.col("n") >= least).select(detector, slice_by)
-    reals = df.where("label = 0").groupBy(detector, "score").agg(F.count("*").alias("nr"))
+    reals = counts.where("nr > 0").groupBy(detector, "score").agg(F.sum("nr").alias("nr"))
     some = fakes.join(large, [detector, slice_by]).select(detector, slice_by, "score", "nf", F.lit(0).cast("long").alias("nr"))
     pool = large.join(reals, detector).select(detector, slice_by, "score", F.lit(0).cast("long").alias("nf"), "nr")
     hist = some.union(pool).groupBy(detector, slice_by, "score").agg(F.sum("nf").alias("nf"), F.sum("nr").alias("nr"))
@@ -79,14 +80,18 @@ def against_pool(df: DataFrame, detector: str, slice_by: str, least: int) -> Dat
 
 
 def against_own_pool(df: DataFrame, detector: str, platform: str, least: int, least_same: int = 1) -> DataFrame:
-    """AUROC of each platform's fakes against its own reals if there are least_same of them, else all reals."""
-    counts = df.groupBy(detector, platform).agg(F.count_if(F.col("label") == 1).alias("nf"), F.count_if(F.col("label") == 0).alias("own"))
-    large = counts.where(F.col("nf") >= least).select(detector, platform, F.when(F.col("own") >= least_same, "same").otherwise("global").alias("real_src"))
-    reals = df.where("label = 0").groupBy(detector, platform, "score").agg(F.count("*").alias("nr"))
+    """AUROC of each platform's fakes against its own reals if there are least_same of them, else all reals.
+
+    Rows are counted by score once, in a table that all else is taken from.
+    """
+    counts = histogram(df, [detector, platform]).checkpoint()
+    large = counts.groupBy(detector, platform).agg(F.sum("nf").alias("nf"), F.sum("nr").alias("own"))
+    large = large.where(F.col("nf") >= least).select(detector, platform, F.when(F.col("own") >= least_same, "same").otherwise("global").alias("real_src"))
+    reals = counts.where("nr > 0").select(detector, platform, "score", "nr")
     own = large.where("real_src = 'same'").join(reals, [detector, platform]).select(detector, platform, "real_src", "score", "nr")
     every = reals.groupBy(detector, "score").agg(F.sum("nr").alias("nr"))
     rest = large.where("real_src = 'global'").join(every, detector).select(detector, platform, "real_src", "score", "nr")
-    fakes = df.where("label = 1").groupBy(detector, platform, "score").agg(F.count("*").alias("nf"))
+    fakes = counts.where("nf > 0").select(detector, platform, "score", "nf")
     fakes = fakes.join(large, [detector, platform]).select(detector, platform, "real_src", "score", "nf", F.lit(0).cast("long").alias("nr"))
     pool = own.union(rest).select(detector, platform, "real_src", "score", F.lit(0).cast("long").alias("nf"), "nr")
     hist = fakes.union(pool).groupBy(detector, platform, "real_src", "score").agg(F.sum("nf").alias("nf"), F.sum("nr").alias("nr"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.operators import selection
+
 ROWS_A_SHARD = 8192
 QUERIES_A_BLOCK = 1024
 
@@ -95,9 +97,13 @@ def purity(rows: DataFrame, cluster: str, truth: str) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, strata: list[str], share: float, seed: str) -> DataFrame:
-    """rows with split (test or train): of each stratum the first round(share * size), one at least, by keyed hash."""
-    w = Window.partitionBy(*strata)
+    """rows with split (test or train): of each stratum the first round(share * size), one at least, by keyed hash.
+
+    Places come from ranges of (stratum, hash), so a stratum that holds most rows is dealt over many tasks.
+    """
     order = F.md5(F.concat(F.lit(seed), F.col("id").cast("string")).cast("binary"))
-    n = F.greatest(F.lit(1), F.round(F.count("*").over(w) * share))
-    place = F.row_number().over(w.orderBy(order, "id"))
-    return rows.withColumn("split", F.when(place <= n, "test").otherwise("train"))
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata]  # nulls are a stratum of their own
+    name = F.concat_ws("\0", *[F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), k) for c, k in zip(strata, known, strict=True)])
+    ranked = selection.placed(rows.withColumn("_stratum", name).withColumn("_hash", order), ["_stratum"], ["_hash", "id"])
+    n = F.greatest(F.lit(1), F.round(F.col("size") * share))
+    return ranked.withColumn("split", F.when(F.col("place") < n, "test").otherwise("train")).drop("_stratum", "_hash", "place", "size")

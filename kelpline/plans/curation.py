@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpline.functions import text as T
 from kelpline.operators import curation, vectors
 from kelpline.sources import adapters as A
+from kelpline.sources.session import with_checkpoints
 from kelpline.streaming.windows import event_windows as windows_of
 
 QUERIES: dict = {}
@@ -405,7 +406,7 @@ def manifest_rows(spark, sf_dir):
 @query(V + ", s AS (SELECT id, label, source_platform, row_number() OVER (PARTITION BY label, source_platform ORDER BY md5(concat('s1', CAST(id AS STRING))), id) AS p,"
        " greatest(1, round(count(*) OVER (PARTITION BY label, source_platform) * 0.2e0)) AS n FROM v_videos) SELECT id, CASE WHEN p <= n THEN 'test' ELSE 'train' END AS split FROM s")
 def stratified_split(spark, sf_dir):
-    return vectors.stratified_split(A.videos(spark, sf_dir), ["label", "source_platform"], 0.2, "s1").select("id", "split")
+    return vectors.stratified_split(A.videos(with_checkpoints(spark), sf_dir), ["label", "source_platform"], 0.2, "s1").select("id", "split")
 
 
 # Vectors and clusters

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpline.operators import metrics, noise
+from kelpline.operators import metrics, noise, selection
 from kelpline.sources import adapters as A
 from kelpline.sources.session import with_checkpoints
 
@@ -77,7 +77,7 @@ def auroc_big(spark, sf_dir):
     + auroc_sql("u", "detector, generator", {"auroc": 2}) + " SELECT detector, generator, n_fake, n_real, auroc FROM r"
 )
 def auroc_by_detector_generator(spark, sf_dir):
-    df = scored(spark, sf_dir).withColumn("generator", F.coalesce("generator", F.lit("_unlabeled")))
+    df = scored(with_checkpoints(spark), sf_dir).withColumn("generator", F.coalesce("generator", F.lit("_unlabeled")))
     return metrics.against_pool(df, "detector", "generator", 5)
 
 
@@ -90,7 +90,7 @@ def auroc_by_detector_generator(spark, sf_dir):
     + " SELECT detector, source_platform, real_src, n_fake, n_real, auroc FROM r"
 )
 def auroc_by_detector_platform(spark, sf_dir):
-    return metrics.against_own_pool(scored(spark, sf_dir), "detector", "source_platform", 5, 30)
+    return metrics.against_own_pool(scored(with_checkpoints(spark), sf_dir), "detector", "source_platform", 5, 30)
 
 
 @query(SCORED + ", " + auroc_sql("x", "source_platform", {"a": 2}) + " SELECT source_platform, n_fake, n_real, CASE WHEN n_fake >= 5 AND n_real >= 1 THEN a END AS auroc FROM r")
@@ -220,11 +220,15 @@ def detector_matrix(spark, sf_dir):
     " SELECT detector, round(f, 9) AS mean_fake, round(r, 9) AS mean_real, round(sd, 9) AS std, round(med, 9) AS median FROM s"
 )
 def score_summary(spark, sf_dir):
+    """Means, deviation and median; the median is found from counts by score, without a buffer of a detector's scores."""
+    scores = A.scores(with_checkpoints(spark), sf_dir)
     s = F.col("score")
-    out = A.scores(spark, sf_dir).groupBy("detector").agg(
-        F.avg(F.when(F.col("label") == 1, s)).alias("f"), F.avg(F.when(F.col("label") == 0, s)).alias("r"), F.stddev_pop(s).alias("sd"), F.percentile(s, F.lit(0.5)).alias("m")
-    )
-    return out.select("detector", F.round("f", 9).alias("mean_fake"), F.round("r", 9).alias("mean_real"), F.round("sd", 9).alias("std"), F.round("m", 9).alias("median"))
+    counts = scores.groupBy("detector", "score").agg(F.count("*").alias("n"))
+    middle = selection.quantiles(counts, ["detector"], "score", "n", 0.5)
+    out = scores.groupBy("detector").agg(
+        F.avg(F.when(F.col("label") == 1, s)).alias("f"), F.avg(F.when(F.col("label") == 0, s)).alias("r"), F.stddev_pop(s).alias("sd")
+    ).join(middle, "detector", "left")
+    return out.select("detector", F.round("f", 9).alias("mean_fake"), F.round("r", 9).alias("mean_real"), F.round("sd", 9).alias("std"), F.round("quantile", 9).alias("median"))
 
 
 @query(

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as T
-from kelpline.operators import metrics
+from kelpline.operators import metrics, selection
 from kelpline.plans.evaluation import SCORED, auroc_sql, scored
 from kelpline.sources import adapters as A
+from kelpline.sources.session import with_checkpoints
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -187,12 +188,11 @@ def feature_buckets(spark, sf_dir):
 )
 def stratified_subsample(spark, sf_dir):
     """Shares of each bucket, one row at least; a smaller share lies within a larger one."""
-    rows = buckets(spark, sf_dir)
+    rows = buckets(with_checkpoints(spark), sf_dir)
     fractions = F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5))
-    sizes = rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("kind", "name").orderBy(F.md5(F.concat(F.lit("7:"), F.col("id").cast("string")).cast("binary")), "id"))
-    out = rows.join(sizes, ["kind", "name"]).withColumn("place", place).withColumn("frac", F.explode(fractions))
-    return out.where(F.col("place") <= F.greatest(F.lit(1), F.bround(F.col("n") * F.col("frac"), 0))).select("id", "kind", "name", "frac")
+    order = F.md5(F.concat(F.lit("7:"), F.col("id").cast("string")).cast("binary"))
+    out = selection.placed(rows.withColumn("order", order), ["kind", "name"], ["order", "id"]).withColumn("frac", F.explode(fractions))
+    return out.where(F.col("place") < F.greatest(F.lit(1), F.bround(F.col("size") * F.col("frac"), 0))).select("id", "kind", "name", "frac")
 
 
 @query(

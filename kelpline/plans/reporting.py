@@ -101,7 +101,7 @@ def recent_runs_by_flow(spark, sf_dir):
 )
 def result_documents(spark, sf_dir):
     """A JSON document for each detector with the AUROC of each generator of five fakes or more."""
-    df = scored(spark, sf_dir).withColumn("generator", F.coalesce("generator", F.lit("_unlabeled")))
+    df = scored(with_checkpoints(spark), sf_dir).withColumn("generator", F.coalesce("generator", F.lit("_unlabeled")))
     return reports.documents(metrics.against_pool(df, "detector", "generator", 5), "generator", 5)
 
 
