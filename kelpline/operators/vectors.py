@@ -25,8 +25,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     n, m = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // ROWS_A_SHARD)), max(1, -(-m // QUERIES_A_BLOCK))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(shards).alias("shard"))
-    right = rows.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), each(blocks).alias("block"))
+    # Both sides' keys are ints: cogroup does not cast them, and equal numbers of two types are dealt to different tasks.
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.select("id", "features", dealt(blocks).alias("block"), each(shards).alias("shard"))
+    right = rows.select("id", "features", dealt(shards).alias("shard"), each(blocks).alias("block"))
 
     def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
