@@ -34,6 +34,32 @@ def nodes_of(spark, sf_dir):
     return rows.select("id", F.col("id").alias("seq"), F.pmod(F.col("id"), F.lit(7)).alias("quality"))
 
 
+NODES_SQL = "SELECT min(id) AS id, hash, min(id) % 7 AS quality FROM v_phash GROUP BY hash"
+
+
+def fold_sql(existing_wins: bool = False, nearest: bool = True) -> str:
+    """CTEs of a fold over k (id, hash, quality) in the order of ids: p, pairs; c, components; t, pointers (id, duplicate_of_id).
+
+    Each step of s takes the next row of every component, finds the first of its neighbours that is alive still (by distance, then
+    id; without nearest by id alone), and notes who points at whom (loser, winner).
+    """
+    order = "p.distance, a.id" if nearest else "a.id"
+    loses = "true" if existing_wins else "quality < best.quality"
+    return (
+        "p AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash)) AS distance FROM k a JOIN k b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6),"
+        " u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),"
+        " l(id, component) AS (SELECT a, a FROM u UNION SELECT u.b, min(l.component) FROM l JOIN u ON u.a = l.id GROUP BY 1),"
+        " c AS (SELECT id, min(component) AS component FROM l GROUP BY 1),"
+        f" near AS (SELECT p.b AS id, list({{'id': a.id, 'quality': a.quality}} ORDER BY {order}) AS near FROM p JOIN k a ON a.id = p.a GROUP BY 1),"
+        " o AS (SELECT c.component, k.id, k.quality, near.near, row_number() OVER (PARTITION BY c.component ORDER BY k.id) AS place FROM k JOIN c USING (id) LEFT JOIN near USING (id)),"
+        " s(component, place, alive, loser, winner) AS (SELECT component, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM c GROUP BY 1 UNION ALL"
+        f" SELECT component, place, CASE WHEN best IS NULL THEN list_append(alive, id) WHEN {loses} THEN alive ELSE list_append(list_filter(alive, lambda x: x <> best.id), id) END,"
+        f" CASE WHEN best IS NULL THEN NULL WHEN {loses} THEN id ELSE best.id END, CASE WHEN best IS NULL THEN NULL WHEN {loses} THEN best.id ELSE id END"
+        " FROM (SELECT o.component, o.place, o.id, o.quality, s.alive, list_filter(o.near, lambda x: list_contains(s.alive, x.id))[1] AS best FROM s JOIN o ON o.component = s.component AND o.place = s.place + 1) e),"
+        " t AS (SELECT loser AS id, winner AS duplicate_of_id FROM s WHERE loser IS NOT NULL)"
+    )
+
+
 @query()
 def dedup_greedy(spark, sf_dir):
     spark = with_checkpoints(spark)
@@ -41,13 +67,9 @@ def dedup_greedy(spark, sf_dir):
     return folds.greedy_duplicates(nodes_of(spark, sf_dir), pairs)
 
 
-@query(
-    f"WITH {A.PHASH_SQL}, n AS (SELECT hash, min(id) AS id FROM v_phash GROUP BY 1), p AS (SELECT b.id AS b, arg_min(a.id, bit_count(xor(a.hash, b.hash)) * 10000000::BIGINT + a.id) AS a FROM n a JOIN n b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6 GROUP BY 1)"
-    " SELECT n.id, p.a AS duplicate_of_id FROM n LEFT JOIN p ON p.b = n.id"
-)
+@query(f"WITH RECURSIVE {A.PHASH_SQL}, k AS ({NODES_SQL}), {fold_sql(existing_wins=True)} SELECT k.id, t.duplicate_of_id FROM k LEFT JOIN t USING (id)")
 def pairwise_duplicates(spark, sf_dir):
-    """Each row against the nearest row that was kept before it, which always stays.  (The SQL takes the nearest earlier row:
-    in the given tables that is one that is kept; tests compare other cases with a fold in plain Python.)"""
+    """Each row against the nearest row that was kept before it, which always stays."""
     spark = with_checkpoints(spark)
     pairs = pairs_of(spark, sf_dir).select("a", "b", (-F.col("distance")).cast("long").alias("sim"))
     return folds.greedy_duplicates(nodes_of(spark, sf_dir), pairs, existing_wins=True)
@@ -60,8 +82,8 @@ def leader_clusters(spark, sf_dir):
 
 
 @query(
-    f"WITH {A.PHASH_SQL}, n AS (SELECT hash, min(id) AS id FROM v_phash GROUP BY 1), p AS (SELECT b.id AS b, min(a.id) AS a FROM n a JOIN n b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6 GROUP BY 1),"
-    " c AS (SELECT id, coalesce(p.a, id) AS cluster FROM n LEFT JOIN p ON p.b = n.id), g AS (SELECT cluster, count(*) AS size FROM c GROUP BY 1)"
+    f"WITH RECURSIVE {A.PHASH_SQL}, k AS ({NODES_SQL}), {fold_sql(existing_wins=True, nearest=False)},"
+    " w AS (SELECT k.id, coalesce(t.duplicate_of_id, k.id) AS cluster FROM k LEFT JOIN t USING (id)), g AS (SELECT cluster, count(*) AS size FROM w GROUP BY 1)"
     " SELECT count(*) AS clusters, count(*) FILTER (size = 1) AS singletons, count(*) FILTER (size > 1) AS multi, CAST(sum(size - 1) AS BIGINT) AS redundant, sum(size - 1) / greatest(sum(size), 1)::DOUBLE AS rate FROM g"
 )
 def near_dup_summary(spark, sf_dir):

@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+
+from kelpline import catalogue
 from kelpline.operators import vectors
+from tests.oracle import same_rows
 
 
 def test_nearest_finds_all_over_several_shards_and_blocks(spark, monkeypatch):
@@ -21,3 +25,18 @@ def test_nearest_finds_all_over_several_shards_and_blocks(spark, monkeypatch):
         sims = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in rows if i != q)
         want |= {(q, k + 1): sims[k][1] for k in range(3)}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["pairwise_duplicates", "near_dup_summary", "refolded_duplicates", "stream_dedup"])
+def test_folds_equal_their_sql_on_chains(spark, tmp_path, name):
+    import duckdb
+
+    random.seed(8)
+    rows, signs = [], [1.0] * 64
+    for i in range(1, 120):
+        signs = [random.choice((-1.0, 1.0)) for _ in signs] if i % 12 == 0 else [-s if j in (i % 5, 7 + i % 9, 20 + i % 13) else s for j, s in enumerate(signs)]
+        rows.append((i, signs, i % 10))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same_rows(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])
