@@ -160,14 +160,13 @@ def linear_probe(spark, sf_dir):
 
 
 @query(
-    f"WITH {A.PHASH_SQL}, n AS (SELECT hash, min(id) AS id FROM v_phash GROUP BY 1), k AS (SELECT id, hash, CASE WHEN id % 3 = 0 THEN 6 - id % 7 ELSE id % 7 END AS quality FROM n WHERE id % 110 <> 0),"
-    " p AS (SELECT a.id AS a, b.id AS b, b.quality < a.quality AS earlier FROM k a JOIN k b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6), t AS (SELECT CASE WHEN earlier THEN b ELSE a END AS id, CASE WHEN earlier THEN a ELSE b END AS target FROM p),"
-    " c AS (SELECT a AS id, a AS component FROM p UNION SELECT b, a FROM p) SELECT k.id, coalesce(c.component, k.id) AS component, t.target AS duplicate_of_id FROM k LEFT JOIN t ON t.id = k.id LEFT JOIN c ON c.id = k.id"
+    f"WITH RECURSIVE {A.PHASH_SQL}, n AS ({NODES_SQL}), k AS (SELECT id, hash, CASE WHEN id % 3 = 0 THEN 6 - quality ELSE quality END AS quality FROM n WHERE id % 110 <> 0), {fold_sql()}"
+    " SELECT k.id, coalesce(c.component, k.id) AS component, t.duplicate_of_id FROM k LEFT JOIN t USING (id) LEFT JOIN c USING (id)"
 )
 def refolded_duplicates(spark, sf_dir):
     """Pointers after some rows changed quality and others went: only components they were in are folded again.
 
-    (The SQL takes pairs one by one, as in the given tables; a test holds chains against a fold of all rows.)
+    The result is that of a fold of all rows, which the SQL does.
     """
     rows, pairs = nodes_of(with_checkpoints(spark), sf_dir), pairs_of(spark, sf_dir).select("a", "b", (-F.col("distance")).cast("long").alias("sim"))
     state = folds.folded_state(rows, pairs)
