@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpline.operators.vector_store import VectorStore
+from kelpline.plans.learning import NODES_SQL, fold_sql
 from kelpline.sources import adapters as A
 from kelpline.sources.session import new_folder, with_checkpoints
 from kelpline.streaming import dedup
@@ -40,15 +41,11 @@ def vector_store_search(spark, sf_dir):
     return found.select("query_id", "rank", "id", F.round("sim", 6).alias("sim"))
 
 
-@query(
-    f"WITH {A.PHASH_SQL}, n AS (SELECT hash, min(id) AS id FROM v_phash GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, b.id % 7 < a.id % 7 AS earlier FROM n a JOIN n b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 6)"
-    " SELECT n.id, p.to AS duplicate_of_id FROM n LEFT JOIN (SELECT CASE WHEN earlier THEN b ELSE a END AS id, CASE WHEN earlier THEN a ELSE b END AS to FROM p) p USING (id)"
-)
+@query(f"WITH RECURSIVE {A.PHASH_SQL}, k AS ({NODES_SQL}), {fold_sql()} SELECT k.id, t.duplicate_of_id FROM k LEFT JOIN t USING (id)")
 def stream_dedup(spark, sf_dir):
     """Pointers of a stream that comes in two runs, originals and then copies, with the index of the first in its state.
 
-    (The SQL takes pairs one by one, which is the same in the given tables, where no row is near two others; tests compare chains
-    with the fold over all rows.)
+    The pointers are those of a fold over all rows in the order of ids, which the SQL does: ids of copies are the larger ones.
     """
     folder, log, source = (new_folder(with_checkpoints(spark), f"stream-{x}") for x in ("tables", "log", "source"))
     hashes = A.phash(spark, sf_dir).groupBy("hash").agg(F.min("id").alias("id"))
