@@ -129,28 +129,26 @@ def pointer_chains(rows: DataFrame) -> DataFrame:
     """id, canonical, cycle and stale of pointers (id, duplicate_of_id), followed to their ends by doubling.
 
     A pointer to no row is its own end (stale: the chain ends there).  Rows on a cycle, and those that lead to one, have no end: cycle
-    is then the least id on it, and stands for them as canonical.  Rounds grow with the logarithm of the longest chain, or, where
-    there is a cycle, of the number of rows that do not end at once.
+    is then the least id on it, and stands for them as canonical.  Rounds grow with the logarithm of the longest chain or cycle,
+    and not with the number of rows: a row is known to lead to a cycle once it has passed the same least id twice.
     """
     end = F.coalesce("duplicate_of_id", "id")
     heads = rows.where("duplicate_of_id IS NULL OR duplicate_of_id = id").select("id")
     known = rows.select(F.col("id").alias("at"), F.lit(True).alias("known"))
-    # open: whether there is more to follow; least: the least id passed so far, the row's own among them.
+    # open: whether there is more to follow; least: the least id from the row's own to the one it has come to; cycle: where known.
     first = rows.select("id", end.alias("at")).join(known, "at", "left").join(heads.select(F.col("id").alias("at"), F.lit(True).alias("head")), "at", "left")
     moves = (F.col("at") != F.col("id")) & F.col("known").isNotNull()
-    at = first.select("id", "at", (moves & F.col("head").isNull()).alias("open"), F.least("id", F.when(F.col("known"), F.col("at"))).alias("least"), (F.col("known").isNull()).alias("stale")).checkpoint()
-    left = at.where("open").count()
-    longest, rounds = left, 0  # of a chain, or of a cycle and what leads to it
-    while left and (1 << rounds) <= 2 * longest:
-        step = at.select(F.col("id").alias("at"), F.col("at").alias("to"), F.col("open").alias("more"), F.col("least").alias("low"), F.col("stale").alias("lost"))
-        far = at.where("open").join(step, "at").select("id", F.col("to").alias("at"), F.col("more").alias("open"), F.least("least", "low").alias("least"), F.col("lost").alias("stale"))
+    least, none = F.least("id", F.when(F.col("known"), F.col("at"))), F.lit(None).cast(rows.schema["id"].dataType)
+    at = first.select("id", "at", (moves & F.col("head").isNull()).alias("open"), least.alias("least"), (F.col("known").isNull()).alias("stale"), none.alias("cycle")).checkpoint()
+    # The least id before a place and the least after it are one only if it comes round; or else the place is this id.
+    twice = F.when((F.col("least") == F.col("low")) & (F.col("least") != F.col("at")), F.col("least"))
+    back = F.when(F.col("to") == F.col("id"), F.least("least", "low"))
+    while not at.where("open").isEmpty():
+        step = at.select(F.col("id").alias("at"), F.col("at").alias("to"), F.col("open").alias("more"), F.col("least").alias("low"), F.col("stale").alias("lost"), F.col("cycle").alias("round"))
+        far = at.where("open").join(step, "at").withColumn("cycle", F.coalesce("round", twice, back))
+        far = far.select("id", F.col("to").alias("at"), (F.col("more") & F.col("cycle").isNull()).alias("open"), F.least("least", "low").alias("least"), F.col("lost").alias("stale"), "cycle")
         at = at.where("NOT open").unionByName(far).checkpoint()
-        rounds, left = rounds + 1, at.where("open").count()
-    # What is open now is on a cycle or leads to one, and has come round: its place on the cycle has passed all of it.
-    cycles = at.where("open").select(F.col("id").alias("at"), F.col("least").alias("cycle"))
-    # A row on the way to a cycle has passed ids outside; the place it has come to has not.
-    found = at.join(cycles, "at", "left").select("id", "at", "open", "stale", F.when(F.col("open"), F.col("cycle")).alias("cycle"))
-    return found.select("id", F.coalesce("cycle", "at").alias("canonical"), "cycle", (F.col("stale") & ~F.col("open")).alias("stale"))
+    return at.select("id", F.coalesce("cycle", "at").alias("canonical"), "cycle", (F.col("stale") & F.col("cycle").isNull()).alias("stale"))
 
 
 def resolve_chains(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kelpline import catalogue
-from kelpline.operators import vectors
+from kelpline.operators import folds, vectors
+from kelpline.sources.session import with_checkpoints
 from tests.oracle import same_rows
 
 
@@ -40,3 +42,37 @@ def test_folds_equal_their_sql_on_chains(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     same_rows(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])
+
+
+def test_rounds_of_chains_do_not_grow_with_rows(spark, monkeypatch):
+    with_checkpoints(spark)
+    made, kind = [], type(spark.range(1))
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: made.append(1) or checkpoint(self, *a))
+    # Cycles of three with a row that leads to each, twenty thousand rows.
+    rows = spark.range(20_000).select("id", F.expr("CASE id % 4 WHEN 0 THEN id + 1 WHEN 1 THEN id + 1 WHEN 2 THEN id + 1 ELSE id - 2 END").alias("duplicate_of_id"))
+    found = folds.pointer_chains(rows)
+    assert found.where("cycle <> id - id % 4 + 1 OR cycle IS NULL OR canonical <> cycle OR stale").isEmpty()
+    assert len(made) <= 7
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_equal_a_walk(spark, seed):
+    random.seed(seed)
+    with_checkpoints(spark)
+    ids = random.sample(range(1000), 300)
+    to = {i: random.choice(ids) if random.random() < 0.97 else random.choice((None, -i, i)) for i in ids}
+    for n in (1, 2, 3, 4, 5, 8, 13):  # cycles of their own
+        ring = list(range(2000 + 20 * n, 2000 + 20 * n + n))
+        random.shuffle(ring)
+        to |= dict(zip(ring, ring[1:] + ring[:1], strict=True)) | {1900 + n: ring[0], 1800 + n: 1900 + n}
+    want = {}
+    for i in to:
+        passed, x = [], i
+        while x in to and to[x] not in (None, x) and x not in passed:
+            passed.append(x)
+            x = to[x]
+        low = min(passed[passed.index(x):]) if x in passed else None
+        want[i] = (x if low is None else low, low, x not in to)
+    got = {r.id: (r.canonical, r.cycle, r.stale) for r in folds.pointer_chains(spark.createDataFrame(list(to.items()), "id long, duplicate_of_id long")).collect()}
+    assert got == want
