@@ -14,8 +14,10 @@ triangle inequality holds, by which a row whose distance to its pivot differs to
 nearest, until they hold k rows; the k-th best of these is its bound.  Then it visits only shards, and there only compares with
 rows, that the bound does not rule out.
 
-A shard, however large, is cut into parts of at most ROWS rows, and queries into blocks, so no task holds more than a part and a
-block.  Pivots are at most MOST_PIVOTS vectors, which tasks hold; all else is joined by Spark.
+A shard, however large, is cut into parts of about ROWS rows, small shards lie in bins of no more than ROWS rows together, and queries
+in blocks of about QUERIES, so no task holds more than a bin and a block.  A query goes to a bin once, with the shards there that it
+visits; mappers work on SLICE rows at a time, whose distances to all pivots they hold.  Pivots are at most MOST_PIVOTS vectors, which
+tasks hold; all else is joined by Spark.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ from pyspark.sql.window import Window
 
 from kelpline.sources.session import delete, exists
 
-ROWS, QUERIES, MOST_PIVOTS = 8192, 1024, 1024
+ROWS, QUERIES, MOST_PIVOTS, SLICE = 8192, 4096, 1024, 256
 #: Distances are rounded; a bound within this much of one, for vectors of length 1, does not rule out.
 SLACK = 1e-6
 ROW = "id long, features array<double>, near double, shard int"
+VISIT = "query_id long, q array<double>, bin int, shards array<int>, away array<double>, bounds array<double>"
 
 
 def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -46,6 +49,27 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for at in range(0, len(f), SLICE):
+            yield f.iloc[at : at + SLICE]
+
+
+def _bins(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """The first bin of each shard and how many it has: bins of its own for one of more than ROWS rows, a part of one for others."""
+    out: dict[int, tuple[int, int]] = {}
+    new, held = 0, ROWS
+    for shard in sorted(sizes):
+        n, parts = sizes[shard], -(-sizes[shard] // ROWS)
+        if parts > 1:
+            out[shard], new = (new, parts), new + parts
+        elif held + n > ROWS:
+            out[shard], room, new, held = (new, 1), new, new + 1, n
+        else:
+            out[shard], held = (room, 1), held + n
+    return out
+
+
 def _square(vector: str) -> Column:
     return F.aggregate(vector, F.lit(0e0), lambda s, x: s + x * x)
 
@@ -80,10 +104,9 @@ class VectorStore:
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lifted = _lifted(pivots, longest)
-            for f in frames:
-                if len(f):
-                    d = _distances(_lifted(np.stack(f["features"]), longest), lifted)
-                    yield f.assign(near=d.min(axis=1), shard=d.argmin(axis=1).astype("int32"))
+            for f in _slices(frames):
+                d = _distances(_lifted(np.stack(f["features"]), longest), lifted)
+                yield f.assign(near=d.min(axis=1), shard=d.argmin(axis=1).astype("int32"))
 
         if not len(pivots):
             raise ValueError(f"{self.path} has no pivots: it was made of no rows")
@@ -163,70 +186,120 @@ class VectorStore:
         queries = queries.select(F.col("id").alias("query_id"), F.col("features").alias("q"))
         if not stats:
             return self.spark.createDataFrame([], "query_id long, id long, sim double")
-        first = queries.mapInPandas(self._ways(stats, k), "query_id long, q array<double>, shard int, to_pivot double, bound double, turn int").checkpoint()
-        one = self._visit(first.where("turn = 1"), stats, k).checkpoint()
-        kth = F.sort_array(F.collect_list("sim"), asc=False)  # of a query: k of each part of its first shards
+        asked = queries.mapInPandas(self._nearest_shards(stats, k), "query_id long, q array<double>, shards array<int>, away array<double>").checkpoint()
+        blocks, bins = max(1, -(-asked.count() // QUERIES)), _bins({s: r.n for s, r in stats.items()})
+        one = self._visit(asked.mapInPandas(_first_turn(bins), VISIT), bins, blocks, k).checkpoint()
+        kth = F.sort_array(F.collect_list("sim"), asc=False)  # of a query: k of each bin of its first shards
         bounds = one.where("id IS NOT NULL").groupBy("query_id").agg(F.get(kth, F.lit(k - 1)).alias("least"))
-        rest = first.where("turn = 2").drop("bound").join(bounds, "query_id", "left")
-        # sim = (|q|^2 + |x|^2 - d^2) / 2 with the lengths of the lifted vectors, so a least sim is a greatest distance.
-        _, longest = self._pivots()
-        spans = [(s, r.inner, r.radius, max(r.most, longest**2)) for s, r in stats.items()]
-        spans = self.spark.createDataFrame(spans, "shard int, inner double, radius double, most double")
-        rest = rest.join(F.broadcast(spans), "shard").withColumn("square", _square("q"))
-        far = F.sqrt(F.greatest(F.col("square") + F.col("most") - 2 * F.col("least"), F.lit(0e0)))
-        slack = SLACK * (1 + F.sqrt("square") + F.sqrt("most"))
-        rest = rest.withColumn("bound", F.coalesce(far + slack, F.lit(float("inf"))))
-        rest = rest.where((F.col("to_pivot") - F.col("radius") <= F.col("bound")) & (F.col("inner") - F.col("to_pivot") <= F.col("bound")))
-        return one.unionByName(self._visit(rest.select(first.columns), stats, k))
-
-    def _ways(self, stats: dict, k: int):
-        """A mapper of queries to the shards they may visit: turn 1 until these hold k rows besides the query's own, turn 2 others."""
+        rest = asked.join(bounds, "query_id", "left").mapInPandas(self._second_turn(stats, bins), VISIT)
+        return one.unionByName(self._visit(rest, bins, blocks, k))
+
+    def _nearest_shards(self, stats: dict, k: int):
+        """A mapper of queries to the nearest shards that hold k rows besides the query's own, and the distances of their pivots."""
         pivots, longest = self._pivots()
         shards = np.array(sorted(stats), "int32")
         sizes = np.array([stats[s].n for s in shards])
 
-        def ways(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lifted = _lifted(pivots[shards], longest)
-            for f in frames:
-                if not len(f):
-                    continue
+            for f in _slices(frames):
                 q = np.stack(f["q"])
                 d = _distances(np.hstack([q, np.zeros((len(q), 1))]), lifted)
                 order = np.argsort(d, axis=1, kind="stable")
-                before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                turn = np.where(before < k + 1, 1, 2)
-                m = len(shards)
-                yield pd.DataFrame({
-                    "query_id": np.repeat(f["query_id"].to_numpy(), m), "q": [v for v in f["q"] for _ in range(m)], "shard": shards[order].ravel(),
-                    "to_pivot": np.take_along_axis(d, order, axis=1).ravel(), "bound": np.inf, "turn": turn.ravel().astype("int32"),
-                })
-
-        return ways
-
-    def _visit(self, ways: DataFrame, stats: dict, k: int) -> DataFrame:
-        parts = self.spark.createDataFrame([(s, -(-r.n // ROWS)) for s, r in stats.items()], "shard int, parts int")
-        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        blocks = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-ways.count() // (QUERIES * len(stats))))))
-        ways = ways.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", blocks).checkpoint()
-        held = ways.select(F.col("shard").alias("of"), F.col("part").alias("piece"), F.col("block").alias("asked")).distinct()
-        rows = self.rows().join(F.broadcast(parts), "shard").select(F.col("shard").alias("of"), part.alias("piece"), "id", "features", "near").join(held, ["of", "piece"])
+                visits = (np.cumsum(sizes[order], axis=1) - sizes[order] < k + 1).sum(axis=1)
+                first = [order[i, :n] for i, n in enumerate(visits)]
+                yield f.assign(shards=[shards[o] for o in first], away=[d[i, o] for i, o in enumerate(first)])
+
+        return near
+
+    def _second_turn(self, stats: dict, bins: dict):
+        """A mapper of queries (with least, the k-th best of their first shards) to the bins of further shards that it does not rule out."""
+        pivots, longest = self._pivots()
+        shards = np.array(sorted(stats), "int32")
+        inner, radius = (np.array([getattr(stats[s], name) for s in shards]) for name in ("inner", "radius"))
+        most = np.array([max(stats[s].most, longest**2) for s in shards])
+
+        def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+            lifted = _lifted(pivots[shards], longest)
+            for f in _slices(frames):
+                q = np.stack(f["q"])
+                d = _distances(np.hstack([q, np.zeros((len(q), 1))]), lifted)
+                for query_id, v, seen, away, least in zip(f["query_id"], f["q"], f["shards"], d, f["least"].to_numpy(float, na_value=np.nan), strict=True):
+                    # sim = (|q|^2 + |x|^2 - d^2) / 2 with the lengths of the lifted vectors, so a least sim is a greatest distance.
+                    square = float(v @ v)
+                    far = np.sqrt(np.maximum(square + most - 2 * least, 0)) + SLACK * (1 + square**0.5 + np.sqrt(most))
+                    bounds = np.full(len(shards), np.inf) if np.isnan(least) else far
+                    on = (away - radius <= bounds) & (inner - away <= bounds) & ~np.isin(shards, seen)
+                    yield query_id, v, shards[on], away[on], bounds[on]
+
+        return lambda frames: _dealt(rows(frames), bins)
+
+    def _visit(self, ways: DataFrame, bins: dict, blocks: int, k: int) -> DataFrame:
+        spans = self.spark.createDataFrame([(s, first, parts) for s, (first, parts) in bins.items()], "shard int, first int, parts int")
+        bin_ = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+        ways = ways.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).checkpoint()
+        held = ways.select(F.col("bin").alias("of"), F.col("block").alias("asked")).distinct()
+        rows = self.rows().join(F.broadcast(spans), "shard").select(bin_.alias("of"), "shard", "id", "features", "near").join(held, "of")
 
         def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(q) and len(x):
-                x = x.sort_values("near", ignore_index=True)
-                ids, near, vectors = x["id"].to_numpy(), x["near"].to_numpy(), np.stack(x["features"])
-                for query_id, v, to_pivot, bound in zip(q["query_id"], q["q"], q["to_pivot"], q["bound"], strict=True):
-                    # By the triangle inequality only rows about as far from the pivot can be within the bound.
-                    i, j = np.searchsorted(near, [to_pivot - bound, np.nextafter(to_pivot + bound, np.inf)])
-                    sims = np.zeros(j - i)
-                    for c in range(vectors.shape[1]):  # in the order of components, so that sums round as elsewhere
-                        sims += vectors[i:j, c] * v[c]
-                    sims[ids[i:j] == query_id] = -np.inf
-                    top = np.lexsort((ids[i:j], -sims))[:k]
+                x = x.sort_values(["shard", "near"], ignore_index=True)
+                ids, near, columns = x["id"].to_numpy(), x["near"].to_numpy(), np.ascontiguousarray(np.stack(x["features"]).T)
+                here, starts = np.unique(x["shard"].to_numpy(), return_index=True)
+                ends = dict(zip(here.tolist(), zip(starts.tolist(), np.append(starts[1:], len(x)).tolist(), strict=True), strict=True))
+                for query_id, v, shards, away, bounds in zip(q["query_id"], q["q"], q["shards"], q["away"], q["bounds"], strict=True):
+                    spans: list[list[int]] = []
+                    for shard, to_pivot, bound in zip(shards.tolist(), away.tolist(), bounds.tolist(), strict=True):
+                        i, j = ends.get(shard, (0, 0))
+                        if bound < np.inf:
+                            # By the triangle inequality only rows about as far from the pivot can be within the bound.
+                            i, j = (i + np.searchsorted(near[i:j], [to_pivot - bound, np.nextafter(to_pivot + bound, np.inf)])).tolist()
+                        if spans and spans[-1][1] == i:
+                            spans[-1][1] = j
+                        elif i < j:
+                            spans.append([i, j])
+                    at = slice(*spans[0]) if len(spans) == 1 else np.concatenate([np.zeros(0, int), *[np.arange(i, j) for i, j in spans]])
+                    those, some = ids[at], columns[:, at]
+                    sims = np.zeros(len(those))
+                    for c in range(len(some)):  # in the order of components, so that sums round as elsewhere
+                        sims += some[c] * v[c]
+                    sims[those == query_id] = -np.inf
+                    top = np.flatnonzero(sims >= np.partition(sims, -k)[-k]) if len(sims) > k else np.arange(len(sims))
+                    top = top[np.lexsort((those[top], -sims[top]))][:k]
                     top = top[sims[top] > -np.inf]
-                    out += [(query_id, a, s) for a, s in zip(ids[i:j][top].tolist(), sims[top].tolist(), strict=True)] + [(query_id, None, float(j - i))]
+                    out += [(query_id, a, s) for a, s in zip(those[top].tolist(), sims[top].tolist(), strict=True)] + [(query_id, None, float(len(those)))]
             return pd.DataFrame(out, columns=["query_id", "id", "sim"], dtype=object).astype({"query_id": "int64", "id": "Int64", "sim": "float64"})
 
-        told = ways.groupBy("shard", "part", "block").cogroup(rows.groupBy("of", "piece", "asked"))
+        told = ways.groupBy("bin", "block").cogroup(rows.groupBy("of", "asked"))
         return told.applyInPandas(best, "query_id long, id long, sim double")
+
+
+def _first_turn(bins: dict):
+    """A mapper of queries to the bins of the shards that they visit without a bound."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for f in frames:
+            for query_id, v, shards, away in zip(f["query_id"], f["q"], f["shards"], f["away"], strict=True):
+                yield query_id, v, shards, away, np.full(len(shards), np.inf)
+
+    return lambda frames: _dealt(rows(frames), bins)
+
+
+def _dealt(rows: Iterator[tuple], bins: dict, most: int = 4096) -> Iterator[pd.DataFrame]:
+    """Frames of VISIT, of about `most` rows: each query once for a bin, with its shards there in order."""
+    names, held = [f.split()[0] for f in VISIT.split(", ")], []
+    for query_id, v, shards, away, bounds in rows:
+        order = np.argsort(shards)
+        first, parts = np.array([bins[s] for s in shards[order].tolist()], int).reshape(-1, 2).T
+        which = np.repeat(order, parts)
+        to = np.repeat(first, parts) + np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        by = np.argsort(to, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else ():
+            w = which[some]
+            held.append((query_id, v, int(to[some[0]]), shards[w], away[w], bounds[w]))
+        if len(held) >= most:
+            yield pd.DataFrame(held, columns=names).astype({"bin": "int32"})
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names).astype({"bin": "int32"})

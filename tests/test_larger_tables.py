@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline import catalogue
 from kelpline.operators import folds, vectors
+from kelpline.operators.vector_store import VectorStore
 from kelpline.sources.session import with_checkpoints
 from tests.oracle import same_rows
 
@@ -76,3 +77,14 @@ def test_chains_equal_a_walk(spark, seed):
         want[i] = (x if low is None else low, low, x not in to)
     got = {r.id: (r.canonical, r.cycle, r.stale) for r in folds.pointer_chains(spark.createDataFrame(list(to.items()), "id long, duplicate_of_id long")).collect()}
     assert got == want
+
+
+def test_a_query_goes_to_a_bin_once(spark, tmp_path, monkeypatch):
+    with_checkpoints(spark)
+    random.seed(4)
+    rows = spark.createDataFrame([(i, [random.gauss(0, 1) for _ in range(6)]) for i in range(200)], "id long, features array<double>")
+    store = VectorStore.create(rows, str(tmp_path / "v"), pivots=16)
+    dealt, visit = [], VectorStore._visit
+    monkeypatch.setattr(VectorStore, "_visit", lambda self, ways, *a: dealt.append(ways.count()) or visit(self, ways, *a))
+    store.visited(rows.where("id % 20 = 0"), 3)
+    assert len(dealt) == 2 and max(dealt) <= 10  # all 200 rows fit one bin; once a query's copies were as many as its shards
