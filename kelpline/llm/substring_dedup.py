@@ -17,8 +17,8 @@ Runs of two texts that share most least hashes are similar.
 6. Groups that still hold places of several components of links, or in none, are compared inside of tasks, component with
    component until all that can be joined are; only confirmed repeats come out.  So a place that one repeat explains is
    still set against the similar places that this repeat does not join it with.  A group of more than BLOCK places is dealt
-   by the least hashes of further functions first.  So no group is expanded into its pairs, and none is cut: rows shuffled
-   grow with the places.
+   to blocks, and every two of them are compared in a task of their own.  So no group is expanded into its pairs, and none
+   is cut: rows shuffled grow with the places, and those of larger groups by one more copy for each BLOCK / 2 of them.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ SHINGLE = 5
 HASHES, NEED = 8, 2
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 BROADCAST_ROWS = 200_000
-#: Most places of a group that is compared in one task, and how often larger groups are dealt further.
-BLOCK, LEVELS = 32768, 3
+#: Most places, and most of their shingles together, of a group that is compared in one task; larger ones are compared in tiles.
+BLOCK, ROOM = 32768, 1 << 22
 #: Blocks of keys for each shuffle partition.
 KEY_BLOCKS = 4
 SPAN = ("x", "x_from", "x_to", "y", "y_from", "y_to")
@@ -630,33 +630,37 @@ def _merged(places: DataFrame) -> DataFrame:
     return rows.repartition("group", "text_key").sortWithinPartitions("group", "text_key", "label", "l").mapInArrow(run, schema)
 
 
-def _grouped(places: DataFrame, least: int) -> DataFrame:
-    """Labelled places with their group; groups of the same texts are one group, and groups of more than BLOCK places are
-    dealt by further signatures of their texts' places."""
-    now = stored(places.select(F.col("signature").alias("group"), *places.columns), "substring-grouped")
-    places, ready = now.drop("group"), None
-    for level in range(LEVELS + 1):
-        sizes = now.groupBy("group").agg(
-            F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("text_key").alias("p"), F.max("text_key").alias("q")
-        )
-        large = (F.col("n") > BLOCK) if level < LEVELS else F.lit(False)
-        sizes = stored(sizes.where("a <> b AND p <> q").select("group", large.alias("large")), "substring-sizes")
-        tagged = now.join(_small(sizes), "group")
-        small = tagged.where("NOT large").drop("large")
-        ready = small if ready is None else ready.unionByName(small)
-        if sizes.where("large").isEmpty():
-            break
-        # Texts that share a passage share further signatures of overlapping places.
-        more = places.select("text_key", F.col("signature").alias("other"), F.col("c").alias("oc"), F.col("d").alias("od"))
-        dealt = tagged.where("large").drop("large").join(more, "text_key").where("other <> signature").where(F.abs(F.col("oc") - F.col("c")) < least)
-        dealt = dealt.select(F.xxhash64("group", "other").alias("group"), *places.columns)
-        now = stored(dealt.distinct(), "substring-grouped")
+def _grouped(places: DataFrame) -> DataFrame:
+    """Labelled places with their group, of the signatures that several texts and components have; groups of the same texts
+    are one group."""
+    sizes = places.groupBy("signature").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("text_key").alias("p"), F.max("text_key").alias("q"))
+    sizes = stored(sizes.where("a <> b AND p <> q").select("signature"), "substring-sizes")
+    ready = places.join(_small(sizes), "signature").withColumnRenamed("signature", "group")
     h = F.xxhash64("text_key")
     texts = ready.select("group", "text_key").distinct().groupBy("group").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"))
     texts = texts.select("group", F.xxhash64("n", "x", "s").alias("same"))
     return ready.join(texts, "group").select(F.col("same").alias("group"), "text_key", "l", "r", "label", "bare")
 
 
+def _tiled(groups: DataFrame) -> DataFrame:
+    """Groups of merged places, those with more than BLOCK places or ROOM shingles as tiles.
+
+    The places of such a group are dealt to blocks of half that size, and a tile is what two blocks hold: any two places of
+    the group meet in a tile, so none is left out, and no task holds more than a tile.  A place comes in as many tiles as
+    there are blocks.
+    """
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.col("r") - F.col("l")).alias("w"))
+    blocks = F.greatest(F.ceil(2 * F.col("n") / BLOCK), F.ceil(2 * F.col("w") / ROOM)).cast("int").alias("blocks")
+    large = stored(sizes.where((F.col("n") > BLOCK) | (F.col("w") > ROOM)).select("group", blocks), "substring-large")
+    if large.isEmpty():
+        return groups
+    large = _small(large)
+    block = F.pmod(F.xxhash64("text_key", "label", "l"), F.col("blocks")).cast("int")
+    dealt = groups.join(large, "group").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("group")
+    return groups.join(large, "group", "left_anti").unionByName(dealt.select(tile, *[c for c in groups.columns if c != "group"]))
+
+
 def _group_repeats(groups: DataFrame, parts: DataFrame, least: int, similarity: float) -> DataFrame:
     """Confirmed repeats of places with others of their groups: as many as join all components of a group that can be
     joined.  Places of the group's largest component are not set against each other."""
@@ -759,7 +763,8 @@ def _linked(documents: DataFrame, min_words: int, similarity: float) -> tuple[Da
     parts = stored(_cut(rows, classes, sides), "substring-parts")
     found = stored(_repeats(regions, parts, least, similarity), "substring-repeats")
     links = stored(_both_ways(exact.select(*SPAN).union(found)).distinct(), "substring-links")
-    groups = stored(_merged(_grouped(_labelled(shared, links), least)), "substring-groups")
+    merged = stored(_merged(_grouped(_labelled(shared, links))), "substring-merged")
+    groups = stored(_tiled(merged), "substring-groups")
     more = stored(_cut(rows, classes, groups.select("text_key", "l", "r")), "substring-parts")
     links = links.union(_both_ways(stored(_group_repeats(groups, more, least, similarity), "substring-repeats")))
     links = stored(links.distinct(), "substring-links")

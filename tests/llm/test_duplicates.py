@@ -1,4 +1,5 @@
 import collections
+import itertools
 
 import numpy as np
 import pytest
@@ -263,3 +264,19 @@ def test_chains_of_similar_passages(spark):
     for r in substring_dedup.repeated_passages(df).collect():
         ids[r.class_id].add(r.doc_id)
     assert sorted(map(sorted, ids.values())) == [[100 * g + 10 * v + k for v in range(6) for k in range(2)] for g in range(10)]
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK": 2}, {"ROOM": 200}])
+def test_large_groups_keep_all_pairs(spark, monkeypatch, limits):
+    """Places of a large group that share one signature, and no further one, still meet; no tile is above the limits by much."""
+    for name, value in limits.items():
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows = [(7, t, 10, 60, 20, 30, 100 + t, True) for t in range(1, 13)]
+    places = spark.createDataFrame(rows, "signature long, text_key long, l int, r int, c int, d int, label long, bare boolean")
+    groups = collections.defaultdict(set)
+    for r in substring_dedup._tiled(substring_dedup._merged(substring_dedup._grouped(places))).collect():
+        assert (r.l, r.r) == (10, 60)
+        groups[r.group].add(r.text_key)
+    met = {pair for texts in groups.values() for pair in itertools.combinations(sorted(texts), 2)}
+    assert met == set(itertools.combinations(range(1, 13), 2))
+    assert len(groups) > 1 and all(len(texts) < 12 for texts in groups.values())
