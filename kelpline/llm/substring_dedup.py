@@ -200,6 +200,20 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         yield held
 
 
+def _by_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """As _by_key, but all whole groups of a batch at once."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:keys]])) + 1
+        if len(cuts):
+            yield [c[: cuts[-1]] for c in held]
+            held = [c[cuts[-1] :] for c in held]
+    if held and len(held[0]):
+        yield held
+
+
 def _windows(singles: DataFrame, least: int) -> DataFrame:
     """Windows whose least hash two texts have.  Keys are packed for their way to the block that all equal ones meet in."""
     blocks = KEY_BLOCKS * int(singles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -265,29 +279,42 @@ def _chunked(rows: Iterator[tuple], names: list[str], most: int = 100_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
-def _places(windows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _places(windows: DataFrame, least: int) -> DataFrame:
     """Per text and signature: where (l to r) and at which least hashes (c, d); and the parts of texts, covered by windows
-    of all functions, that can hold an exact run (signature null)."""
-    names = [f.split()[0] for f in PLACE.split(", ")]
+    of all functions, that can hold an exact run (hash -1)."""
+    columns = [f.split()[0] for f in PLACE.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for text in _by_key(batches, 1):
-            name, hashes, keys, l, c, r = text
+        for texts in _by_keys(batches, 1):
+            # Texts stand in a row, so far from each other that nothing reaches from one into the next.
+            first = np.flatnonzero(np.concatenate([[True], texts[0][1:] != texts[0][:-1]]))
+            counts = np.diff(np.append(first, len(texts[0])))
+            room = np.maximum.reduceat(texts[5], first).astype(np.int64) + 3 * least
+            base = np.cumsum(room) - room
+            begins = np.repeat(base, counts)
+            names, hashes, keys = texts[0][first], *texts[1:3]
+            l, c, r = (x + begins for x in texts[3:])
+
+            def back(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+                return (x - base[of]).astype(np.int32)
+
             covers = _covered(hashes, l, r)
             exact = _stretches_of(covers == HASHES, least)
             if exact:
-                a, b = np.array(exact, np.int32).T
-                yield np.zeros(len(a), np.int64), np.full(len(a), -1, np.int32), np.full(len(a), name[0]), a, b, a, b
+                a, b = np.array(exact, np.int64).T
+                of = np.searchsorted(base, a, "right") - 1
+                a, b = back(a, of), back(b, of)
+                yield np.zeros(len(a), np.int64), np.full(len(a), -1, np.int32), names[of], a, b, a, b
             on = supported(hashes, l, c, r, least, NEED, covers)
             if on.any():
                 sign, h, left, right, p, q = signatures(hashes[on], keys[on], l[on], c[on], r[on], least)
-                yield sign, h.astype(np.int32), np.full(len(sign), name[0]), *(x.astype(np.int32) for x in (left, right, p, q))
+                of = np.searchsorted(base, p, "right") - 1
+                yield sign, h.astype(np.int32), names[of], *(back(x, of) for x in (left, right, p, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _chunked(each(batches), names)
+        yield from _chunked(each(batches), columns)
 
-    found = stored(windows.repartition("text_key").sortWithinPartitions("text_key").mapInArrow(run, PLACE), "substring-places")
-    return found.where("hash >= 0"), found.where("hash < 0").select("text_key", "l", "r")
+    return stored(windows.repartition("text_key").sortWithinPartitions("text_key").mapInArrow(run, PLACE), "substring-places")
 
 
 def _cut(rows: DataFrame, classes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -332,7 +359,9 @@ def _exact(parts: DataFrame, least: int) -> DataFrame:
     order = Window.partitionBy("x", "y", "shift").orderBy("place")  # no longer than a text
     found = found.withColumn("row", F.col("place") - F.row_number().over(order))
     found = found.groupBy("x", "y", "shift", "row").agg(F.min("place").alias("x_from"), (F.max("place") + least + SHINGLE - 1).alias("x_to"))
-    return found.select("x", "x_from", "x_to", "y", (F.col("x_from") + F.col("shift")).alias("y_from"), (F.col("x_to") + F.col("shift")).alias("y_to"))
+    found = stored(found.select("x", "x_from", "x_to", "y", (F.col("x_from") + F.col("shift")).alias("y_from"), (F.col("x_to") + F.col("shift")).alias("y_to")), "substring-exact")
+    dropped(runs)
+    return found
 
 
 def _regions(pairs: DataFrame, least: int) -> DataFrame:
@@ -595,7 +624,9 @@ def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
     one = _tagged(places, spans).groupBy("signature", origin.alias("origin")).agg(first)
     one = stored(one.select("signature", *[f"first.{c}" for c in names if c != "signature"]).select(*names), "substring-representatives")
     several = one.groupBy("signature").agg(F.min("text_key").alias("p"), F.max("text_key").alias("q")).where("p <> q").select("signature")
-    return one.join(several, "signature", "left_semi")
+    shared = stored(one.join(several, "signature", "left_semi"), "substring-shared")
+    dropped(one)
+    return shared
 
 
 def _labelled(places: DataFrame, links: DataFrame) -> DataFrame:
@@ -752,23 +783,28 @@ def _linked(documents: DataFrame, min_words: int, similarity: float) -> tuple[Da
     copies = stored(copies.select("doc_id", "digest"), "substring-copies")
     singles = rows.alias("d").join(_small(copies).alias("c"), _same_row("d", "c"), "left_anti")
     windows = stored(_windows(singles, least), "substring-windows")
-    places, whole = _places(windows, least)
-    exact = stored(_exact(_cut(rows, classes, whole), least), "substring-exact")
-    shared = stored(_representatives(places, exact), "substring-shared")
+    places = _places(windows, least)
+    dropped(windows, copies)
+    exact = _exact(_cut(rows, classes, places.where("hash < 0").select("text_key", "l", "r")), least)
+    shared = _representatives(places.where("hash >= 0"), exact)
+    dropped(places)
     leader = F.min(F.struct(F.xxhash64("text_key"), "text_key", "l", "r", "c")).alias("y")
     leaders = shared.groupBy("signature").agg(leader).select("signature", F.col("y.text_key").alias("y"), F.col("y.l").alias("yl"), F.col("y.c").alias("yc"), F.col("y.r").alias("yr"))
-    pairs = shared.join(stored(leaders, "substring-leaders"), "signature").where("text_key <> y").withColumnRenamed("text_key", "x")
+    leaders = stored(leaders, "substring-leaders")
+    pairs = shared.join(leaders, "signature").where("text_key <> y").withColumnRenamed("text_key", "x")
     regions = stored(_regions(pairs, least), "substring-regions")
     sides = regions.select(F.col("x").alias("text_key"), F.col("x_l").alias("l"), F.col("x_r").alias("r")).union(regions.select("y", "y_l", "y_r"))
     parts = stored(_cut(rows, classes, sides), "substring-parts")
     found = stored(_repeats(regions, parts, least, similarity), "substring-repeats")
+    dropped(leaders, regions, parts)
     links = stored(_both_ways(exact.select(*SPAN).union(found)).distinct(), "substring-links")
     merged = stored(_merged(_grouped(_labelled(shared, links))), "substring-merged")
     groups = stored(_tiled(merged), "substring-groups")
+    dropped(shared, merged)
     more = stored(_cut(rows, classes, groups.select("text_key", "l", "r")), "substring-parts")
     links = links.union(_both_ways(stored(_group_repeats(groups, more, least, similarity), "substring-repeats")))
     links = stored(links.distinct(), "substring-links")
-    dropped(windows, shared, groups, parts, more, copies)
+    dropped(groups, more)
     return named, classes, links
 
 

@@ -1,10 +1,12 @@
 import collections
 import itertools
+import pathlib
+import time
 
 import numpy as np
 import pytest
 
-from kelpline.llm import near_dedup, substring_dedup
+from kelpline.llm import common, near_dedup, substring_dedup
 
 
 def shingles(text, k=5):
@@ -280,3 +282,27 @@ def test_large_groups_keep_all_pairs(spark, monkeypatch, limits):
     met = {pair for texts in groups.values() for pair in itertools.combinations(sorted(texts), 2)}
     assert met == set(itertools.combinations(range(1, 13), 2))
     assert len(groups) > 1 and all(len(texts) < 12 for texts in groups.values())
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of a stored table go with its write and not when the driver collects garbage; the setting stays."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = lambda: {p for d in manager.localDirsString() for p in pathlib.Path(d).rglob("shuffle_*")}
+    before, was = found(), spark.conf.get(common.CLEANUP)
+    df = common.stored(spark.range(1000).repartition(4, "id"), "test-shuffle")
+    until = time.time() + 10
+    while found() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not found() - before
+    assert df.count() == 1000 and spark.conf.get(common.CLEANUP) == was
+    common.dropped(df)
+
+
+def test_places_of_texts_in_a_row(spark):
+    """Texts whose windows come in one batch get the places that each gets alone."""
+    windows = [(t, h, 100 + h, 0, 30 + h + t, 90) for t in range(1, 6) for h in range(substring_dedup.HASHES)]
+    columns = [f.split()[0] for f in substring_dedup.PLACE.split(", ")]
+    places = lambda rows: {tuple(r) for r in substring_dedup._places(spark.createDataFrame(rows, substring_dedup.WINDOW), 46).select(columns).collect()}
+    together = places(windows)
+    assert {r[2] for r in together} == set(range(1, 6)) and {r[1] for r in together} == set(range(-1, substring_dedup.HASHES))
+    assert together == {r for t in (1, 5) for r in places([w for w in windows if w[0] == t])} | {r for r in together if r[2] in (2, 3, 4)}
