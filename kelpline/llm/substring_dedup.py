@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import dropped, stored
 from kelpline.llm.components import connected_components
-from kelpline.llm.shingles import digest, hashed_texts, mix, normalized, shingle_hashes, word_hashes
+from kelpline.llm.shingles import digest, hashed_texts, mix, normalized, shingle_hashes
 
 SHINGLE = 5
 #: A passage of similarity 0.75 shares the least hash of two neighbours among 8 functions with probability 0.988, one of
@@ -42,10 +42,13 @@ _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 BROADCAST_ROWS = 200_000
 #: Most places, and most of their shingles together, of a group that is compared in one task; larger ones are compared in tiles.
 BLOCK, ROOM = 32768, 1 << 22
+#: Places whose flags are looked at together.
+FLAGS = 1 << 14
 #: Blocks of keys for each shuffle partition.
 KEY_BLOCKS = 4
 SPAN = ("x", "x_from", "x_to", "y", "y_from", "y_to")
 WINDOW = "text_key long, hash int, key long, l int, c int, r int"
+PACKED = "block int, rows binary"
 PLACE = "signature long, hash int, text_key long, l int, r int, c int, d int"
 
 
@@ -58,11 +61,31 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(values) - width + 1], m[width - w : len(values) - w + 1])
 
 
+def _nearest(values: np.ndarray, of: np.ndarray, step: int, passes: np.ufunc) -> np.ndarray:
+    """For each value the nearest one in the direction of step, in the same row, that is not passed; -1 if there is none.
+
+    A value that is passed hands on to where it leads itself.
+    """
+    n = len(values)
+    to = np.arange(n) + step
+    to[(to < 0) | (to >= n)] = -1
+    some = np.arange(n)
+    while len(some):
+        next_ = to[some]
+        inside = (next_ >= 0) & (of[next_] == of[some])
+        to[some[~inside]] = -1
+        some, next_ = some[inside], next_[inside]
+        on = passes(values[next_], values[some])
+        some = some[on]
+        to[some] = to[next_[on]]
+    return to
+
+
 def compact_windows(values: np.ndarray, least: int, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """l, c and r of the windows of a row of hash values that hold runs of at least `least` values, by c.
 
     cuts: where further texts begin in values; no window spans two texts.  The first of equal values counts as the least.
-    The nodes of the Cartesian tree with room for a run are its least places; only these go over the stack.
+    The nodes of the Cartesian tree with room for a run are its least places; only these are linked with their parents.
     """
     n = len(values)
     text = np.zeros(n, np.int64)
@@ -87,21 +110,11 @@ def compact_windows(values: np.ndarray, least: int, cuts: np.ndarray | None = No
         starts, nexts = c[on] + 1, nexts[on]
     centres = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-    ends = np.append(first[1:], n).tolist()
-    l, r, stack, now = [0] * len(centres), [0] * len(centres), [], -1
-    at, value, of = centres.tolist(), values[centres].tolist(), text[centres].tolist()
-    for i, x in enumerate(value):
-        if of[i] != now:
-            for k in stack:
-                r[k] = ends[now]
-            stack, now = [], of[i]
-        while stack and value[stack[-1]] > x:
-            r[stack.pop()] = at[i]
-        l[i] = at[stack[-1]] + 1 if stack else int(first[now])
-        stack.append(i)
-    for k in stack:
-        r[k] = ends[now]
-    left, right = np.array(l, np.int64), np.array(r, np.int64)
+    at, value, of = np.append(centres, 0), values[centres], text[centres]
+    # The nearest place before that has no greater value, and the next one with a smaller one, in the same text.
+    before, after = _nearest(value, of, -1, np.greater), _nearest(value, of, 1, np.greater_equal)
+    left = np.where(before < 0, first[of - text[0]], at[before] + 1)
+    right = np.where(after < 0, np.append(first[1:], n)[of - text[0]], at[after])
     wide = right - left >= least
     return left[wide], centres[wide], right[wide]
 
@@ -200,26 +213,62 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nd
         yield held
 
 
-def _by_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """As _by_key, but all whole groups of a batch at once."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
-        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:keys]])) + 1
-        if len(cuts):
-            yield [c[: cuts[-1]] for c in held]
-            held = [c[cuts[-1] :] for c in held]
-    if held and len(held[0]):
-        yield held
+def _packed(parts: Iterator[tuple[np.ndarray, np.ndarray]], blocks: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Records (given with a key each) by block of keys: many at once in one binary value, so that Spark moves few rows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def made() -> pa.RecordBatch:
+        keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+        block = (mix(keys.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        block, rows = block[order], rows[order]
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        ends = np.append(first[1:], len(block)).tolist()
+        data = [rows[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(data, pa.binary())], ["block", "rows"])
+
+    for key, rows in parts:
+        if len(key):
+            held.append((np.ascontiguousarray(key), rows))
+            size += len(key)
+        if size >= most:
+            yield made()
+            held, size = [], 0
+    if size:
+        yield made()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], record: np.dtype) -> Iterator[np.ndarray]:
+    """Whole blocks of records that _packed made."""
+    for _, data in _by_key(batches, 1):
+        yield np.frombuffer(b"".join(data), record)
+
+
+def _dealt(packed: DataFrame) -> DataFrame:
+    return packed.repartition("block").sortWithinPartitions("block")
+
+
+def _block_count(df: DataFrame) -> int:
+    return KEY_BLOCKS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _record(fields: str) -> np.dtype:
+    return np.dtype([(f.split()[0], {"long": "<i8", "int": "<i4"}[f.split()[1]]) for f in fields.split(", ")])
+
+
+def _rows(records: np.ndarray, fields: str) -> pa.RecordBatch:
+    names = [f.split()[0] for f in fields.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(records[c])) for c in names], names)
 
 
 def _windows(singles: DataFrame, least: int) -> DataFrame:
-    """Windows whose least hash two texts have.  Keys are packed for their way to the block that all equal ones meet in."""
-    blocks = KEY_BLOCKS * int(singles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    window = np.dtype([("text", "<i8"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4"), ("hash", "u1")])
+    """Windows whose least hash two texts have, packed by block of texts.  They are packed, too, for their way to the block
+    of keys that all equal ones meet in."""
+    blocks = _block_count(singles)
+    window = _record(WINDOW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 norms = [normalized(t) for t in batch.slice(at, 128).column(0).to_pylist()]
@@ -230,39 +279,32 @@ def _windows(singles: DataFrame, least: int) -> DataFrame:
                 grams = np.concatenate([g for _, g in some])
                 lengths = np.array([len(g) for _, g in some])
                 starts = np.cumsum(lengths) - lengths
-                keys, rows = [], []
-                for h in range(HASHES):
-                    values = mix(grams ^ _SEEDS[h])
-                    l, c, r = compact_windows(values, least, starts[1:])
-                    of = np.searchsorted(starts, c, "right") - 1
+                # Several functions' values stand in a row, as further texts, so that few calls do all.
+                at_once = max(1, min(HASHES, (1 << 19) // len(grams)))
+                for h in range(0, HASHES, at_once):
+                    values = mix((grams ^ _SEEDS[h : h + at_once, None]).ravel())
+                    n = len(values) // len(grams)
+                    begins = (starts + len(grams) * np.arange(n)[:, None]).ravel()
+                    l, c, r = compact_windows(values, least, begins[1:])
+                    of = np.searchsorted(begins, c, "right") - 1
                     row = np.zeros(len(c), window)
-                    row["text"], row["l"], row["c"], row["r"], row["hash"] = texts[of], l - starts[of], c - starts[of], r - starts[of], h
-                    keys.append(values[c])
-                    rows.append(row)
-                key, row = np.concatenate(keys), np.concatenate(rows)
-                block = (key % np.uint64(blocks)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                edges = np.flatnonzero(np.diff(block[order])) + 1
-                parts = np.split(order, edges)
-                columns = [pa.array([int(block[p[0]]) for p in parts], pa.int32())]
-                columns += [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (key, row)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "windows"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, packed, packed_rows in _by_key(batches, 1):
-            key = np.frombuffer(b"".join(packed), np.uint64)
-            row = np.frombuffer(b"".join(packed_rows), window)
-            order = np.lexsort((row["text"], key))
-            key, row = key[order], row[order]
+                    row["text_key"], row["hash"] = texts[of % len(texts)], h + of // len(texts)
+                    row["l"], row["c"], row["r"] = l - begins[of], c - begins[of], r - begins[of]
+                    row["key"] = values[c].view(np.int64)
+                    yield row["key"], row
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for row in _blocks(batches, window):
+            order = np.argsort(row["key"], kind="stable")
+            key, text = row["key"][order], row["text_key"][order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             counts = np.diff(np.append(first, len(key)))
-            on = np.repeat(row["text"][first] != row["text"][first + counts - 1], counts)
-            key, row = key[on], row[on]
-            columns = (row["text"], row["hash"].astype(np.int32), key.view(np.int64), row["l"], row["c"], row["r"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [f.split()[0] for f in WINDOW.split(", ")])
+            several = np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)
+            kept = row[order[np.repeat(several, counts)]]
+            yield kept["text_key"], kept
 
-    packed = singles.select("text").mapInArrow(run, "block int, keys binary, windows binary")
-    return packed.repartition("block").sortWithinPartitions("block").mapInArrow(shared, WINDOW)
+    packed = singles.select("text").mapInArrow(lambda batches: _packed(each(batches), blocks), PACKED)
+    return _dealt(packed).mapInArrow(lambda batches: _packed(shared(batches), blocks), PACKED)
 
 
 def _chunked(rows: Iterator[tuple], names: list[str], most: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -279,42 +321,86 @@ def _chunked(rows: Iterator[tuple], names: list[str], most: int = 100_000) -> It
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
-def _places(windows: DataFrame, least: int) -> DataFrame:
+def _packed_places(windows: DataFrame, least: int) -> DataFrame:
     """Per text and signature: where (l to r) and at which least hashes (c, d); and the parts of texts, covered by windows
-    of all functions, that can hold an exact run (hash -1)."""
-    columns = [f.split()[0] for f in PLACE.split(", ")]
+    of all functions, that can hold an exact run (hash -1).  Places and parts are packed by block of texts."""
+    window, place = _record(WINDOW), _record(PLACE)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for texts in _by_keys(batches, 1):
-            # Texts stand in a row, so far from each other that nothing reaches from one into the next.
-            first = np.flatnonzero(np.concatenate([[True], texts[0][1:] != texts[0][:-1]]))
-            counts = np.diff(np.append(first, len(texts[0])))
-            room = np.maximum.reduceat(texts[5], first).astype(np.int64) + 3 * least
-            base = np.cumsum(room) - room
-            begins = np.repeat(base, counts)
-            names, hashes, keys = texts[0][first], *texts[1:3]
-            l, c, r = (x + begins for x in texts[3:])
-
-            def back(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-                return (x - base[of]).astype(np.int32)
-
-            covers = _covered(hashes, l, r)
-            exact = _stretches_of(covers == HASHES, least)
-            if exact:
-                a, b = np.array(exact, np.int64).T
-                of = np.searchsorted(base, a, "right") - 1
-                a, b = back(a, of), back(b, of)
-                yield np.zeros(len(a), np.int64), np.full(len(a), -1, np.int32), names[of], a, b, a, b
-            on = supported(hashes, l, c, r, least, NEED, covers)
-            if on.any():
-                sign, h, left, right, p, q = signatures(hashes[on], keys[on], l[on], c[on], r[on], least)
-                of = np.searchsorted(base, p, "right") - 1
-                yield sign, h.astype(np.int32), names[of], *(back(x, of) for x in (left, right, p, q))
+    def made(columns: tuple) -> np.ndarray:
+        out = np.zeros(len(columns[0]), place)
+        for name, x in zip(place.names, columns, strict=True):
+            out[name] = x
+        return out
+
+    def of_texts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = rows[np.argsort(rows["text_key"], kind="stable")]
+        # Texts stand in a row, so far from each other that nothing reaches from one into the next.
+        text, hashes, keys = rows["text_key"], rows["hash"], rows["key"]
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        counts = np.diff(np.append(first, len(text)))
+        room = np.maximum.reduceat(rows["r"], first).astype(np.int64) + 3 * least
+        base = np.cumsum(room) - room
+        begins = np.repeat(base, counts)
+        names = text[first]
+        l, c, r = (rows[x] + begins for x in ("l", "c", "r"))
+
+        def back(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+            return (x - base[of]).astype(np.int32)
+
+        exact = places = np.zeros(0, place)
+        covers = _covered(hashes, l, r)
+        found = _stretches_of(covers == HASHES, least)
+        if found:
+            a, b = np.array(found, np.int64).T
+            of = np.searchsorted(base, a, "right") - 1
+            a, b = back(a, of), back(b, of)
+            exact = made((np.zeros(len(a), np.int64), -1, names[of], a, b, a, b))
+        on = supported(hashes, l, c, r, least, NEED, covers)
+        if on.any():
+            sign, h, left, right, p, q = signatures(hashes[on], keys[on], l[on], c[on], r[on], least)
+            of = np.searchsorted(base, p, "right") - 1
+            places = made((sign, h, names[of], *(back(x, of) for x in (left, right, p, q))))
+        return exact, places
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data in _by_key(batches, 1):
+            both = of_texts(np.frombuffer(b"".join(data), window))
+            columns = [pa.array(block[:1]), *(pa.array([x.tobytes()], pa.binary()) for x in both)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "exact", "rows"])
+
+    return stored(_dealt(windows).mapInArrow(run, "block int, exact binary, rows binary"), "substring-places")
+
+
+def _exact_parts(places: DataFrame) -> DataFrame:
+    """text_key, l and r of the parts that can hold an exact run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _chunked(each(batches), columns)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield _rows(np.frombuffer(data, _record(PLACE)), "text_key long, l int, r int")
+
+    return places.select("exact").mapInArrow(run, "text_key long, l int, r int")
+
+
+def _places(windows: DataFrame, least: int) -> DataFrame:
+    """_packed_places of windows that come as rows, as rows."""
+    window, place = _record(WINDOW), _record(PLACE)
+    blocks = _block_count(windows)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, window)
+            for name in window.names:
+                rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+            yield rows["text_key"], rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in (x for c in batch.columns for x in c.to_pylist()):
+                yield _rows(np.frombuffer(data, place), PLACE)
 
-    return stored(windows.repartition("text_key").sortWithinPartitions("text_key").mapInArrow(run, PLACE), "substring-places")
+    packed = windows.mapInArrow(lambda batches: _packed(each(batches), blocks), PACKED)
+    return _packed_places(packed, least).select("exact", "rows").mapInArrow(run, PLACE)
 
 
 def _cut(rows: DataFrame, classes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -322,15 +408,26 @@ def _cut(rows: DataFrame, classes: DataFrame, spans: DataFrame) -> DataFrame:
     wanted = spans.distinct().groupBy("text_key").agg(F.collect_list(F.struct("l", "r")).alias("spans"))
     wanted = stored(wanted.join(classes.select("text_key", "doc_id", "digest"), "text_key"), "substring-cuts")
 
+    names, types = ["text_key", "l", "r", "grams"], (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, some in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                norm = normalized(text)
-                if _keyed(norm) == key:
-                    grams = shingle_hashes(word_hashes([norm])[0], SHINGLE)
-                    columns = ([key] * len(some), [x["l"] for x in some], [x["r"] for x in some], [grams[x["l"] : x["r"]].tobytes() for x in some])
-                    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["text_key", "l", "r", "grams"])
+            for at in range(0, batch.num_rows, 128):
+                keys, texts, spans = (c.to_pylist() for c in batch.slice(at, 128).columns)
+                norms = [normalized(t) for t in texts]
+                some = [(k, x, s) for k, x, s in zip(keys, norms, spans, strict=True) if _keyed(x) == k]
+                out: list[tuple] = []
+                size = 0
+                for (key, _, places), words in zip(some, hashed_texts([x for _, x, _ in some]), strict=True):
+                    grams = shingle_hashes(words, SHINGLE)
+                    for x in places:
+                        out.append((key, x["l"], x["r"], grams[x["l"] : x["r"]].tobytes()))
+                        size += len(out[-1][3])
+                        if size > 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                            out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     found = rows.alias("d").join(_small(wanted).alias("c"), _same_row("d", "c")).select("text_key", "text", "spans")
     return found.mapInArrow(run, "text_key long, l int, r int, grams binary").dropDuplicates(["text_key", "l", "r"])
@@ -340,28 +437,45 @@ def _exact(parts: DataFrame, least: int) -> DataFrame:
     """Every run of `least` shingles that two texts have, linked with its first place by text_key, and rows of such runs
     joined: x, x_from, x_to, y, y_from, y_to (words)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                for name, start, data in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
-                    runs = shingle_hashes(np.frombuffer(data, np.uint64), least).view(np.int64)
-                    yield runs, np.full(len(runs), name), start + np.arange(len(runs), dtype=np.int32)
-
-        yield from _chunked(each(), ["run", "x", "place"])
-
-    runs = stored(parts.mapInArrow(run, "run long, x long, place int"), "substring-runs")
-    at = F.struct("x", "place")
-    ends = runs.groupBy("run").agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first.x <> final.x")
-    found = runs.join(ends, "run").where("x <> first.x OR place <> first.place")
-    # The first text's further places are linked with another text.
-    found = found.withColumn("to", F.expr("IF(x <> first.x, first, final)"))
-    found = found.select("x", "place", F.col("to.x").alias("y"), (F.col("to.place") - F.col("place")).alias("shift"))
-    order = Window.partitionBy("x", "y", "shift").orderBy("place")  # no longer than a text
-    found = found.withColumn("row", F.col("place") - F.row_number().over(order))
-    found = found.groupBy("x", "y", "shift", "row").agg(F.min("place").alias("x_from"), (F.max("place") + least + SHINGLE - 1).alias("x_to"))
-    found = stored(found.select("x", "x_from", "x_to", "y", (F.col("x_from") + F.col("shift")).alias("y_from"), (F.col("x_to") + F.col("shift")).alias("y_to")), "substring-exact")
-    dropped(runs)
-    return found
+    blocks = _block_count(parts)
+    place, link = _record("run long, x long, place int"), _record("x long, y long, shift int, place int")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for name, start, data in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                found = shingle_hashes(np.frombuffer(data, np.uint64), least).view(np.int64)
+                out = np.zeros(len(found), place)
+                out["run"], out["x"], out["place"] = found, name, start + np.arange(len(found), dtype=np.int32)
+                yield out["run"], out
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows in _blocks(batches, place):
+            order = np.lexsort((rows["place"], rows["x"], rows["run"]))
+            run, x, at = (rows[c][order] for c in place.names)
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            counts = np.diff(np.append(first, len(run)))
+            final = np.repeat(first + counts - 1, counts)
+            first = np.repeat(first, counts)
+            on = np.flatnonzero((x[first] != x[final]) & (first != np.arange(len(run))))
+            # The first text's further places are linked with another text.
+            to = np.where(x[on] != x[first[on]], first[on], final[on])
+            out = np.zeros(len(on), link)
+            out["x"], out["y"], out["shift"], out["place"] = x[on], x[to], at[to] - at[on], at[on]
+            yield out["x"], out
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, link):
+            rows = rows[np.lexsort((rows["place"], rows["shift"], rows["y"], rows["x"]))]
+            x, y, shift, at = (rows[c] for c in link.names)
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)])
+            start = np.flatnonzero(new)
+            low, high, by = at[start], at[np.append(start[1:], len(at)) - 1] + least + SHINGLE - 1, shift[start]
+            columns = (x[start], low, high, y[start], low + by, high + by)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], list(SPAN))
+
+    packed = parts.mapInArrow(lambda batches: _packed(runs(batches), blocks), PACKED)
+    packed = _dealt(packed).mapInArrow(lambda batches: _packed(ends(batches), blocks), PACKED)
+    return stored(_dealt(packed).mapInArrow(joined, SPANS), "substring-exact")
 
 
 def _regions(pairs: DataFrame, least: int) -> DataFrame:
@@ -457,6 +571,17 @@ def stretches(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(kept)
 
 
+def _single_stretches(place: np.ndarray) -> list[tuple[int, int, int]]:
+    """stretches of x and y, neither of which repeats a shingle, from the places of x's shingles in y."""
+    on = np.flatnonzero(place >= 0)
+    if not len(on):
+        return []
+    shift = place[on] - on
+    new = np.flatnonzero(np.concatenate([[True], (on[1:] != on[:-1] + 1) | (shift[1:] != shift[:-1])]))
+    last = np.append(new[1:], len(on)) - 1
+    return list(zip(on[new].tolist(), (on[last] + 1).tolist(), shift[new].tolist(), strict=True))
+
+
 def _chains(parts: list[tuple[int, int, int]], least: int) -> list[list[tuple[int, int, int]]]:
     """Stretches dealt into rows that go on in both texts, each to the row with the nearest diagonal."""
     chains: list[list[tuple[int, int, int]]] = []
@@ -498,6 +623,47 @@ def may_repeat(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> b
     return bool((sums[width:] - np.minimum.accumulate(sums)[: len(sums) - width] > -1e-6).any())
 
 
+def densest(common: np.ndarray, least: int) -> np.ndarray:
+    """For each row of flags the largest share of true ones in a run of `least` places or more; 0 without room for one.
+
+    Runs of 2 * least - 1 are enough: one of two parts of a longer run has its share at least.
+    """
+    most, n = np.zeros(len(common)), common.shape[1]
+    if n < least:
+        return most
+    sums = np.zeros((len(common), n + least), np.float32)  # of places past the end there are none
+    np.cumsum(common, axis=1, out=sums[:, 1 : n + 1])
+    sums[:, n + 1 :] = sums[:, n : n + 1]
+    runs = np.lib.stride_tricks.sliding_window_view(sums[:, least:], least, axis=1)
+    parts = (1 / np.arange(least, 2 * least)).astype(np.float32)
+    step = max(1, FLAGS // len(common))
+    for i in range(0, n - least + 1, step):
+        some = runs[:, i : i + step]
+        most = np.maximum(most, ((some - sums[:, i : i + some.shape[1], None]) * parts).max(axis=(1, 2)))
+    return most
+
+
+def may_join(here: np.ndarray, there: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether runs that share `here` of one side's shingles and `there` of the other's at most can be similar enough.
+
+    Runs of n and m shingles with c in common have similarity c / (n + m - c), so n / c + m / c is 1 + 1 / similarity at most.
+    """
+    return 1 / np.maximum(here, 1e-9) + 1 / np.maximum(there, 1e-9) <= 1 + 1 / similarity + 1e-4
+
+
+def shares(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> bool:
+    """may_join of two rows of shingles; a row that repeats one may share all."""
+    sides = []
+    xs, ys = np.sort(x), np.sort(y)
+    for one, ordered, others in ((x, xs, ys), (y, ys, xs)):
+        if (ordered[1:] == ordered[:-1]).any():
+            sides.append(np.ones(1))
+        else:
+            found = others[np.minimum(np.searchsorted(others, one), len(others) - 1)] == one
+            sides.append(densest(found[None, :], least))
+    return bool(may_join(*sides, similarity)[0])
+
+
 def _places_in(x: np.ndarray, ordered: np.ndarray, others: np.ndarray) -> np.ndarray | None:
     """Running count of the places of x whose shingle is among others; None if x repeats a shingle (it may count once)."""
     if (ordered[1:] == ordered[:-1]).any():
@@ -509,7 +675,13 @@ def _places_in(x: np.ndarray, ordered: np.ndarray, others: np.ndarray) -> np.nda
 def common_runs(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(x from, x to, y from, y to, Jaccard) of the widest runs of stretches that are similar enough."""
     runs: list[list] = []  # x from, x to, y from, y to, stretches
-    for chain in _chains(stretches(x, y), least):
+    order = np.argsort(y, kind="stable")
+    xs, ys = np.sort(x), y[order]
+    place = None  # of each shingle of x in y (-1 if not there), where neither side repeats one
+    if len(y) and not (xs[1:] == xs[:-1]).any() and not (ys[1:] == ys[:-1]).any():
+        at = np.minimum(np.searchsorted(ys, x), len(ys) - 1)
+        place = np.where(ys[at] == x, order[at], -1)
+    for chain in _chains(stretches(x, y) if place is None else _single_stretches(place), least):
         i, j, shift = np.array(chain).T
         # What a stretch adds to those before it; the first of a run adds all of itself.
         over = np.maximum(0, np.maximum(j[:-1] - i[1:], j[:-1] + shift[:-1] - i[1:] - shift[1:]))
@@ -524,7 +696,8 @@ def common_runs(x: np.ndarray, y: np.ndarray, least: int, similarity: float) ->
                 reached = last
                 runs.append([int(i[k]), int(j[last]), int(i[k] + shift[k]), int(j[last] + shift[last]), chain[k : last + 1]])
     out = []
-    xs, ys = np.sort(x), np.sort(y)
+    if not runs:
+        return out
     in_y, in_x = _places_in(x, xs, ys), _places_in(y, ys, xs)
     for a, b, c, d, parts in runs:
         # A passage may begin or end with an edit: what is a little short is taken with the places around it.
@@ -539,9 +712,12 @@ def common_runs(x: np.ndarray, y: np.ndarray, least: int, similarity: float) ->
         few = any(n is not None and n[j] - n[i] < similarity * (j - i) - 1e-9 for n, i, j in ((in_y, a, b), (in_x, c, d)))
         if few and max(j - i for i, j, _ in parts) < least:
             continue
-        p, q = np.unique(x[a:b]), np.unique(y[c:d])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        jaccard = both / (len(p) + len(q) - both)
+        if place is None:
+            p, q = np.unique(x[a:b]), np.unique(y[c:d])
+            both, every = len(np.intersect1d(p, q, assume_unique=True)), len(p) + len(q)
+        else:
+            both, every = int(((place[a:b] >= c) & (place[a:b] < d)).sum()), b - a + d - c
+        jaccard = both / (every - both)
         if jaccard >= similarity:
             out.append((a, b, c, d, jaccard))
         else:
@@ -563,7 +739,8 @@ def _repeats(regions: DataFrame, parts: DataFrame, least: int, similarity: float
             out = []
             for x, l, y, m, p, q in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 one, two = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                for a, b, c, d, _ in common_runs(one, two, least, similarity) if may_repeat(one, two, least, similarity) else ():
+                some = may_repeat(one, two, least, similarity) and shares(one, two, least, similarity)
+                for a, b, c, d, _ in common_runs(one, two, least, similarity) if some else ():
                     out.append((x, l + a, l + b + SHINGLE - 1, y, m + c, m + d + SHINGLE - 1))
             if out:
                 yield _spans(out)
@@ -613,32 +790,90 @@ def _tagged(places: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
-    """One place of each signature and class of equal places, of the signatures that several texts have still.
+    """One place of each signature and class of equal places, of the signatures that several texts have still, each with
+    the leader of its signature (y, yl, yc, yr): the place of the text with the least hash.
 
-    A place inside an exact run of an earlier text is of the class of its place there.
+    A place inside an exact run of an earlier text is of the class of its place there.  Places come packed by block of
+    texts, meet the runs of these, and go on packed by block of signatures, one of a class from each task.
     """
-    names = [f.split()[0] for f in PLACE.split(", ")]
-    spans = exact.where("y < x").select("x", "x_from", "x_to", F.col("y").alias("tag"), (F.col("y_from") - F.col("x_from")).alias("shift"))
-    origin = F.when(F.col("found"), F.xxhash64("tag", F.col("c") + F.col("shift"))).otherwise(F.xxhash64("text_key", "c"))
-    first = F.min(F.struct(F.xxhash64("text_key"), "text_key", "l", "r", "c", "d", "hash")).alias("first")
-    one = _tagged(places, spans).groupBy("signature", origin.alias("origin")).agg(first)
-    one = stored(one.select("signature", *[f"first.{c}" for c in names if c != "signature"]).select(*names), "substring-representatives")
-    several = one.groupBy("signature").agg(F.min("text_key").alias("p"), F.max("text_key").alias("q")).where("p <> q").select("signature")
-    shared = stored(one.join(several, "signature", "left_semi"), "substring-shared")
-    dropped(one)
-    return shared
+    blocks = _block_count(places)
+    place, span = _record(PLACE), _record("text_key long, tag long, c int, d int, shift int")
+    classed = _record("signature long, origin long, order long, text_key long, l int, r int, c int, d int, hash int")
+    led = PLACE + ", y long, yl int, yc int, yr int"
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            x, x_from, x_to, y, y_from = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            out = np.zeros(len(x), span)
+            out["text_key"], out["tag"], out["c"], out["d"], out["shift"] = x, y, x_from, x_to - SHINGLE, y_from - x_from
+            yield out["text_key"], out
+
+    def ordered(text: np.ndarray) -> np.ndarray:
+        return mix(text.view(np.uint64)).view(np.int64)
+
+    def least_of(rows: np.ndarray) -> np.ndarray:
+        """The first place of each class, in order of signatures and classes."""
+        rows = rows[np.lexsort((rows["origin"], rows["signature"]))]
+        new = np.concatenate([[True], (rows["signature"][1:] != rows["signature"][:-1]) | (rows["origin"][1:] != rows["origin"][:-1])])
+        of = np.cumsum(new) - 1
+        # Classes of one place are done.
+        alone = (np.bincount(of) == 1)[of]
+        more = rows[~alone]
+        more = more[np.lexsort((*(more[c] for c in ("hash", "d", "c", "r", "l", "text_key", "order")), of[~alone]))]
+        first = np.concatenate([[True], (more["signature"][1:] != more["signature"][:-1]) | (more["origin"][1:] != more["origin"][:-1])])[: len(more)]
+        return np.concatenate([rows[alone], more[first]])
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, kind, data in _by_key(batches, 1):
+            runs = np.frombuffer(b"".join(data[kind == 0]), span)
+            rows = np.frombuffer(b"".join(data[kind == 1]), place)
+            if not len(rows):
+                continue
+            rows = rows[np.lexsort((rows["c"], rows["text_key"]))]
+            runs = runs[np.lexsort((-runs["shift"], -runs["tag"], runs["text_key"]))]
+            tag, at = rows["text_key"].copy(), rows["c"].astype(np.int64)
+            found = np.zeros(len(rows), bool)
+            begins, ends = (np.searchsorted(rows["text_key"], runs["text_key"], side) for side in ("left", "right"))
+            for i, j, y, c, d, shift in zip(begins.tolist(), ends.tolist(), *(runs[f].tolist() for f in ("tag", "c", "d", "shift")), strict=True):
+                low, high = np.searchsorted(rows["c"][i:j], (c, d + 1)) + i
+                inside = low + np.flatnonzero(rows["d"][low:high] <= d)
+                tag[inside], at[inside], found[inside] = y, rows["c"][inside] + shift, True
+            out = np.zeros(len(rows), classed)
+            for name in place.names:
+                out[name] = rows[name]
+            out["order"] = ordered(rows["text_key"])
+            out["origin"] = mix(mix(tag.view(np.uint64)) ^ at.view(np.uint64)).view(np.int64)
+            out = least_of(out)
+            yield out["signature"], out
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, classed):
+            rows = least_of(rows)
+            rows = rows[np.lexsort((rows["c"], rows["r"], rows["l"], rows["text_key"], rows["order"], rows["signature"]))]
+            sign, text = rows["signature"], rows["text_key"]
+            first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
+            counts = np.diff(np.append(first, len(sign)))
+            on = np.repeat(np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first), counts)
+            kept, leaders = rows[on], rows[np.repeat(first, counts)[on]]
+            for i in range(0, len(kept), 100_000):
+                some, lead = kept[i : i + 100_000], leaders[i : i + 100_000]
+                columns = [some[c] for c in place.names] + [lead[c] for c in ("text_key", "l", "c", "r")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [f.split()[0] for f in led.split(", ")])
+
+    earlier = exact.where("y < x").select(*SPAN[:5]).mapInArrow(lambda batches: _packed(spans(batches), blocks), PACKED)
+    both = earlier.select("block", F.lit(0).alias("kind"), "rows").union(places.select("block", F.lit(1), "rows"))
+    return stored(_dealt(_dealt(both).mapInArrow(lambda batches: _packed(classes(batches), blocks), PACKED)).mapInArrow(shared, led), "substring-shared")
 
 
 def _labelled(places: DataFrame, links: DataFrame) -> DataFrame:
     """places (signature, text_key, l, r, c, d) with the label of the component of links that both least hashes lie in
-    (bare: in none, with a label of their own), of the signatures whose places are of several components."""
+    (bare: in none, with a label of their own)."""
     spans, _, labels = _components(links.select("x", "x_from", "x_to").distinct(), links)
     merged = spans.groupBy("node", "x").agg(F.min("x_from").alias("x_from"), F.max("x_to").alias("x_to")).join(labels, "node")
     merged = merged.select("x", "x_from", "x_to", F.xxhash64("label").alias("tag"), F.lit(0).alias("shift"))
     label = F.when(F.col("found"), F.col("tag")).otherwise(F.xxhash64("text_key", "c", "d"))
-    found = stored(_tagged(places, merged).select("signature", "text_key", "l", "r", "c", "d", label.alias("label"), (~F.col("found")).alias("bare")), "substring-labelled")
-    several = found.groupBy("signature").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("signature")
-    return found.join(several, "signature", "left_semi")
+    found = _tagged(places, merged).select("signature", "text_key", "l", "r", "c", "d", label.alias("label"), (~F.col("found")).alias("bare"))
+    return stored(found, "substring-labelled")
 
 
 def _merged(places: DataFrame) -> DataFrame:
@@ -701,26 +936,29 @@ def _group_repeats(groups: DataFrame, parts: DataFrame, least: int, similarity:
         # Shingles that another text of the group has; a place without room for a repeat among them shares none.
         texts = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
         grams = [np.frombuffer(r[4], np.uint64) for r in rows]
-        every, of = np.concatenate(grams), np.repeat(texts, [len(g) for g in grams])
-        values, at = np.unique(every, return_inverse=True)
+        lengths = np.array([len(g) for g in grams])
+        values, every = np.unique(np.concatenate(grams), return_inverse=True)
+        of = np.repeat(texts, lengths)
         low, high = np.full(len(values), len(rows)), np.full(len(values), -1)
-        np.minimum.at(low, at, of)
-        np.maximum.at(high, at, of)
-        common = (low < high)[at]
-        ends = np.cumsum([len(g) for g in grams])
-        counts = np.diff(np.concatenate([[0], np.cumsum(common)[ends - 1]]))
-        on = np.flatnonzero(counts >= similarity * least)
-        rows, grams, texts = [rows[k] for k in on.tolist()], [grams[k] for k in on.tolist()], texts[on]
+        np.minimum.at(low, every, of)
+        np.maximum.at(high, every, of)
+        common = (low < high)[every]
+        counts = np.add.reduceat(common, np.cumsum(lengths) - lengths, dtype=np.int64)
+        on = counts >= similarity * least
+        every, lengths, texts = every[np.repeat(on, lengths)], lengths[on], texts[on]
+        rows, grams = [r for r, k in zip(rows, on.tolist(), strict=True) if k], [g for g, k in zip(grams, on.tolist(), strict=True) if k]
         roots = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)[1]  # components that repeats join
         if len(set(texts.tolist())) < 2 or (roots == roots[0]).all():
             return out
-        # Each row's shingles as numbers, once each, and the rows that have each number.
-        every, of = np.unique(np.concatenate(grams), return_inverse=True)[1], np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        pairs = np.unique(of * (int(every.max()) + 1) + every)
-        of, every = pairs // (int(every.max()) + 1), pairs % (int(every.max()) + 1)
+        # Each row's shingles as numbers, in order and once each, and the rows that have each number.
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        pairs = np.unique(np.repeat(np.arange(len(rows)), lengths) * len(values) + every)
+        of, once = pairs // len(values), pairs % len(values)
         begins = np.searchsorted(of, np.arange(len(rows) + 1))
-        by_number = of[np.argsort(every, kind="stable")]
-        starts = np.searchsorted(np.sort(every), np.arange(int(every.max()) + 2))
+        single = np.diff(begins) == lengths
+        by_number = of[np.argsort(once, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(once, minlength=len(values)))])
+        held, other = np.zeros(len(values), bool), np.zeros(len(values), bool)
         rest = np.flatnonzero(roots != np.bincount(roots).argmax())
         done = np.zeros(len(rows), bool)
         for k in rest.tolist():
@@ -728,21 +966,40 @@ def _group_repeats(groups: DataFrame, parts: DataFrame, least: int, similarity:
             if (roots == roots[k]).all():
                 break
             _, x, l, _, _ = rows[k]
-            mine = every[begins[k] : begins[k + 1]]
+            mine = once[begins[k] : begins[k + 1]]
             n = starts[mine + 1] - starts[mine]
             some = n > 1
-            mine, n = mine[some], n[some]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[mine], n)
+            some_of, n = mine[some], n[some]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[some_of], n)
             both = np.bincount(by_number[at], minlength=len(rows))
             near = np.flatnonzero((both >= similarity * least) & (roots != roots[k]) & (texts != texts[k]) & ~done)
-            for j in near[np.argsort(-both[near], kind="stable")].tolist():
-                if roots[j] == roots[k] or not may_repeat(grams[k], grams[j], least, similarity):
-                    continue
-                m = rows[j][2]
-                found = common_runs(grams[k], grams[j], least, similarity)
-                out += [(x, l + a, l + b + SHINGLE - 1, rows[j][1], m + c, m + d + SHINGLE - 1) for a, b, c, d, _ in found]
-                if found:
-                    roots[roots == roots[j]] = roots[k]
+            near = near[np.argsort(-both[near], kind="stable")]
+            held[mine] = True
+            own = every[edges[k] : edges[k + 1]]
+            # Some at a time: those whose component the ones before joined are not looked at.
+            size = max(1, FLAGS // max(lengths[k], lengths[near].max(initial=1)))
+            while len(near):
+                some, near = near[:size], near[size:]
+                theirs = np.zeros((len(some), int(lengths[some].max())), bool)
+                flags = np.zeros((len(some), int(lengths[k])), bool)
+                for i, j in enumerate(some.tolist()):
+                    theirs[i, : lengths[j]] = held[every[edges[j] : edges[j + 1]]]
+                    numbers = once[begins[j] : begins[j + 1]]
+                    other[numbers] = True
+                    flags[i] = other[own]
+                    other[numbers] = False
+                here = densest(flags, least) if single[k] else np.ones(len(some))
+                there = np.where(single[some], densest(theirs, least), 1.0)
+                for j in some[may_join(here, there, similarity)].tolist():
+                    if roots[j] == roots[k] or not ((single[k] and single[j]) or may_repeat(grams[k], grams[j], least, similarity)):
+                        continue
+                    m = rows[j][2]
+                    found = common_runs(grams[k], grams[j], least, similarity)
+                    out += [(x, l + a, l + b + SHINGLE - 1, rows[j][1], m + c, m + d + SHINGLE - 1) for a, b, c, d, _ in found]
+                    if found:
+                        roots[roots == roots[j]] = roots[k]
+                near = near[roots[near] != roots[k]]
+            held[mine] = False
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -783,20 +1040,17 @@ def _linked(documents: DataFrame, min_words: int, similarity: float) -> tuple[Da
     copies = stored(copies.select("doc_id", "digest"), "substring-copies")
     singles = rows.alias("d").join(_small(copies).alias("c"), _same_row("d", "c"), "left_anti")
     windows = stored(_windows(singles, least), "substring-windows")
-    places = _places(windows, least)
+    places = _packed_places(windows, least)
     dropped(windows, copies)
-    exact = _exact(_cut(rows, classes, places.where("hash < 0").select("text_key", "l", "r")), least)
-    shared = _representatives(places.where("hash >= 0"), exact)
+    exact = _exact(_cut(rows, classes, _exact_parts(places)), least)
+    shared = _representatives(places, exact)
     dropped(places)
-    leader = F.min(F.struct(F.xxhash64("text_key"), "text_key", "l", "r", "c")).alias("y")
-    leaders = shared.groupBy("signature").agg(leader).select("signature", F.col("y.text_key").alias("y"), F.col("y.l").alias("yl"), F.col("y.c").alias("yc"), F.col("y.r").alias("yr"))
-    leaders = stored(leaders, "substring-leaders")
-    pairs = shared.join(leaders, "signature").where("text_key <> y").withColumnRenamed("text_key", "x")
+    pairs = shared.where("text_key <> y").withColumnRenamed("text_key", "x")
     regions = stored(_regions(pairs, least), "substring-regions")
     sides = regions.select(F.col("x").alias("text_key"), F.col("x_l").alias("l"), F.col("x_r").alias("r")).union(regions.select("y", "y_l", "y_r"))
     parts = stored(_cut(rows, classes, sides), "substring-parts")
     found = stored(_repeats(regions, parts, least, similarity), "substring-repeats")
-    dropped(leaders, regions, parts)
+    dropped(regions, parts)
     links = stored(_both_ways(exact.select(*SPAN).union(found)).distinct(), "substring-links")
     merged = stored(_merged(_grouped(_labelled(shared, links))), "substring-merged")
     groups = stored(_tiled(merged), "substring-groups")

@@ -2,8 +2,10 @@ import collections
 import itertools
 import pathlib
 import time
+from unittest import mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kelpline.llm import common, near_dedup, substring_dedup
@@ -306,3 +308,38 @@ def test_places_of_texts_in_a_row(spark):
     together = places(windows)
     assert {r[2] for r in together} == set(range(1, 6)) and {r[1] for r in together} == set(range(-1, substring_dedup.HASHES))
     assert together == {r for t in (1, 5) for r in places([w for w in windows if w[0] == t])} | {r for r in together if r[2] in (2, 3, 4)}
+
+
+def test_only_pairs_that_can_be_similar_are_compared(monkeypatch):
+    """Two places that share four of five shingles have similarity 2/3 at most: they are told without a comparison of runs."""
+    rows = []
+    for g in range(3):
+        for text in (0, 1):
+            own = [10_000 * g + 100 * k + (text and k % 5 == 4) for k in range(100)]
+            rows.append((g, 2 * g + text, 0, 2 * g + text, np.array(own, np.uint64).tobytes()))
+    rows += [(3, t, 0, t, np.arange(10**6, 10**6 + 60, dtype=np.uint64).tobytes()) for t in (6, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["group", "text_key", "l", "label", "grams"])
+    compared = []
+    common_runs = substring_dedup.common_runs
+    monkeypatch.setattr(substring_dedup, "common_runs", lambda *a: compared.append(1) or common_runs(*a))
+    frame = mock.MagicMock()
+    for method in ("join", "select", "repartition", "sortWithinPartitions"):
+        getattr(frame, method).return_value = frame
+    frame.mapInArrow.side_effect = lambda run, schema: [r for b in run(iter([batch])) for r in b.to_pylist()]
+    found = substring_dedup._group_repeats(frame, frame, 46, 0.75)
+    assert [(r["x"], r["y"], r["x_from"], r["x_to"]) for r in found] in ([(6, 7, 0, 64)], [(7, 6, 0, 64)])
+    assert len(compared) == 1
+
+
+def test_densest_and_may_join():
+    """The share is that of the best run of any length; what brute force finds similar is never ruled out."""
+    rng = np.random.default_rng(5)
+    for n in (3, 9, 40, 41):
+        flags = rng.random((20, n)) < 0.6
+        brute = [max((f[i:j].mean() for i in range(n) for j in range(i + 9, n + 1)), default=0) for f in flags]
+        assert np.allclose(substring_dedup.densest(flags, 9), brute)
+    for _ in range(200):
+        x = np.arange(80, dtype=np.uint64)
+        y = np.where(rng.random(80) < rng.choice([0.05, 0.14, 0.3]), x + np.uint64(10**6), x)
+        if substring_dedup.common_runs(x, y, 46, 0.75):
+            assert substring_dedup.shares(x, y, 46, 0.75)
