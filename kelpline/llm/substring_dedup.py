@@ -789,7 +789,7 @@ def _tagged(places: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.repartition("text_key").sortWithinPartitions("text_key", "kind", "c").mapInArrow(run, schema)
 
 
-def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
+def _representatives(places: DataFrame, exact: DataFrame, texts: DataFrame) -> DataFrame:
     """One place of each signature and class of equal places, of the signatures that several texts have still, each with
     the leader of its signature (y, yl, yc, yr): the place of the text with the least hash.
 
@@ -798,6 +798,7 @@ def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
     """
     blocks = _block_count(places)
     place, span = _record(PLACE), _record("text_key long, tag long, c int, d int, shift int")
+    named = _record("text_key long, order long")
     classed = _record("signature long, origin long, order long, text_key long, l int, r int, c int, d int, hash int")
     led = PLACE + ", y long, yl int, yc int, yr int"
 
@@ -808,8 +809,11 @@ def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
             out["text_key"], out["tag"], out["c"], out["d"], out["shift"] = x, y, x_from, x_to - SHINGLE, y_from - x_from
             yield out["text_key"], out
 
-    def ordered(text: np.ndarray) -> np.ndarray:
-        return mix(text.view(np.uint64)).view(np.int64)
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, named)
+            out["text_key"], out["order"] = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield out["text_key"], out
 
     def least_of(rows: np.ndarray) -> np.ndarray:
         """The first place of each class, in order of signatures and classes."""
@@ -841,7 +845,8 @@ def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
             out = np.zeros(len(rows), classed)
             for name in place.names:
                 out[name] = rows[name]
-            out["order"] = ordered(rows["text_key"])
+            order = np.sort(np.frombuffer(b"".join(data[kind == 2]), named), order="text_key")
+            out["order"] = order["order"][np.searchsorted(order["text_key"], rows["text_key"])]
             out["origin"] = mix(mix(tag.view(np.uint64)) ^ at.view(np.uint64)).view(np.int64)
             out = least_of(out)
             yield out["signature"], out
@@ -861,7 +866,8 @@ def _representatives(places: DataFrame, exact: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [f.split()[0] for f in led.split(", ")])
 
     earlier = exact.where("y < x").select(*SPAN[:5]).mapInArrow(lambda batches: _packed(spans(batches), blocks), PACKED)
-    both = earlier.select("block", F.lit(0).alias("kind"), "rows").union(places.select("block", F.lit(1), "rows"))
+    hashed = texts.select("text_key", F.xxhash64("text_key")).mapInArrow(lambda batches: _packed(orders(batches), blocks), PACKED)
+    both = earlier.select("block", F.lit(0).alias("kind"), "rows").union(places.select("block", F.lit(1), "rows")).union(hashed.select("block", F.lit(2), "rows"))
     return stored(_dealt(_dealt(both).mapInArrow(lambda batches: _packed(classes(batches), blocks), PACKED)).mapInArrow(shared, led), "substring-shared")
 
 
@@ -1043,7 +1049,7 @@ def _linked(documents: DataFrame, min_words: int, similarity: float) -> tuple[Da
     places = _packed_places(windows, least)
     dropped(windows, copies)
     exact = _exact(_cut(rows, classes, _exact_parts(places)), least)
-    shared = _representatives(places, exact)
+    shared = _representatives(places, exact, classes)
     dropped(places)
     pairs = shared.where("text_key <> y").withColumnRenamed("text_key", "x")
     regions = stored(_regions(pairs, least), "substring-regions")
